@@ -9,6 +9,7 @@ import numpy as np
 import pandas as pd
 from pyspark import cloudpickle
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 # Ship these functions with the task; executors need not have the package installed.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -35,6 +36,6 @@ def chi2_upper_tail(x: float, dof: int) -> float:
     return min(max(tail, 0.0), 1.0)
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def chi2_p_value(statistic: pd.Series, dof: pd.Series) -> pd.Series:
     return pd.Series([chi2_upper_tail(x, int(k)) for x, k in zip(statistic, dof)], dtype="float64")

@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 # Ship these functions with the task; executors need not have the package installed.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -28,10 +29,10 @@ OPEN_TAG = "<external_data>\n"
 CLOSE_TAG = "\n</external_data>"
 
 CONTROL = r"[\x00-\x08\x0b\x0c\x0e-\x1f\x7f]"
-SPACES = "\t\n\r \u0085      　" + "".join(chr(c) for c in range(0x2000, 0x200B))
+SPACES = "\t\n\r " + "".join(map(chr, [0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def _nfkc(text: pd.Series) -> pd.Series:
     return text.map(lambda t: None if t is None else unicodedata.normalize("NFKC", t))
 

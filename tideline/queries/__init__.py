@@ -1,0 +1,6 @@
+"""Registered queries and their SQL."""
+
+from tideline.queries import core
+
+QUERIES = {**core.QUERIES}
+ORACLES = {**core.ORACLES}
