@@ -31,7 +31,7 @@ def event_id(key: Column, report_id: Column) -> Column:
 
 
 def severity_changes(
-    reports: DataFrame, keys: Sequence[str], ts: str = "ts", report_id: str = "report_id", slice_seconds: int = 30 * 86_400
+    reports: DataFrame, keys: Sequence[str], ts: str = "ts", report_id: str = "report_id", slice_seconds: int = 86_400
 ) -> DataFrame:
     """Reports whose severity differs from the one before; the first report of a key always counts."""
     lagged = previous_value(reports, keys, ts, report_id, "severity", "previous_severity", slice_seconds)
@@ -190,7 +190,7 @@ def dedupe_dispatch(
     ttl = ttl_seconds * 1_000_000
     path = scratch_path(spark, "dispatch")
     (
-        dispatches.withColumn("__t", F.unix_micros(F.col(ts)))
+        dispatches.withColumn("__t", F.unix_micros(F.col(ts).cast("timestamp")))
         .withColumn("__slice", F.floor(F.col("__t") / ttl))
         .groupBy(key, "__slice", "__t")  # rows equal in key and time: only the first can be accepted
         .agg(F.min(tie).alias(tie))

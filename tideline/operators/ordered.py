@@ -44,14 +44,14 @@ def previous_value(
     tie: str,
     value: str,
     out: str,
-    slice_seconds: int = 3600,
+    slice_seconds: int = 86_400,
 ) -> DataFrame:
     """``lag(value)`` per key in (ts, tie) order, computed per time slice.
 
     Inside a slice it is an ordinary lag; the first row of a slice takes the last value of the
     previous non-empty slice, read from a table with one row per key and slice.
     """
-    sliced = df.withColumn("__slice", F.floor(F.unix_seconds(F.col(ts)) / slice_seconds))
+    sliced = df.withColumn("__slice", F.floor(F.unix_seconds(F.col(ts).cast("timestamp")) / slice_seconds))
     in_slice = W.partitionBy(*keys, "__slice").orderBy(ts, tie)
     lagged = sliced.withColumn("__row", F.row_number().over(in_slice)).withColumn(
         "__lag", F.lag(value).over(in_slice)

@@ -33,9 +33,16 @@ def _quoted(name: str) -> Column:
     return F.col(f"`{name}`")
 
 
+def _no_rows(df: DataFrame, keys: Sequence[str], name: str, kind: str) -> DataFrame:
+    empty = df.where(F.lit(False))
+    return empty.select(*keys, F.lit("").alias("feature"), F.lit(None).cast(kind).alias(name))
+
+
 def long_numeric(df: DataFrame, features: Sequence[str], keys: Sequence[str] = ()) -> DataFrame:
     """``keys, feature, value`` with NaN as NULL; one scan for all features."""
     features = present(df, features)
+    if not features:
+        return _no_rows(df, keys, "value", "double")
     cast = df.select(*keys, *[finite_or_null(_quoted(f)).alias(f) for f in features])
     return cast.unpivot(list(keys), [_quoted(f) for f in features], "feature", "value")
 
@@ -43,6 +50,8 @@ def long_numeric(df: DataFrame, features: Sequence[str], keys: Sequence[str] = (
 def long_categorical(df: DataFrame, features: Sequence[str], keys: Sequence[str] = ()) -> DataFrame:
     """``keys, feature, category`` as strings, NULLs kept."""
     features = present(df, features)
+    if not features:
+        return _no_rows(df, keys, "category", "string")
     cast = df.select(*keys, *[_quoted(f).cast("string").alias(f) for f in features])
     return cast.unpivot(list(keys), [_quoted(f) for f in features], "feature", "category")
 

@@ -1,6 +1,6 @@
 """Registered queries and their SQL."""
 
-from tideline.queries import core
+from tideline.queries import core, models, tables
 
-QUERIES = {**core.QUERIES}
-ORACLES = {**core.ORACLES}
+QUERIES = {**core.QUERIES, **tables.QUERIES, **models.QUERIES}
+ORACLES = {**core.ORACLES, **tables.ORACLES, **models.ORACLES}

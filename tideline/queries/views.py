@@ -23,7 +23,7 @@ def reference(spark: SparkSession, sf: str) -> DataFrame:
     """Scored reference rows with the predicted class ``label``."""
     return (
         table(spark, sf, "lineitem")
-        .where(F.col("l_shipdate") < F.lit(SPLIT).cast("timestamp"))
+        .where(F.col("l_shipdate") < F.lit(SPLIT).cast("timestamp_ntz"))
         .withColumn("label", (F.col("l_extendedprice") / 110000 >= 0.5).cast("int"))
     )
 
@@ -32,7 +32,7 @@ def current(spark: SparkSession, sf: str) -> DataFrame:
     """Scored current rows: shifted quantity, more 'N' flags, missing discounts, more positives."""
     return (
         table(spark, sf, "lineitem")
-        .where(F.col("l_shipdate") >= F.lit(SPLIT).cast("timestamp"))
+        .where(F.col("l_shipdate") >= F.lit(SPLIT).cast("timestamp_ntz"))
         .select(
             "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber",
             F.least(F.col("l_quantity") + 15, F.lit(50.0)).alias("l_quantity"),
