@@ -9,6 +9,7 @@ with map-side counts, and only the few rows of the last bin are ever sorted.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -31,9 +32,16 @@ def _bounded(value: Column) -> Column:
     return F.greatest(F.least(value, F.lit(_BIG)), F.lit(-_BIG))
 
 
-def _bin(value: Column, lo: Column, hi: Column, bins: int) -> Column:
-    """Monotone bin of a value in [lo, hi]; halves keep hi - lo finite."""
-    v, a, b = (_bounded(c) / 2 for c in (value, lo, hi))
+def _bin(value: Column, lo: Column, hi: Column, bins: int, by_magnitude: bool) -> Column:
+    """Monotone bin of a value in [lo, hi], by value or by signed logarithm.
+
+    Equal widths suit most columns; the logarithm gets through tails that span many magnitudes. Both
+    keep the order of values, so the choice changes the number of passes only.
+    """
+    v, a, b = (_bounded(c) / 2 for c in (value, lo, hi))  # halves keep b - a finite
+    if by_magnitude:
+        unit = F.greatest(F.abs(a), F.abs(b)) * F.lit(2.0**-60)
+        v, a, b = (F.when(unit > 0, F.signum(c) * F.log(1 + F.abs(c) / unit)).otherwise(c) for c in (v, a, b))
     share = F.when(b > a, (v - a) / (b - a)).otherwise(F.lit(0.0))
     return F.least(F.floor(share * bins), F.lit(bins - 1)).cast("int")
 
@@ -49,7 +57,7 @@ def order_statistics(
     value: str = "value",
     bins: int = BINS,
     sorted_rows: int = SORTED_ROWS,
-    max_passes: int = 40,
+    max_passes: int = 60,
 ) -> DataFrame:
     """Values at 0-based ranks.
 
@@ -59,7 +67,6 @@ def order_statistics(
     group = list(group)
     rows = rows.select(*group, F.col(value).alias("__v")).where(F.col("__v").isNotNull())
     state = wanted.select(*group, "lo", "hi", F.lit(0).cast("long").alias("base"), F.col("n").alias("cnt"), "ranks")
-    found: list[DataFrame] = []
     is_open = F.col("lo") < F.col("hi")
     is_small = F.col("cnt") <= sorted_rows
 
@@ -86,24 +93,19 @@ def order_statistics(
             .where(F.size("ranks") > 0)
         )
 
-    for _ in range(max_passes):
+    passes: list[DataFrame] = []
+    n_small = 0
+    for number in range(max_passes):
         state = cut(state)
         left = state.agg(F.count_if(is_open & is_small).alias("small"), F.count_if(is_open & ~is_small).alias("large")).first()
-        found.append(state.where(~is_open).select(*group, F.explode("ranks").alias("rank"), F.col("lo").alias("value")))
-        if left["small"]:
-            part = state.where(is_open & is_small)
-            counted = inside(part, left["small"]).groupBy(*group, "lo", "__v").agg(F.count(F.lit(1)).alias("__c"))
-            found.append(
-                with_ranks(counted, part, left["small"], "__v").select(
-                    *group, F.explode("ranks").alias("rank"), F.col("__v").alias("value")
-                )
-            )
+        passes.append(state)
+        n_small += left["small"]
         if not left["large"]:
             break
         part = state.where(is_open & ~is_small)
         counted = (
             inside(part, left["large"])
-            .withColumn("__bin", _bin(F.col("__v"), F.col("lo"), F.col("hi"), bins))
+            .withColumn("__bin", _bin(F.col("__v"), F.col("lo"), F.col("hi"), bins, number % 2 == 1))
             .groupBy(*group, "lo", "__bin")
             .agg(F.count(F.lit(1)).alias("__c"), F.min("__v").alias("__min"), F.max("__v").alias("__max"))
         )
@@ -113,9 +115,16 @@ def order_statistics(
     else:
         raise RuntimeError("value ranges did not narrow; raise bins or max_passes")
 
-    result = found[0]
-    for part in found[1:]:
-        result = result.unionByName(part)
+    # One last scan ranks the rows of all small ranges, whichever pass they come from.
+    every = reduce(DataFrame.unionByName, passes)
+    result = every.where(~is_open).select(*group, F.explode("ranks").alias("rank"), F.col("lo").alias("value"))
+    if n_small:
+        part = cut(every.where(is_open & is_small))
+        counted = inside(part, n_small).groupBy(*group, "lo", "__v").agg(F.count(F.lit(1)).alias("__c"))
+        sorted_part = with_ranks(counted, part, n_small, "__v").select(
+            *group, F.explode("ranks").alias("rank"), F.col("__v").alias("value")
+        )
+        result = result.unionByName(sorted_part)
     return result
 
 
@@ -152,7 +161,7 @@ def exact_quantiles(
     def interpolate(spot: Column, low: Column, high: Column) -> Column:
         a, b, t = F.col("at")[low], F.col("at")[high], spot - low
         gap = F.when(a == b, F.lit(0.0)).otherwise(b - a)
-        return F.when(t >= 0.5, b - gap * (1 - t)).otherwise(a + gap * t)
+        return F.when(t == 0, a).when(t >= 0.5, b - gap * (1 - t)).otherwise(a + gap * t)
 
     return by_rank.join(wanted.select(*group, "n"), group).select(
         *group, F.array(*[interpolate(s, f, c) for s, f, c in zip(spots, floors, ceils)]).alias("quantiles")
