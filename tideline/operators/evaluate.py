@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tideline.operators.ordered import running_totals
+from tideline.session import cut
 
 MIN_RECALL = 0.75
 
@@ -23,8 +24,12 @@ def score_counts(df: DataFrame, score: str, label: str, keys: Sequence[str] = ()
 
 
 def cumulative_counts(df: DataFrame, score: str, label: str, keys: Sequence[str] = (), buckets: int = 64) -> DataFrame:
-    """Score counts with running totals from the highest score down."""
-    return running_totals(score_counts(df, score, label, keys), "score", ["pos", "neg"], keys, True, buckets)
+    """Score counts with running totals from the highest score down.
+
+    The counts are fixed in shared storage: the totals need them three times (balance, offsets, rows).
+    """
+    counts = cut(score_counts(df, score, label, keys))
+    return running_totals(counts, "score", ["pos", "neg"], keys, True, buckets)
 
 
 def roc_auc(df: DataFrame, score: str, label: str, keys: Sequence[str] = (), buckets: int = 64) -> DataFrame:

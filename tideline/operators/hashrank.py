@@ -44,7 +44,7 @@ def _limit_table(
     bounds = cut(bounds.withColumn("cuts", picks))
     inner = F.filter("cuts", lambda c: (c > 0) & (c < F.col("n")))
     ranks = F.array_distinct(F.flatten(F.transform(inner, lambda c: F.array(c - 1, c))))
-    stats = order_statistics(rows, cut(bounds.withColumn("ranks", ranks).where(F.size("ranks") > 0)), group)
+    stats = order_statistics(rows, bounds.withColumn("ranks", ranks).where(F.size("ranks") > 0), group)
     at = stats.groupBy(*group).agg(F.map_from_entries(F.collect_list(F.struct("rank", "value"))).alias("at"))
     known = bounds.select(*[F.col(g).alias(f"__{g}") for g in group], "n", "cuts")
     on = F.lit(True)

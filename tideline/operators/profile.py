@@ -13,6 +13,7 @@ from tideline.session import broadcast_if_small, cut
 
 DECILES = tuple(i / 10 for i in range(1, 10))
 BINS = 10
+_CLASS = "__class"
 
 
 @dataclass(frozen=True)
@@ -90,36 +91,31 @@ def numeric_moments(df: DataFrame, features: Sequence[str], keys: Sequence[str]
 
 
 def numeric_profile(
-    df: DataFrame,
-    features: Sequence[str],
-    keys: Sequence[str] = (),
-    bins: int = BINS,
-    with_counts: bool = True,
+    df: DataFrame, features: Sequence[str], keys: Sequence[str] = (), bins: int = BINS
 ) -> DataFrame:
     """One row per (key and) feature: ``n, mean, std, deciles, edges, bin_counts``.
 
-    Features without any value keep NULL arrays.
+    Features without any value keep NULL arrays. The histogram of the reference falls out of the
+    quantile search, which knows how many values lie below each edge.
     """
     group = [*keys, "feature"]
-    rows = long_numeric(df, features, keys)
     moments = cut(numeric_moments(df, features, keys))
-    bounds = moments.select(*group, "lo", "hi", F.col("filled").alias("n"))
     edges = interior_edges(bins)
     probs = [*DECILES, *[e for e in edges if e not in DECILES]]
-    quantiles = exact_quantiles(rows, probs, group, bounds=bounds)
-    picked = [F.get("quantiles", F.lit(probs.index(e))) for e in edges]
-    profile = moments.join(quantiles, group, "left").select(
+    bounds = moments.select(*group, "lo", "hi", F.col("filled").alias("n"))
+    quantiles = exact_quantiles(long_numeric(df, features, keys), probs, group, bounds=bounds)
+    at = [probs.index(e) for e in edges]
+    below = [F.lit(0).cast("long"), *[F.get("below", F.lit(i)) for i in at], F.col("filled")]
+    found = F.col("quantiles").isNotNull()
+    return moments.join(quantiles, group, "left").select(
         *group,
         "n",
         "mean",
         "std",
-        F.when(F.col("quantiles").isNotNull(), F.slice("quantiles", 1, len(DECILES))).alias("deciles"),
-        F.when(F.col("quantiles").isNotNull(), F.array(*picked)).alias("edges"),
+        F.when(found, F.slice("quantiles", 1, len(DECILES))).alias("deciles"),
+        F.when(found, F.array(*[F.get("quantiles", F.lit(i)) for i in at])).alias("edges"),
+        F.when(found, F.array(*[b - a for a, b in zip(below, below[1:])])).alias("bin_counts"),
     )
-    if not with_counts:
-        return profile
-    profile = cut(profile)
-    return profile.join(histogram(df, profile, features, bins, keys, keys).drop("current_n"), group, "left")
 
 
 def histogram(
@@ -153,29 +149,31 @@ def category_counts(df: DataFrame, features: Sequence[str], keys: Sequence[str]
     return long_categorical(df, features, keys).groupBy(*keys, "feature", "category").count()
 
 
-def categorical_profile(df: DataFrame, features: Sequence[str], keys: Sequence[str] = ()) -> DataFrame:
-    """Share of each category among non-null values."""
-    counts = category_counts(df, features, keys).where(F.col("category").isNotNull())
+def _shares(counts: DataFrame, keys: Sequence[str]) -> DataFrame:
+    counts = counts.where(F.col("category").isNotNull())
     totals = counts.groupBy(*keys, "feature").agg(F.sum("count").alias("total"))
     return counts.join(totals, [*keys, "feature"]).select(
         *keys, "feature", "category", (F.col("count") / F.col("total")).alias("freq")
     )
 
 
+def categorical_profile(df: DataFrame, features: Sequence[str], keys: Sequence[str] = ()) -> DataFrame:
+    """Share of each category among non-null values."""
+    return _shares(category_counts(df, features, keys), keys)
+
+
+def _class_shares(counts: DataFrame, keys: Sequence[str]) -> DataFrame:
+    known = F.nullif(F.sum(F.when(F.col("category").isNotNull(), F.col("count"))), F.lit(0))
+    of = lambda c: F.coalesce(F.sum(F.when(F.col("category") == c, F.col("count"))) / known, F.lit(0.0))
+    both = counts.groupBy(*keys).agg(of("0").alias("zero"), of("1").alias("one"))
+    pairs = [F.struct(F.lit(c).alias("class"), F.col(n).alias("share")) for c, n in (("0", "zero"), ("1", "one"))]
+    return both.select(*keys, F.explode(F.array(*pairs)).alias("c")).select(*keys, "c.class", "c.share")
+
+
 def class_proportions(df: DataFrame, label: Column, keys: Sequence[str] = ()) -> DataFrame:
     """``keys, class, share`` for classes 0 and 1; an absent class has share 0."""
-    share = F.coalesce(F.avg((label == 1).cast("double")), F.lit(0.0))
-    zero = F.coalesce(F.avg((label == 0).cast("double")), F.lit(0.0))
-    both = df.groupBy(*keys).agg(zero.alias("zero"), share.alias("one"))
-    return both.select(
-        *keys,
-        F.explode(
-            F.array(
-                F.struct(F.lit("0").alias("class"), F.col("zero").alias("share")),
-                F.struct(F.lit("1").alias("class"), F.col("one").alias("share")),
-            )
-        ).alias("c"),
-    ).select(*keys, "c.class", "c.share")
+    counts = df.select(*keys, label.cast("int").cast("string").alias("category"))
+    return _class_shares(counts.groupBy(*keys, "category").count(), keys)
 
 
 def reference_profile(
@@ -190,8 +188,10 @@ def reference_profile(
 
     ``label`` is the predicted class (0/1).
     """
+    categorical = [c for c in present(df, categorical) if c != _CLASS]
+    counts = cut(category_counts(df.withColumn(_CLASS, label.cast("int")), [*categorical, _CLASS], keys))
     return ReferenceProfile(
         cut(numeric_profile(df, numeric, keys, bins)),
-        cut(categorical_profile(df, categorical, keys)),
-        cut(class_proportions(df, label, keys)),
+        cut(_shares(counts.where(F.col("feature") != _CLASS), keys)),
+        cut(_class_shares(counts.where(F.col("feature") == _CLASS), keys)),
     )

@@ -61,12 +61,13 @@ def order_statistics(
 ) -> DataFrame:
     """Values at 0-based ranks.
 
-    ``wanted`` has one row per group: ``lo, hi, n`` of its non-null values and the array ``ranks``.
-    Returns ``group, rank, value``.
+    ``wanted`` has one row per group: ``lo, hi, n`` of its non-null values and the array ``ranks``; it
+    should be cheap to read (a checkpointed aggregate). Returns ``group, rank, value, first, n``, where
+    ``first`` is the lowest rank that shows this value, i.e. the number of smaller values.
     """
     group = list(group)
     rows = rows.select(*group, F.col(value).alias("__v")).where(F.col("__v").isNotNull())
-    state = wanted.select(*group, "lo", "hi", F.lit(0).cast("long").alias("base"), F.col("n").alias("cnt"), "ranks")
+    state = wanted.select(*group, "lo", "hi", F.lit(0).cast("long").alias("base"), F.col("n").alias("cnt"), "ranks", "n")
     is_open = F.col("lo") < F.col("hi")
     is_small = F.col("cnt") <= sorted_rows
 
@@ -81,7 +82,7 @@ def order_statistics(
     def with_ranks(counted: DataFrame, part: DataFrame, size: int, order: str) -> DataFrame:
         """Turn counts of ordered cells into rank offsets and keep the cells that hold a wanted rank."""
         upto = F.sum("__c").over(W.partitionBy(*group, "lo").orderBy(order).rowsBetween(W.unboundedPreceding, 0))
-        known = _side(part.select(*[F.col(g).alias(f"__{g}") for g in group], F.col("lo").alias("__lo"), "base", "ranks"), size)
+        known = _side(part.select(*[F.col(g).alias(f"__{g}") for g in group], F.col("lo").alias("__lo"), "base", "ranks", "n"), size)
         on = F.col("lo") == F.col("__lo")
         for g in group:
             on = on & F.col(g).eqNullSafe(F.col(f"__{g}"))
@@ -96,7 +97,6 @@ def order_statistics(
     passes: list[DataFrame] = []
     n_small = 0
     for number in range(max_passes):
-        state = cut(state)
         left = state.agg(F.count_if(is_open & is_small).alias("small"), F.count_if(is_open & ~is_small).alias("large")).first()
         passes.append(state)
         n_small += left["small"]
@@ -109,20 +109,22 @@ def order_statistics(
             .groupBy(*group, "lo", "__bin")
             .agg(F.count(F.lit(1)).alias("__c"), F.min("__v").alias("__min"), F.max("__v").alias("__max"))
         )
-        state = with_ranks(counted, part, left["large"], "__bin").select(
-            *group, F.col("__min").alias("lo"), F.col("__max").alias("hi"), "base", F.col("__c").alias("cnt"), "ranks"
+        state = cut(
+            with_ranks(counted, part, left["large"], "__bin").select(
+                *group, F.col("__min").alias("lo"), F.col("__max").alias("hi"), "base", F.col("__c").alias("cnt"), "ranks", "n"
+            )
         )
     else:
         raise RuntimeError("value ranges did not narrow; raise bins or max_passes")
 
     # One last scan ranks the rows of all small ranges, whichever pass they come from.
     every = reduce(DataFrame.unionByName, passes)
-    result = every.where(~is_open).select(*group, F.explode("ranks").alias("rank"), F.col("lo").alias("value"))
+    result = every.where(~is_open).select(*group, F.explode("ranks").alias("rank"), F.col("lo").alias("value"), F.col("base").alias("first"), "n")
     if n_small:
-        part = cut(every.where(is_open & is_small))
+        part = every.where(is_open & is_small)
         counted = inside(part, n_small).groupBy(*group, "lo", "__v").agg(F.count(F.lit(1)).alias("__c"))
         sorted_part = with_ranks(counted, part, n_small, "__v").select(
-            *group, F.explode("ranks").alias("rank"), F.col("__v").alias("value")
+            *group, F.explode("ranks").alias("rank"), F.col("__v").alias("value"), F.col("base").alias("first"), "n"
         )
         result = result.unionByName(sorted_part)
     return result
@@ -137,32 +139,40 @@ def exact_quantiles(
     bins: int = BINS,
     sorted_rows: int = SORTED_ROWS,
 ) -> DataFrame:
-    """Linear-interpolated quantiles per group: ``group, quantiles`` (array in the order of ``probs``).
+    """Linear-interpolated quantiles per group: ``group, quantiles, below``.
 
-    ``bounds`` may bring ``group, lo, hi, n`` (non-null values) if a profile has computed them.
+    Both arrays follow the order of ``probs``; ``below`` counts the values smaller than each quantile,
+    so histograms of the rows themselves need no further scan. ``bounds`` may bring ``group, lo, hi, n``
+    (non-null values) from a profile, already checkpointed.
     """
     group = list(group)
     probs = [float(p) for p in probs]
     if bounds is None:
-        bounds = rows.groupBy(*group).agg(
-            F.min(value).alias("lo"), F.max(value).alias("hi"), F.count(value).alias("n")
+        bounds = cut(
+            rows.groupBy(*group).agg(F.min(value).alias("lo"), F.max(value).alias("hi"), F.count(value).alias("n"))
         )
-    spots = [(F.col("n") - 1) * F.lit(p) for p in probs]
-    floors = [F.floor(s) for s in spots]
+    spot = lambda p: (F.col("n") - 1) * p
+    floors = [F.floor(spot(F.lit(p))) for p in probs]
     ceils = [F.least(f + 1, F.col("n") - 1) for f in floors]
-    wanted = cut(
-        bounds.where(F.col("n") > 0).select(
-            *group, "lo", "hi", "n", F.array_distinct(F.array(*floors, *ceils)).alias("ranks")
-        )
+    wanted = bounds.where(F.col("n") > 0).select(
+        *group, "lo", "hi", "n", F.array_distinct(F.array(*floors, *ceils)).alias("ranks")
     )
     stats = order_statistics(rows, wanted, group, value, bins, sorted_rows)
-    by_rank = stats.groupBy(*group).agg(F.map_from_entries(F.collect_list(F.struct("rank", "value"))).alias("at"))
-
-    def interpolate(spot: Column, low: Column, high: Column) -> Column:
-        a, b, t = F.col("at")[low], F.col("at")[high], spot - low
-        gap = F.when(a == b, F.lit(0.0)).otherwise(b - a)
-        return F.when(t == 0, a).when(t >= 0.5, b - gap * (1 - t)).otherwise(a + gap * t)
-
-    return by_rank.join(wanted.select(*group, "n"), group).select(
-        *group, F.array(*[interpolate(s, f, c) for s, f, c in zip(spots, floors, ceils)]).alias("quantiles")
+    by_rank = stats.groupBy(*group).agg(
+        F.map_from_entries(F.collect_list(F.struct("rank", F.struct("value", "first")))).alias("at"),
+        F.max("n").alias("n"),
+    )
+    # One small row per wanted quantile, then back to one row per group.
+    low, high = F.floor(spot(F.col("p"))), F.least(F.floor(spot(F.col("p"))) + 1, F.col("n") - 1)
+    a, b, t = F.col("a.value"), F.col("b.value"), spot(F.col("p")) - F.col("low")
+    gap = F.when(a == b, F.lit(0.0)).otherwise(b - a)
+    quantile = F.when(t == 0, a).when(t >= 0.5, b - gap * (1 - t)).otherwise(a + gap * t)
+    return (
+        by_rank.select(*group, "n", "at", F.posexplode(F.array(*[F.lit(p) for p in probs])).alias("i", "p"))
+        .select(*group, "i", "p", "n", low.alias("low"), F.col("at")[low].alias("a"), F.col("at")[high].alias("b"))
+        .select(*group, "i", "low", "a", quantile.alias("quantile"))
+        .select(*group, "i", "quantile", F.when(F.col("quantile") == F.col("a.value"), F.col("a.first")).otherwise(F.col("low") + 1).alias("below"))
+        .groupBy(*group)
+        .agg(F.sort_array(F.collect_list(F.struct("i", "quantile", "below"))).alias("q"))
+        .select(*group, F.col("q.quantile").alias("quantiles"), F.col("q.below").alias("below"))
     )

@@ -308,14 +308,14 @@ def _split_array(df: DataFrame, name: str) -> DataFrame:
 @query(f"""WITH {REF}, {_LONG_REF} SELECT feature, CAST(count(*) AS BIGINT) AS n, round(avg(value), 6) AS mean, round(stddev_samp(value), 6) AS std,
   round(list_sum(quantile_cont(value, {_TENTHS})), 6) AS decile_sum FROM lref GROUP BY 1""")
 def numeric_profile(spark: SparkSession, sf: str) -> DataFrame:
-    profile = P.numeric_profile(reference(spark, sf), NUMERIC, with_counts=False)
+    profile = P.numeric_profile(reference(spark, sf), NUMERIC)
     total = F.aggregate("deciles", F.lit(0.0), lambda a, x: a + x)
     return profile.select("feature", "n", F.round("mean", 6).alias("mean"), F.round("std", 6).alias("std"), F.round(total, 6).alias("decile_sum"))
 
 
 @query(f"""WITH {REF}, {_LONG_REF}, {_EDGES} SELECT feature, CAST(i - 1 AS INTEGER) AS position, round(e[i], 6) AS value FROM edges, range(1, 10) t(i)""")
 def reference_bin_edges(spark: SparkSession, sf: str) -> DataFrame:
-    edges = _split_array(P.numeric_profile(reference(spark, sf), NUMERIC, with_counts=False), "edges")
+    edges = _split_array(P.numeric_profile(reference(spark, sf), NUMERIC), "edges")
     return edges.withColumn("value", F.round("value", 6))
 
 
@@ -327,7 +327,7 @@ _CUR_COUNTS = f"cc AS ({_COUNTS.format(s='lcur', w='true')})"
 
 @query(f"""WITH {REF}, {CUR}, {_LONG_REF}, {_LONG_CUR}, {_EDGES}, {_CUR_COUNTS} SELECT feature, bin, n FROM cc""")
 def feature_histogram(spark: SparkSession, sf: str) -> DataFrame:
-    profile = P.numeric_profile(reference(spark, sf), NUMERIC, with_counts=False)
+    profile = P.numeric_profile(reference(spark, sf), NUMERIC)
     counts = _split_array(P.histogram(current(spark, sf), profile, NUMERIC), "bin_counts")
     return counts.select("feature", F.col("position").alias("bin"), F.col("value").alias("n"))
 
