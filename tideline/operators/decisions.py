@@ -338,4 +338,4 @@ def dispatch_plan(proposals: DataFrame, approvals: DataFrame, reports: DataFrame
 
 def newest(df: DataFrame, keys: Sequence[str], ts: str, tie: str, n: int) -> DataFrame:
     """Newest ``n`` rows per key."""
-    return top_n_per_key(df, keys, [F.col(ts).desc(), F.col(tie).desc()], n)
+    return top_n_per_key(df, keys, [F.col(ts).desc(), F.col(tie).desc()], n, salt_by=[ts, tie])

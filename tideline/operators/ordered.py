@@ -15,26 +15,28 @@ from pyspark.sql import functions as F
 
 
 def top_n_per_key(
-    df: DataFrame, keys: Sequence[str], order: Sequence[Column], n: int, salts: int = 32
+    df: DataFrame,
+    keys: Sequence[str],
+    order: Sequence[Column],
+    n: int,
+    salts: int = 32,
+    salt_by: Sequence[str] | None = None,
 ) -> DataFrame:
-    """The first ``n`` rows of every key in ``order``.
+    """The first ``n`` rows of every key (of the table, without keys) in ``order``.
 
-    Two row-number passes: the winners of each salted part of a key, then the winners among at most
-    ``n * salts`` survivors. Without keys it is a plain top-n.
+    Two passes: the winners of each salted part of a key, where Spark limits every map partition before
+    the shuffle, then the winners among at most ``n * salts`` survivors. A bare sort with a limit is
+    not enough for the table-wide case: a projection on top can turn it into a sort of everything.
+    ``salt_by`` names columns that tell rows apart (default: all); fewer columns keep scans narrow.
     """
-    if not keys:
-        return df.orderBy(*order).limit(n)
-    salted = df.withColumn("__salt", F.pmod(F.xxhash64(*[F.col(c) for c, t in df.dtypes if not t.startswith("map")]), F.lit(salts)))
+    plain = [F.col(f"`{c}`") for c in (salt_by or [c for c, t in df.dtypes if not t.startswith("map")])]
+    salted = df.withColumn("__salt", F.pmod(F.xxhash64(*plain), F.lit(salts)))
     first = W.partitionBy(*keys, "__salt").orderBy(*order)
+    survivors = salted.withColumn("__rn", F.row_number().over(first)).where(F.col("__rn") <= n).drop("__rn", "__salt")
+    if not keys:
+        return survivors.orderBy(*order).limit(n)
     final = W.partitionBy(*keys).orderBy(*order)
-    return (
-        salted.withColumn("__rn", F.row_number().over(first))
-        .where(F.col("__rn") <= n)
-        .drop("__rn", "__salt")
-        .withColumn("__rn", F.row_number().over(final))
-        .where(F.col("__rn") <= n)
-        .drop("__rn")
-    )
+    return survivors.withColumn("__rn", F.row_number().over(final)).where(F.col("__rn") <= n).drop("__rn")
 
 
 def previous_value(

@@ -34,12 +34,11 @@ def expand_log(log: DataFrame, schema: StructType, keep: Sequence[str] = ("label
 
     Keys missing from a row become NULL.
     """
-    if isinstance(log.schema["features"].dataType, StringType):
-        log = log.withColumn("features", F.from_json("features", schema))
-    have = set(log.schema["features"].dataType.fieldNames())
-    fields = [
-        (F.col(f"features.`{f.name}`") if f.name in have else F.lit(None)).cast(f.dataType).alias(f.name) for f in schema.fields
-    ]
+    kind = log.schema["features"].dataType
+    is_text = isinstance(kind, StringType)
+    parsed = F.from_json("features", schema) if is_text else F.col("features")
+    have = set(schema.names if is_text else kind.fieldNames())
+    fields = [(parsed.getField(f.name) if f.name in have else F.lit(None)).cast(f.dataType).alias(f.name) for f in schema.fields]
     return log.select(*fields, *keep)
 
 
@@ -48,4 +47,4 @@ def rolling_window(
 ) -> DataFrame:
     """The last ``n`` rows by ``order_col`` (per key). Late rows are simply ranked by their time."""
     order = [F.col(order_col).desc(), *[F.col(t).desc() for t in tie]]
-    return top_n_per_key(df, keys, order, n)
+    return top_n_per_key(df, keys, order, n, salt_by=[order_col, *tie])
