@@ -50,25 +50,22 @@ def previous_value(
 ) -> DataFrame:
     """``lag(value)`` per key in (ts, tie) order, computed per time slice.
 
-    Inside a slice it is an ordinary lag; the first row of a slice takes the last value of the
-    previous non-empty slice, read from a table with one row per key and slice.
+    Inside a slice it is an ordinary lag. Only the first row of a slice needs a value from outside: it is
+    found among the first and last rows of all slices, at most two per key and slice. Both branches
+    read the same shuffle, and there is no join.
     """
     sliced = df.withColumn("__slice", F.floor(F.unix_seconds(F.col(ts).cast("timestamp")) / slice_seconds))
     in_slice = W.partitionBy(*keys, "__slice").orderBy(ts, tie)
-    lagged = sliced.withColumn("__row", F.row_number().over(in_slice)).withColumn(
-        "__lag", F.lag(value).over(in_slice)
-    )
-    carried = (
-        sliced.groupBy(*keys, "__slice")
-        .agg(F.max_by(F.struct(F.col(value).alias("v")), F.struct(ts, tie)).alias("__last"))
-        .withColumn("__carry", F.lag("__last").over(W.partitionBy(*keys).orderBy("__slice"))["v"])
-        .drop("__last")
-    )
-    return (
-        lagged.join(carried, [*keys, "__slice"])
-        .withColumn(out, F.when(F.col("__row") == 1, F.col("__carry")).otherwise(F.col("__lag")))
-        .drop("__slice", "__row", "__lag", "__carry")
+    marked = (
+        sliced.withColumn("__row", F.row_number().over(in_slice))
+        .withColumn(out, F.lag(value).over(in_slice))
+        .withColumn("__end", F.lead(F.lit(1)).over(in_slice).isNull())
     )
+    inner = marked.where(F.col("__row") > 1)
+    edges = marked.where((F.col("__row") == 1) | F.col("__end"))
+    across = W.partitionBy(*keys).orderBy(ts, tie)
+    firsts = edges.withColumn(out, F.lag(value).over(across)).where(F.col("__row") == 1)
+    return inner.unionByName(firsts).drop("__slice", "__row", "__end")
 
 
 def bucket_of(value: Column, splits: Sequence[float]) -> Column:
