@@ -183,15 +183,16 @@ def dedupe_dispatch(
 
     Time is cut into slices of one TTL. A slice can hold at most one accepted row per key: the first
     one not blocked by the key's last acceptance, a ``min`` aggregate. Slices are folded in time order
-    over a table written once by slice, so each step reads its own slice only; between steps there is
-    one small row of state per key. ``key`` and ``tie`` together identify a row.
+    over a table written once by slice, so each step reads its own slice only. An acceptance can block
+    the next slice but none after it, so the state of a step is what the slice before accepted.
+    ``key`` and ``tie`` together identify a row.
     """
     spark = dispatches.sparkSession
     ttl = ttl_seconds * 1_000_000
     path = scratch_path(spark, "dispatch")
     (
         dispatches.withColumn("__t", F.unix_micros(F.col(ts).cast("timestamp")))
-        .withColumn("__slice", F.floor(F.col("__t") / ttl))
+        .withColumn("__slice", F.expr(f"__t div {ttl} - if(__t % {ttl} < 0, 1, 0)"))
         .groupBy(key, "__slice", "__t")  # rows equal in key and time: only the first can be accepted
         .agg(F.min(tie).alias(tie))
         .write.partitionBy("__slice")
@@ -199,23 +200,18 @@ def dedupe_dispatch(
     )
     firsts = spark.read.parquet(path)
     slices = sorted(r["__slice"] for r in firsts.select("__slice").distinct().collect())  # bounded by the time span
-    state = spark.createDataFrame([], firsts.select(key, F.col("__t").alias("__last")).schema)
-    accepted: list[DataFrame] = []
+    accepted: dict[int, DataFrame] = {}
     for number in slices:
-        free = F.col("__last").isNull() | (F.col("__t") >= F.col("__last") + ttl)
-        step = (
-            firsts.where(F.col("__slice") == number)
-            .join(state, key, "left")
-            .where(free)
-            .groupBy(key)
-            .agg(F.min(F.struct("__t", tie)).alias("__m"))
-        )
-        merged = cut(state.join(step, key, "full_outer").withColumn("__last", F.coalesce("__m.__t", F.col("__last"))))
-        accepted.append(merged.where(F.col("__m").isNotNull()).select(key, F.col(f"__m.{tie}").alias(tie)))
-        state = merged.drop("__m")
+        rows = firsts.where(F.col("__slice") == number)
+        if number - 1 in accepted:
+            before = accepted[number - 1].select(key, F.col("__t").alias("__last"))
+            rows = rows.join(before, key, "left").where(F.col("__last").isNull() | (F.col("__t") >= F.col("__last") + ttl))
+        step = rows.groupBy(key).agg(F.min(F.struct("__t", tie)).alias("__m"))
+        accepted[number] = cut(step.select(key, F.col("__m.__t").alias("__t"), F.col(f"__m.{tie}").alias(tie)))
     if not accepted:
         return dispatches
-    return dispatches.join(reduce(DataFrame.union, accepted), [key, tie], "left_semi")
+    taken = reduce(DataFrame.union, accepted.values()).select(key, tie)
+    return dispatches.join(taken, [key, tie], "left_semi")
 
 
 def pending_approvals(approvals: DataFrame, investigations: DataFrame, limit: int = 50) -> DataFrame:

@@ -41,12 +41,21 @@ def write_batch(df: DataFrame, path: str, batch_id: int) -> None:
 
 
 def previous_snapshot(spark: SparkSession, path: str, batch_id: int) -> DataFrame | None:
-    """Snapshot of the last batch before ``batch_id``, or none."""
+    """Snapshot of the last batch before ``batch_id``, or none.
+
+    Batch ids follow each other, so the one before is looked up by name; older ones are searched only
+    where it is missing.
+    """
+    if batch_id == 0:
+        return None
+    try:
+        return spark.read.parquet(f"{path}/batch_id={batch_id - 1}")
+    except AnalysisException:
+        pass
     try:
-        have = spark.read.parquet(path)
+        last = spark.read.parquet(path).where(F.col("batch_id") < batch_id).agg(F.max("batch_id")).first()[0]
     except AnalysisException:
         return None
-    last = have.where(F.col("batch_id") < batch_id).agg(F.max("batch_id")).first()[0]
     return None if last is None else spark.read.parquet(f"{path}/batch_id={last}")
 
 
