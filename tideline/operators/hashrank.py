@@ -37,11 +37,16 @@ def _limit_table(
     entries = F.array(*[F.struct(F.lit(d).alias("draw"), order_key(ids, d).alias("value")) for d in draws])
     rows = df.select(*strata, F.explode(entries).alias("e")).select("e.draw", *strata, "e.value")
     group = ["draw", *strata]
-    bounds = rows.groupBy(*group).agg(F.min("value").alias("lo"), F.max("value").alias("hi"), F.count("value").alias("n"))
     picks = F.lit(None)
     for draw, cuts in draws.items():
         picks = F.when(F.col("draw") == draw, F.array(*[c.cast("long") for c in cuts])).otherwise(picks)
-    bounds = cut(bounds.withColumn("cuts", picks))
+    # Order keys are uniform on a known range, so the search starts from the row counts alone.
+    bounds = cut(
+        df.groupBy(*strata)
+        .agg(F.count(F.lit(1)).alias("n"))
+        .select("*", F.explode(F.array(*[F.lit(d) for d in draws])).alias("draw"), F.lit(0.0).alias("lo"), F.lit(16.0**DIGITS).alias("hi"))
+        .withColumn("cuts", picks)
+    )
     inner = F.filter("cuts", lambda c: (c > 0) & (c < F.col("n")))
     ranks = F.array_distinct(F.flatten(F.transform(inner, lambda c: F.array(c - 1, c))))
     stats = order_statistics(rows, bounds.withColumn("ranks", ranks).where(F.size("ranks") > 0), group)
