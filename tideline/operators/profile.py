@@ -107,7 +107,7 @@ def numeric_profile(
     at = [probs.index(e) for e in edges]
     below = [F.lit(0).cast("long"), *[F.get("below", F.lit(i)) for i in at], F.col("filled")]
     found = F.col("quantiles").isNotNull()
-    return moments.join(quantiles, group, "left").select(
+    profile = moments.join(quantiles, group, "left").select(
         *group,
         "n",
         "mean",
@@ -116,6 +116,7 @@ def numeric_profile(
         F.when(found, F.array(*[F.get("quantiles", F.lit(i)) for i in at])).alias("edges"),
         F.when(found, F.array(*[b - a for a, b in zip(below, below[1:])])).alias("bin_counts"),
     )
+    return cut(profile)  # read twice by a comparison: edges and counts
 
 
 def histogram(
@@ -191,7 +192,7 @@ def reference_profile(
     categorical = [c for c in present(df, categorical) if c != _CLASS]
     counts = cut(category_counts(df.withColumn(_CLASS, label.cast("int")), [*categorical, _CLASS], keys))
     return ReferenceProfile(
-        cut(numeric_profile(df, numeric, keys, bins)),
+        numeric_profile(df, numeric, keys, bins),
         cut(_shares(counts.where(F.col("feature") != _CLASS), keys)),
         cut(_class_shares(counts.where(F.col("feature") == _CLASS), keys)),
     )
