@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tideline.llm import decontaminate, simhash
+from tideline.llm import decontaminate, repeats, simhash
 from tideline.llm.common import read
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -29,6 +29,12 @@ def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *plain, F.array_join("leak.items", ",").alias("items"), spans.alias("spans"))
 
 
+@query
+def op5_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = repeats.remove_repeats(read(spark, sf_dir, "documents"))
+    return found.select(F.col("id").alias("doc_id"), "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
 @query
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(read(spark, sf_dir, "documents"))
@@ -43,8 +49,10 @@ windows AS (
   FROM (SELECT item, w, unnest(range(1, len(w) - least(len(w), 10) + 2)) AS p FROM item_words WHERE len(w) > 0)),
 d AS (SELECT doc_id, {_WORDS} AS w FROM documents),
 places AS (SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS p FROM d),
+lengths AS (SELECT DISTINCT n FROM windows),
+runs AS (SELECT doc_id, p, n, array_to_string(list_slice(w, p, p + n - 1), ' ') AS run FROM places, lengths WHERE p + n - 1 <= len(w)),
 hits AS (
-  SELECT doc_id, p, n, item FROM places JOIN windows ON array_to_string(list_slice(w, p, p + n - 1), ' ') = win AND p + n - 1 <= len(w)),
+  SELECT doc_id, p, runs.n, item FROM runs JOIN windows ON run = win AND runs.n = windows.n),
 spans AS (
   SELECT doc_id, p AS start, max(p + n) AS stop FROM hits GROUP BY doc_id, p),
 islands AS (
