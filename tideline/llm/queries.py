@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tideline.llm import decontaminate, language, repeats, simhash
+from tideline.llm import decontaminate, language, repeats, secrets, simhash
 from tideline.llm.common import read
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -29,6 +29,14 @@ def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *plain, F.array_join("leak.items", ",").alias("items"), spans.alias("spans"))
 
 
+@query
+def op4_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.digest(secrets.scan(read(spark, sf_dir, "documents"))).withColumnRenamed("id", "doc_id")
+
+
+ORACLES["op4_secrets"] = secrets.oracle()
+
+
 @query
 def op5_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = repeats.remove_repeats(read(spark, sf_dir, "documents"))
