@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tideline.llm import decontaminate, language, repeats, secrets, simhash, spotsigs
+from tideline.llm import decontaminate, language, lines, repeats, secrets, simhash, spotsigs
 from tideline.llm.common import read
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -54,6 +54,17 @@ def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("id").alias("doc_id"), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.col("component").alias("component_id"))
 
 
+@query
+def op9_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text", "source")
+    numbers = F.coalesce(F.array_join("removed", ","), F.lit("")).alias("removed")
+    out = lines.dedup_lines(docs, removed="removed")
+    return out.select("doc_id", "text", F.coalesce(F.size("removed"), F.lit(0)).cast("bigint").alias("n_removed"), numbers)
+
+
+ORACLES["op9_lines"] = lines.oracle()
+
+
 @query
 def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select("doc_id", "text", "lang")
