@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tideline.llm import decontaminate, language, lines, mixing, repeats, secrets, simhash, spotsigs
+from tideline.llm import chat, decontaminate, language, lines, mixing, repeats, secrets, simhash, spotsigs
 from tideline.llm.common import read
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -20,6 +20,14 @@ def query(fn: Query) -> Query:
     return fn
 
 
+@query
+def op1_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.collapse(read(spark, sf_dir, "conversations"))
+
+
+ORACLES["op1_chat"] = chat.oracle()
+
+
 @query
 def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
