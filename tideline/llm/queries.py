@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tideline.llm import chat, decontaminate, language, lines, mixing, repeats, secrets, simhash, spotsigs
+from tideline.llm import chat, decontaminate, language, licenses, lines, mixing, repeats, secrets, simhash, spotsigs
 from tideline.llm.common import read
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -28,6 +28,13 @@ def op1_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
 ORACLES["op1_chat"] = chat.oracle()
 
 
+@query
+def op2_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = licenses.scan_licenses(read(spark, sf_dir, "documents").select("doc_id", "text"))
+    shown = F.transform("licenses", lambda m: F.concat_ws(":", m["license"], F.format_string("%.4f", m["coverage"]), m["start"], m["stop"]))
+    return found.select("doc_id", F.size("licenses").cast("bigint").alias("n_matches"), F.array_join(shown, ",").alias("matches"))
+
+
 @query
 def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
