@@ -14,11 +14,13 @@ CHI2_ALPHA = 0.05
 
 
 def psi_severity(psi: Column, warn: float = PSI_WARN, high: float = PSI_HIGH) -> Column:
-    return F.when(psi >= high, "high").when(psi >= warn, "medium").otherwise("low")
+    """NULL where nothing could be measured."""
+    return F.when(psi.isNull() | F.isnan(psi), None).when(psi >= high, "high").when(psi >= warn, "medium").otherwise("low")
 
 
 def chi2_severity(p_value: Column, alpha: float = CHI2_ALPHA) -> Column:
-    return F.when(p_value < CHI2_HIGH_P, "high").when(p_value < alpha, "medium").otherwise("low")
+    """NULL where nothing could be measured."""
+    return F.when(p_value.isNull() | F.isnan(p_value), None).when(p_value < CHI2_HIGH_P, "high").when(p_value < alpha, "medium").otherwise("low")
 
 
 def severity_rank(severity: Column) -> Column:
@@ -33,5 +35,11 @@ def severity_name(rank: Column) -> Column:
     return F.when(rank == 3, "high").when(rank == 2, "medium").otherwise("low")
 
 
+def highest_severity(ranks: Column, unknown: Column) -> Column:
+    """Name of the highest rank. Medium and high stand as they are; low is not claimed (NULL) if a
+    measure is unknown."""
+    return F.when(unknown & (F.coalesce(ranks, F.lit(0)) <= 1), None).otherwise(severity_name(ranks))
+
+
 def should_act(severity: Column) -> Column:
     return severity.isin("medium", "high")

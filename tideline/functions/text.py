@@ -66,4 +66,5 @@ def sanitize_text(df: DataFrame, column: str, max_len: int = MAX_EXTERNAL, norma
 
 
 def flag_patterns(df: DataFrame, column: str, out: str = "patterns") -> DataFrame:
-    return df.withColumn(out, suspicious(F.col(column)))
+    """Patterns are looked for in the cleaned text, so wide letters or doubled blanks do not hide them."""
+    return df.withColumn(out, suspicious(sanitize(F.col(column))))

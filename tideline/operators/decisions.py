@@ -2,17 +2,25 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import sys
+from collections.abc import Iterator, Sequence
 from functools import reduce
 
+import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tideline.functions.severity import should_act
+from tideline.operators.graph import components
 from tideline.operators.ordered import previous_value, top_n_per_key
-from tideline.session import cut, scratch_path
+from tideline.session import cut
 from tideline.sources.tables import upsert_latest
 
+# Ship the greedy choice with the task; executors need not have the package installed.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 ACTIONS = ("replay_test", "retrain", "rollback")  # actions that reach the job queue
 DISPATCH_TTL_SECONDS = 86_400
 
@@ -128,48 +136,80 @@ def matched_investigations(existing: DataFrame, events: DataFrame) -> DataFrame:
     )
 
 
-def open_investigations(
-    existing: DataFrame, events: DataFrame, ts: str = "created_at", max_rounds: int = 1000
-) -> DataFrame:
+#: Rounds go on while each decides this share of what is open; what then remains are long chains.
+MIN_PROGRESS = 0.25
+
+
+def open_investigations(existing: DataFrame, events: DataFrame, ts: str = "created_at") -> DataFrame:
     """Events that open a new investigation, as if taken one by one in (time, event, report) order.
 
     An event is refused if its event id or report id belongs to an existing or an already accepted
-    row. In each round every undecided event that comes first for both of its ids is accepted, and the
-    events sharing an id with it are refused. Ids are reduced by a ``min`` aggregate before the joins,
-    which are equi-joins on one id each.
+    row; a NULL id never matches. In each round every undecided event that comes first for both of its
+    ids is accepted, and the events sharing an id with it are refused. Where rounds decide little, events
+    hang together in chains, which have an order that nothing shortens: then each group of
+    connected events is taken in order by one task, all groups side by side.
     """
-    order = F.struct(ts, "event_id", "report_id")
-    fresh = (
+    names = [c for c in events.columns if c not in (ts, "event_id", "report_id")]
+    unmatched = (
         events.join(existing.select(F.col("drift_event_id").alias("event_id")).where("event_id is not null").distinct(), "event_id", "left_anti")
         .join(existing.select(F.col("drift_report_id").alias("report_id")).where("report_id is not null").distinct(), "report_id", "left_anti")
         .select(*events.columns)
+    )
+    without_ids = unmatched.where("event_id is null and report_id is null")
+    pairs = (
         # full copies and repeats of one (event, report) pair can never both be accepted
+        unmatched.where("event_id is not null or report_id is not null")
         .groupBy("event_id", "report_id")
-        .agg(F.min(F.struct(ts, *[c for c in events.columns if c not in (ts, "event_id", "report_id")])).alias("r"))
-        .select("event_id", "report_id", "r.*")
+        .agg(F.min(F.struct(ts, *names)).alias("r"))
+        .select("event_id", "report_id", f"r.{ts}")
+        # a missing id gets a name that only rows with the same other id share
+        .withColumn("__e", F.coalesce(F.concat(F.lit("e"), F.col("event_id").cast("string")), F.concat(F.lit("r"), F.col("report_id").cast("string"))))
+        .withColumn("__r", F.coalesce(F.concat(F.lit("R"), F.col("report_id").cast("string")), F.concat(F.lit("E"), F.col("event_id").cast("string"))))
+        .withColumn("__o", F.struct(ts, "event_id", "report_id"))
     )
-    undecided = cut(fresh.withColumn("__o", order))
-    accepted: DataFrame | None = None
-    for _ in range(max_rounds):
-        first_e = undecided.groupBy("event_id").agg(F.min("__o").alias("__fe"))
-        first_r = undecided.groupBy("report_id").agg(F.min("__o").alias("__fr"))
-        marked = cut(
-            undecided.join(first_e, "event_id")
-            .join(first_r, "report_id")
-            .withColumn("__take", (F.col("__o") == F.col("__fe")) & (F.col("__o") == F.col("__fr")))
-            .drop("__fe", "__fr")
-        )
-        taken = marked.where("__take").drop("__take")
-        accepted = taken if accepted is None else accepted.unionByName(taken)
-        undecided = cut(
-            marked.where(~F.col("__take"))
-            .drop("__take")
-            .join(taken.select("event_id"), "event_id", "left_anti")
-            .join(taken.select("report_id"), "report_id", "left_anti")
-        )
-        if undecided.isEmpty():
-            return accepted.select(*events.columns)
-    raise RuntimeError("undecided events remain; raise max_rounds")
+    undecided = cut(pairs.select("__e", "__r", "__o"))
+    open_rows = undecided.count()
+    accepted = [undecided.limit(0)]
+    while open_rows:
+        first_e = undecided.groupBy("__e").agg(F.min("__o").alias("__fe"))
+        first_r = undecided.groupBy("__r").agg(F.min("__o").alias("__fr"))
+        taken = cut(undecided.join(first_e, "__e").join(first_r, "__r").where((F.col("__o") == F.col("__fe")) & (F.col("__o") == F.col("__fr"))).select("__e", "__r", "__o"))
+        accepted.append(taken)
+        undecided = cut(undecided.join(taken.select("__e"), "__e", "left_anti").join(taken.select("__r"), "__r", "left_anti"))
+        before, open_rows = open_rows, undecided.count()
+        if open_rows > (1 - MIN_PROGRESS) * before:
+            accepted.append(_take_in_order(undecided))
+            break
+    chosen = reduce(DataFrame.unionByName, accepted).select(F.col("__o.event_id").alias("__i"), F.col("__o.report_id").alias("__j"))
+    same = F.col("event_id").eqNullSafe(F.col("__i")) & F.col("report_id").eqNullSafe(F.col("__j"))
+    rows = unmatched.join(chosen, same, "left_semi").groupBy("event_id", "report_id").agg(F.min(F.struct(ts, *names)).alias("r"))
+    return rows.select("event_id", "report_id", "r.*").select(*events.columns).unionByName(without_ids)
+
+
+def _take_in_order(undecided: DataFrame) -> DataFrame:
+    """Greedy choice within each connected group of events, streamed in order."""
+    groups = components(undecided.select(F.col("__e").alias("a"), F.col("__r").alias("b")))
+    kind = undecided.schema["__o"].dataType.simpleString()
+    ordered = (
+        undecided.join(groups.withColumnRenamed("node", "__e"), "__e")
+        .select("root", "__e", "__r", "__o")
+        .repartition("root")
+        .sortWithinPartitions("root", "__o")
+    )
+    return ordered.mapInArrow(_greedy, f"__e string, __r string, __o {kind}")
+
+
+def _greedy(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    root, used = None, set()
+    for batch in batches:
+        keep = []
+        for i, (group, e, r) in enumerate(zip(*[batch.column(k).to_pylist() for k in range(3)])):
+            if group != root:
+                root, used = group, set()
+            if e not in used and r not in used:
+                used.update((e, r))
+                keep.append(i)
+        yield pa.RecordBatch.from_arrays([batch.column(k).take(pa.array(keep, pa.int64())) for k in (1, 2, 3)], ["__e", "__r", "__o"])
 
 
 def dedupe_dispatch(
@@ -181,36 +221,40 @@ def dedupe_dispatch(
 ) -> DataFrame:
     """Accepted dispatches: at most one per key within the TTL of the last accepted one.
 
-    Time is cut into slices of one TTL. A slice can hold at most one accepted row per key: the first
-    one not blocked by the key's last acceptance, a ``min`` aggregate. Slices are folded in time order
-    over a table written once by slice, so each step reads its own slice only. An acceptance can block
-    the next slice but none after it, so the state of a step is what the slice before accepted.
-    ``key`` and ``tie`` together identify a row.
+    After an accepted row the next one is the first at or after its time plus the TTL. This successor is
+    found for all rows at once, within slices of one TTL, so a hot key is cut by time. A row
+    without another in the TTL before it is accepted for sure; from those rows the successors are followed,
+    twice as far in each round, so the rounds are the logarithm of the longest unbroken run.
+    ``key`` and ``tie`` together identify a row; rows without a time are not accepted.
     """
-    spark = dispatches.sparkSession
     ttl = ttl_seconds * 1_000_000
-    path = scratch_path(spark, "dispatch")
-    (
-        dispatches.withColumn("__t", F.unix_micros(F.col(ts).cast("timestamp")))
-        .withColumn("__slice", F.expr(f"__t div {ttl} - if(__t % {ttl} < 0, 1, 0)"))
-        .groupBy(key, "__slice", "__t")  # rows equal in key and time: only the first can be accepted
-        .agg(F.min(tie).alias(tie))
-        .write.partitionBy("__slice")
-        .parquet(path)
-    )
-    firsts = spark.read.parquet(path)
-    slices = sorted(r["__slice"] for r in firsts.select("__slice").distinct().collect())  # bounded by the time span
-    accepted: dict[int, DataFrame] = {}
-    for number in slices:
-        rows = firsts.where(F.col("__slice") == number)
-        if number - 1 in accepted:
-            before = accepted[number - 1].select(key, F.col("__t").alias("__last"))
-            rows = rows.join(before, key, "left").where(F.col("__last").isNull() | (F.col("__t") >= F.col("__last") + ttl))
-        step = rows.groupBy(key).agg(F.min(F.struct("__t", tie)).alias("__m"))
-        accepted[number] = cut(step.select(key, F.col("__m.__t").alias("__t"), F.col(f"__m.{tie}").alias(tie)))
-    if not accepted:
-        return dispatches
-    taken = reduce(DataFrame.union, accepted.values()).select(key, tie)
+    at = F.unix_micros(F.col(ts).cast("timestamp"))
+    # rows equal in key and time: only the first can be accepted
+    rows = cut(dispatches.select(F.col(key).alias("k"), at.alias("t"), F.col(tie).alias("tie")).where("t is not null").groupBy("k", "t").agg(F.min("tie").alias("tie")))
+    data = rows.select("k", "t", F.col("t").alias("at"), F.lit(1).alias("real"))
+    probes = rows.select("k", "t", (F.col("t") + ttl).alias("at"), F.lit(0).alias("real"))
+    both = data.unionByName(probes).withColumn("slice", F.expr(f"at div {ttl} - if(at % {ttl} < 0, 1, 0)"))
+    time = F.when(F.col("real") == 1, F.col("at"))
+    down = W.partitionBy("k", "slice").orderBy(F.col("at").desc(), F.col("real").desc())
+    up = W.partitionBy("k", "slice").orderBy(F.col("at").asc(), F.col("real").desc())
+    # a row at the time of a probe is its successor; only rows before a row count for the gap
+    seen = both.withColumn("after", F.last(time, True).over(down.rowsBetween(W.unboundedPreceding, 0)))
+    seen = seen.withColumn("before", F.last(time, True).over(up.rowsBetween(W.unboundedPreceding, -1)))
+    slices = both.groupBy("k", "slice").agg(F.min(time).alias("low"), F.max(time).alias("high"))
+    later = W.partitionBy("k").orderBy(F.col("slice").desc()).rowsBetween(W.unboundedPreceding, -1)
+    earlier = W.partitionBy("k").orderBy("slice").rowsBetween(W.unboundedPreceding, -1)
+    edges = slices.select("k", "slice", F.last("low", True).over(later).alias("low"), F.last("high", True).over(earlier).alias("high"))
+    placed = cut(seen.join(edges, ["k", "slice"]).select("k", "t", "real", F.coalesce("after", "low").alias("after"), F.coalesce("before", "high").alias("before")))
+    starts = placed.where((F.col("real") == 1) & (F.col("before").isNull() | (F.col("t") - F.col("before") >= ttl))).select("k", "t")
+    hops = placed.where((F.col("real") == 0) & F.col("after").isNotNull()).select("k", "t", F.col("after").alias("next"))
+    hops = cut(hops.join(starts.withColumnRenamed("t", "next"), ["k", "next"], "left_anti").select("k", "t", "next"))
+    reached = cut(starts)
+    while not hops.isEmpty():
+        further = reached.join(hops, ["k", "t"]).select("k", F.col("next").alias("t"))
+        reached = cut(reached.unionByName(further).distinct())
+        onward = hops.select("k", F.col("t").alias("next"), F.col("next").alias("onward"))
+        hops = cut(hops.join(onward, ["k", "next"]).select("k", "t", F.col("onward").alias("next")))
+    taken = reached.join(rows, ["k", "t"]).select(F.col("k").alias(key), F.col("tie").alias(tie))
     return dispatches.join(taken, [key, tie], "left_semi")
 
 
@@ -334,4 +378,4 @@ def dispatch_plan(proposals: DataFrame, approvals: DataFrame, reports: DataFrame
 
 def newest(df: DataFrame, keys: Sequence[str], ts: str, tie: str, n: int) -> DataFrame:
     """Newest ``n`` rows per key."""
-    return top_n_per_key(df, keys, [F.col(ts).desc(), F.col(tie).desc()], n, salt_by=[ts, tie])
+    return top_n_per_key(df, keys, [F.col(ts).desc(), F.col(tie).desc()], n)

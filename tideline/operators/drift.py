@@ -13,8 +13,8 @@ from tideline.functions.severity import (
     PSI_HIGH,
     PSI_WARN,
     chi2_severity,
+    highest_severity,
     psi_severity,
-    severity_name,
     severity_rank,
 )
 from tideline.functions.stats import chi2_p_value
@@ -227,8 +227,10 @@ def metric_rows(psi_rows: DataFrame, chi2_rows: DataFrame, keys: Sequence[str] =
 
 
 def aggregate_severity(rows: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
-    """Highest severity of any metric row per key; no row at all reads as low."""
-    return rows.groupBy(*keys).agg(severity_name(F.max(severity_rank(F.col("severity")))).alias("severity"))
+    """Highest severity of any metric row per key; no row at all reads as low, unmeasured rows as NULL
+    unless another is above low."""
+    unknown = F.count_if(F.col("severity").isNull()) > 0
+    return rows.groupBy(*keys).agg(highest_severity(F.max(severity_rank(F.col("severity"))), unknown).alias("severity"))
 
 
 def _first_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[Column], limit: int) -> DataFrame:
@@ -378,7 +380,7 @@ def drift_report(
     return joined.select(
         *keys,
         ident.alias("report_id"),
-        severity_name(F.array_max(ranks)).alias("severity"),
+        highest_severity(F.array_max(ranks), F.exists(ranks, lambda r: r == 0)).alias("severity"),
         F.col("output_drift.current_n").alias("window_size"),
         "psi_results",
         "chi2_results",

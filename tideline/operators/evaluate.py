@@ -23,7 +23,7 @@ def score_counts(df: DataFrame, score: str, label: str, keys: Sequence[str] = ()
     )
 
 
-def cumulative_counts(df: DataFrame, score: str, label: str, keys: Sequence[str] = (), buckets: int = 64) -> DataFrame:
+def cumulative_counts(df: DataFrame, score: str, label: str, keys: Sequence[str] = (), buckets: int | None = None) -> DataFrame:
     """Score counts with running totals from the highest score down.
 
     The counts are fixed in shared storage: the totals need them three times (balance, offsets, rows).
@@ -32,7 +32,7 @@ def cumulative_counts(df: DataFrame, score: str, label: str, keys: Sequence[str]
     return running_totals(counts, "score", ["pos", "neg"], keys, True, buckets)
 
 
-def roc_auc(df: DataFrame, score: str, label: str, keys: Sequence[str] = (), buckets: int = 64) -> DataFrame:
+def roc_auc(df: DataFrame, score: str, label: str, keys: Sequence[str] = (), buckets: int | None = None) -> DataFrame:
     """Exact area under the ROC curve; tied scores count half. NULL with a single class."""
     curve = cumulative_counts(df, score, label, keys, buckets)
     # negatives at this score lose to every positive above and tie with those at the score
@@ -41,7 +41,7 @@ def roc_auc(df: DataFrame, score: str, label: str, keys: Sequence[str] = (), buc
     return curve.groupBy(*keys).agg((wins / F.nullif(pairs, F.lit(0.0))).alias("roc_auc"))
 
 
-def pr_curve(df: DataFrame, score: str, label: str, keys: Sequence[str] = (), buckets: int = 64) -> DataFrame:
+def pr_curve(df: DataFrame, score: str, label: str, keys: Sequence[str] = (), buckets: int | None = None) -> DataFrame:
     """Precision, recall and F1 at every distinct score taken as threshold."""
     curve = cumulative_counts(df, score, label, keys, buckets)
     hits = F.col("cum_pos").cast("double")
@@ -55,7 +55,7 @@ def pr_curve(df: DataFrame, score: str, label: str, keys: Sequence[str] = (), bu
 
 
 def operating_threshold(
-    df: DataFrame, score: str, label: str, min_recall: float = MIN_RECALL, keys: Sequence[str] = (), buckets: int = 64
+    df: DataFrame, score: str, label: str, min_recall: float = MIN_RECALL, keys: Sequence[str] = (), buckets: int | None = None
 ) -> DataFrame:
     """Highest threshold with recall >= ``min_recall``; else the lowest one with the best F1.
 
@@ -99,7 +99,7 @@ def confusion_metrics(
 
 
 def replay_metrics(
-    df: DataFrame, score: str, label: str, threshold: float, keys: Sequence[str] = (), buckets: int = 64
+    df: DataFrame, score: str, label: str, threshold: float, keys: Sequence[str] = (), buckets: int | None = None
 ) -> DataFrame:
     """The five metrics of a replay: accuracy, precision, recall, F1 and ROC AUC."""
     at_threshold = confusion_metrics(df, score, label, threshold, keys).drop("tp", "fp", "fn", "tn")

@@ -8,6 +8,7 @@ comparison per row, and the table itself is never shuffled.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -114,9 +115,10 @@ def hash_bands(
 
 
 def dense_hash_position(
-    df: DataFrame, ids: Sequence[str], seed: int | str, out: str = "position", digits: int = 3
+    df: DataFrame, ids: Sequence[str], seed: int | str, out: str = "position", bucket_rows: int = 10_000
 ) -> DataFrame:
-    """0-based position of every row in hash order, ranked inside ``16**digits`` uniform buckets."""
+    """0-based position of every row in hash order, ranked inside uniform buckets of about ``bucket_rows``."""
+    digits = max(1, math.ceil(math.log(max(1, df.count() / bucket_rows), 16)))
     keyed = df.withColumn("__d", row_digest(ids, seed))
     keyed = keyed.withColumn("__hb", F.conv(F.substring("__d", 1, digits), 16, 10).cast("int"))
     run = W.partitionBy(F.lit(0)).orderBy("__hb").rowsBetween(W.unboundedPreceding, -1)
@@ -127,7 +129,7 @@ def dense_hash_position(
     )
     inside = W.partitionBy("__hb").orderBy("__d")
     return (
-        keyed.join(F.broadcast(offsets), "__hb")  # at most 16**digits rows
+        keyed.join(offsets, "__hb")
         .withColumn(out, F.col("__before") + F.row_number().over(inside) - 1)
         .drop("__d", "__hb", "__before")
     )

@@ -7,6 +7,7 @@ carries a small per-sub-group summary across.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -14,23 +15,31 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
+#: Rows that one bucket of running totals sorts.
+BUCKET_ROWS = 100_000
+WINDOW_LIMIT = "spark.sql.optimizer.windowGroupLimitThreshold"
+
+
 def top_n_per_key(
     df: DataFrame,
     keys: Sequence[str],
     order: Sequence[Column],
     n: int,
-    salts: int = 32,
-    salt_by: Sequence[str] | None = None,
+    salts: int | None = None,
 ) -> DataFrame:
     """The first ``n`` rows of every key (of the table, without keys) in ``order``.
 
-    Two passes: the winners of each salted part of a key, where Spark limits every map partition before
-    the shuffle, then the winners among at most ``n * salts`` survivors. A bare sort with a limit is
-    not enough for the table-wide case: a projection on top can turn it into a sort of everything.
-    ``salt_by`` names columns that tell rows apart (default: all); fewer columns keep scans narrow.
+    Two passes: the winners of each salted part of a key, then the winners among at most ``n * salts``
+    survivors. The salt is the source partition: a map task keeps ``n`` rows of a key at most, and a
+    reducer sees few tasks' rows of a key. By default there are as many salts as the square root of the
+    shuffle partitions. Spark limits a window before its shuffle up to a threshold only; it is raised to ``n``.
     """
-    plain = [F.col(f"`{c}`") for c in (salt_by or [c for c, t in df.dtypes if not t.startswith("map")])]
-    salted = df.withColumn("__salt", F.pmod(F.xxhash64(*plain), F.lit(salts)))
+    conf = df.sparkSession.conf
+    if salts is None:
+        salts = max(1, math.isqrt(int(conf.get("spark.sql.shuffle.partitions"))))
+    if n > int(conf.get(WINDOW_LIMIT, "1000")):
+        conf.set(WINDOW_LIMIT, str(n))
+    salted = df.withColumn("__salt", F.spark_partition_id() % salts)
     first = W.partitionBy(*keys, "__salt").orderBy(*order)
     survivors = salted.withColumn("__rn", F.row_number().over(first)).where(F.col("__rn") <= n).drop("__rn", "__salt")
     if not keys:
@@ -97,13 +106,15 @@ def running_totals(
     measures: Sequence[str],
     keys: Sequence[str] = (),
     descending: bool = True,
-    buckets: int = 64,
+    buckets: int | None = None,
 ) -> DataFrame:
     """Add ``cum_<m>`` (inclusive) and ``all_<m>`` to a table with one row per key and order value.
 
     Rows are put in balanced value buckets; totals of the buckets give the offset of each, and the
-    window runs inside a bucket only.
+    window runs inside a bucket only. By default a bucket holds about ``BUCKET_ROWS`` rows.
     """
+    if buckets is None:
+        buckets = max(1, -(-df.count() // BUCKET_ROWS))
     splits = balanced_splits(df, order_col, buckets)
     bucket = bucket_of(F.col(order_col).cast("double"), splits)
     placed = df.withColumn("__b", -bucket if descending else bucket)
@@ -117,8 +128,6 @@ def running_totals(
         *[F.coalesce(F.sum(f"__t_{m}").over(before), F.lit(0)).alias(f"__o_{m}") for m in measures],
         *[F.sum(f"__t_{m}").over(whole).alias(f"all_{m}") for m in measures],
     )
-    if not keys:  # at most `buckets` rows
-        offsets = F.broadcast(offsets)
     direction = F.col(order_col).desc() if descending else F.col(order_col).asc()
     inside = W.partitionBy(*keys, "__b").orderBy(direction).rowsBetween(W.unboundedPreceding, 0)
     joined = placed.join(offsets, [*keys, "__b"])

@@ -158,10 +158,13 @@ def unseen_category_rows(batch: DataFrame, allowed: DataFrame, columns: Sequence
 
 
 def require_known_categories(batch: DataFrame, allowed: DataFrame, columns: Sequence[str]) -> None:
-    """Raise if a batch brings values the allow-list lacks; shows a few of them."""
-    bad = unseen_categories(batch, allowed, columns).orderBy("feature", "category").limit(20).collect()
+    """Raise if a batch brings values the allow-list lacks; the error counts them for each column.
+
+    :func:`unseen_categories` has the values themselves, however many there are.
+    """
+    bad = unseen_categories(batch, allowed, columns).groupBy("feature").count().orderBy("feature").collect()
     if bad:
-        raise ValueError("invalid categories: " + ", ".join(f"{r['feature']}={r['category']}" for r in bad))
+        raise ValueError("invalid categories: " + ", ".join(f"{r['feature']} ({r['count']})" for r in bad))
 
 
 def batch_outcome(checked: DataFrame, order: Sequence[str], examples: int = 5) -> DataFrame:

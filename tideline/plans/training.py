@@ -90,10 +90,12 @@ def dummy_baseline(df: DataFrame, label: str, train: DataFrame, ids: Sequence[st
     return df.withColumn(out, (order_key(ids, f"dummy{seed}") < F.lit(prior * 16.0**13)).cast("double"))
 
 
+#: The deepest trees that Spark grows; in effect no limit.
+MAX_DEPTH = 30
 Builder = Callable[[float], object] | None  # None: the hash-drawn baseline
 
 
-def candidates(num_trees: int = 100, max_depth: int = 12, max_iter: int = 1000, seed: int = SEED) -> dict[str, Builder]:
+def candidates(num_trees: int = 100, max_depth: int = MAX_DEPTH, max_iter: int = 1000, seed: int = SEED) -> dict[str, Builder]:
     """Estimators by name, each from the total row weight. The order breaks ties of the selection.
 
     ``random_forest_full`` grows its trees on all rows; it stands in for extremely randomised trees,

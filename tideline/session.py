@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
-import tempfile
+import atexit
+import re
+import shutil
 import uuid
+from urllib.parse import urlparse
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -14,8 +17,8 @@ BROADCAST_ROWS = 200_000
 def shared_dir(spark: SparkSession) -> str:
     """Folder that driver and executors share.
 
-    A cluster names it in ``spark.checkpoint.dir``. Only where that is unset (tests, local runs) a
-    folder of our own is set.
+    A cluster names it in ``spark.checkpoint.dir``. Where that is unset, a local session gets a folder of
+    its own beside the warehouse, which goes when Python ends; a cluster is refused.
     """
     sc = spark.sparkContext
     configured = spark.conf.get("spark.checkpoint.dir", None)
@@ -24,7 +27,12 @@ def shared_dir(spark: SparkSession) -> str:
             sc.setCheckpointDir(configured)
         return configured
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="tideline-"))
+        if not re.match(r"local(\[|$)", sc.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
+        folder = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}-scratch/{uuid.uuid4().hex}"
+        sc.setCheckpointDir(folder)
+        if urlparse(folder).scheme in ("", "file"):
+            atexit.register(shutil.rmtree, urlparse(folder).path, ignore_errors=True)
     return sc.getCheckpointDir()
 
 

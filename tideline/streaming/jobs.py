@@ -40,6 +40,16 @@ def write_batch(df: DataFrame, path: str, batch_id: int) -> None:
     df.write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
 
 
+def _read_if_there(spark: SparkSession, path: str) -> DataFrame | None:
+    """A table, or none if its folder is missing. Anything else that is wrong with it is an error."""
+    try:
+        return spark.read.parquet(path)
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return None
+
+
 def previous_snapshot(spark: SparkSession, path: str, batch_id: int) -> DataFrame | None:
     """Snapshot of the last batch before ``batch_id``, or none.
 
@@ -48,14 +58,13 @@ def previous_snapshot(spark: SparkSession, path: str, batch_id: int) -> DataFram
     """
     if batch_id == 0:
         return None
-    try:
-        return spark.read.parquet(f"{path}/batch_id={batch_id - 1}")
-    except AnalysisException:
-        pass
-    try:
-        last = spark.read.parquet(path).where(F.col("batch_id") < batch_id).agg(F.max("batch_id")).first()[0]
-    except AnalysisException:
+    before = _read_if_there(spark, f"{path}/batch_id={batch_id - 1}")
+    if before is not None:
+        return before
+    every = _read_if_there(spark, path)
+    if every is None:
         return None
+    last = every.where(F.col("batch_id") < batch_id).agg(F.max("batch_id")).first()[0]
     return None if last is None else spark.read.parquet(f"{path}/batch_id={last}")
 
 
@@ -79,7 +88,7 @@ def with_dead_letter(
             except Exception as error:
                 if attempt == attempts:
                     rows = df.select(
-                        F.lit(job_type).alias("job_type"), F.to_json(F.struct(*df.columns)).alias("payload"), F.lit(str(error)[:1000]).alias("error")
+                        F.lit(job_type).alias("job_type"), F.to_json(F.struct(*df.columns)).alias("payload"), F.lit(str(error)).alias("error")
                     )
                     write_batch(rows, path, batch_id)
                     return None
@@ -105,9 +114,11 @@ def score_stream(
     """
 
     def batch(df: DataFrame, batch_id: int) -> None:
-        valid, rejected = validate(df, rules)
+        checked = df.persist()  # the batch is read once for both sinks
+        valid, rejected = validate(checked, rules)
         write_batch(score(valid), log_path, batch_id)
         write_batch(rejected, quarantine_path, batch_id)
+        checked.unpersist()
 
     return _start(stream, batch, checkpoint, trigger)
 
@@ -156,6 +167,9 @@ def severity_change_stream(
 ) -> StreamingQuery:
     """Emit a report whenever a key's severity differs from the last delivered one.
 
+    The state comes first, then the batch in order of time: a late report is compared with what was
+    delivered last, not with what was known at its time.
+
     ``reports`` has ``key, report_id, severity, ts``. State moves only after ``deliver`` returns: if
     delivery fails, the batch is repeated and finds the old state. Event ids are derived from key and
     report, so a repeat gives the same ids.
@@ -166,10 +180,12 @@ def severity_change_stream(
         rows = cut(df.select(*fields))
         state = previous_snapshot(df.sparkSession, state_path, batch_id)
         known = rows.limit(0) if state is None else state.select(*fields)
-        marked = known.withColumn("__old", F.lit(True)).unionByName(rows.withColumn("__old", F.lit(False)))
-        changes = severity_changes(marked, [key], ts).where(~F.col("__old")).drop("__old")
+        first = F.lit("0001-01-01").cast(known.schema[ts].dataType)  # before any report
+        marked = known.withColumns({"__old": F.lit(True), "__at": first}).unionByName(rows.withColumns({"__old": F.lit(False), "__at": F.col(ts)}))
+        changes = severity_changes(marked, [key], "__at").where(~F.col("__old")).drop("__old", "__at")
         deliver(changes.withColumn("event_id", event_id(F.col(key).cast("string"), F.col("report_id"))), batch_id)
-        write_batch(upsert_latest(known, rows, [key], [ts, "report_id"]), state_path, batch_id)
+        latest = upsert_latest(rows.limit(0), rows, [key], [ts, "report_id"])
+        write_batch(latest.unionByName(known.join(latest.select(key), key, "left_anti")), state_path, batch_id)
 
     return _start(reports, batch, checkpoint, trigger)
 
