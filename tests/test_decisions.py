@@ -189,3 +189,35 @@ def test_versions_compare_as_integers(spark):
     assert R.latest_version_per_stage(have).where("stage = 'Staging'").first()["version"] == 10
     row = R.serving_version(have).first()
     assert (row["version"], row["stage"], row["threshold"]) == (10, "Staging", 0.385)
+
+
+def test_intake_of_a_long_chain_needs_few_rounds(spark, monkeypatch):
+    n = 5000
+    events = spark.range(n).select(
+        F.format_string("e%05d", F.floor(F.col("id") / 2)).alias("event_id"),
+        F.format_string("r%05d", F.floor((F.col("id") + 1) / 2)).alias("report_id"),
+        F.timestamp_seconds(F.col("id")).alias("created_at"),
+    )
+    none = spark.createDataFrame([], "drift_event_id string, drift_report_id string")
+    rounds, cut = [], E.cut
+    monkeypatch.setattr(E, "cut", lambda df: rounds.append(1) or cut(df))
+    got = E.open_investigations(none, events)
+    assert sorted(r.event_id for r in got.collect()) == [f"e{k:05d}" for k in range(n // 2)]
+    assert len(rounds) < 10
+
+
+def test_null_ids_never_match(spark):
+    t = "2024-01-01 00:00:0"
+    rows = [("a", None, t + "1"), ("a", None, t + "2"), (None, "r", t + "3"), (None, "r", t + "4"), (None, None, t + "5"), (None, None, t + "5"), ("a", "q", t + "6"), ("b", None, t + "7")]
+    events = spark.createDataFrame(rows, "event_id string, report_id string, created_at string")
+    known = spark.createDataFrame([(None, "x"), ("c", None)], "drift_event_id string, drift_report_id string")
+    got = sorted((r.event_id or "", r.report_id or "", r.created_at[-1]) for r in E.open_investigations(known, events).collect())
+    assert got == [("", "", "5"), ("", "", "5"), ("", "r", "3"), ("a", "", "1"), ("b", "", "7")]
+
+
+def test_dispatch_dedup_jobs_do_not_follow_the_time_span(spark):
+    """Ten years of one dispatch a week: no run is unbroken, so no round is needed."""
+    rows = spark.range(520).select(F.lit("k").alias("idempotency_key"), "id", F.timestamp_seconds(F.col("id") * 7 * 86_400).alias("ts"))
+    assert E.dedupe_dispatch(rows).count() == 520
+    daily = spark.range(4000).select(F.lit("k").alias("idempotency_key"), "id", F.timestamp_seconds(F.col("id") * 50_000).alias("ts"))
+    assert [r.id for r in E.dedupe_dispatch(daily).orderBy("id").collect()] == list(range(0, 4000, 2))

@@ -68,3 +68,12 @@ def test_new_investigations_avoid_or_joins(spark, sf, monkeypatch):
     monkeypatch.setattr(E, "cut", lambda df: seen.append(plan(df)) or df.checkpoint())
     QUERIES["new_investigations"](spark, sf)
     assert seen and not any("NestedLoop" in p or "CartesianProduct" in p for p in seen)
+
+
+def test_long_windows_are_limited_before_the_shuffle(spark, sf):
+    """Beyond the thousand rows up to which the window limit is planned by default."""
+    from tideline.sources.prediction_log import rolling_window
+
+    rows = spark.read.parquet(f"{sf}/lineitem.parquet")
+    plan = rolling_window(rows, 2000, "l_shipdate", ["l_orderkey", "l_linenumber"], ["l_returnflag"])._jdf.queryExecution().toString()
+    assert "WindowGroupLimit" in plan and "Partial" in plan

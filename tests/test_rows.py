@@ -203,3 +203,22 @@ def test_unknown_scenario_is_an_error(spark):
 def test_generated_batches(spark, tmp_path):
     out = G.generate_batches(customers(spark, 300), str(tmp_path / "b"), 100, ["id"], F.col("y") == "yes")
     assert {r["scenario"]: r["count"] for r in out.groupBy("scenario").count().collect()} == dict.fromkeys(G.SCENARIOS, 100)
+
+
+def test_unknown_measures_have_no_severity(spark):
+    from tideline.functions import severity as V
+    from tideline.operators import drift as D
+
+    rows = spark.createDataFrame([("a", None, None), ("b", float("nan"), float("nan")), ("c", 0.0, 1.0), ("d", 0.3, 0.001)], "k string, psi double, p double")
+    got = {r.k: (r.x, r.y) for r in rows.select("k", V.psi_severity(F.col("psi")).alias("x"), V.chi2_severity(F.col("p")).alias("y")).collect()}
+    assert got == {"a": (None, None), "b": (None, None), "c": ("low", "low"), "d": ("high", "high")}
+    levels = spark.createDataFrame([(1, "low"), (1, None), (2, "low"), (3, None), (3, "medium"), (4, None)], "k int, severity string")
+    assert {r.k: r.severity for r in D.aggregate_severity(levels, ["k"]).collect()} == {1: None, 2: "low", 3: "medium", 4: None}
+
+
+def test_flags_see_through_disguise(spark):
+    from tideline.functions.text import flag_patterns
+
+    hidden = ["Ignore \t previous", "ｙou are now", "sys\x00tem prompt", "fine"]
+    got = [r.patterns for r in flag_patterns(spark.createDataFrame([(t,) for t in hidden], "t string"), "t").collect()]
+    assert got == [["ignore previous"], ["you are now"], ["system prompt"], []]

@@ -154,3 +154,29 @@ def test_dead_letters_after_three_attempts(spark, tmp_path):
     dead = spark.read.parquet(str(tmp_path / "dead"))
     assert sorted(r["payload"] for r in dead.collect()) == ['{"v":-1}', '{"v":2}']
     assert dead.first()["job_type"] == "retrain" and dead.first()["error"] == "negative"
+
+
+def test_late_reports_are_compared_with_what_was_delivered(spark, tmp_path):
+    """A report older than the stored state does not go out again with the same severity."""
+    path, state, seen = str(tmp_path / "in"), str(tmp_path / "s"), []
+    kind = "key string, report_id string, severity string, ts timestamp"
+
+    def feed(*rows):
+        spark.createDataFrame([(k, r, s, T0 + timedelta(days=d)) for k, r, s, d in rows], kind).coalesce(1).write.mode("append").parquet(path)
+        stream = spark.readStream.schema(kind).parquet(path)
+        deliver = lambda df, n: seen.extend((r.key, r.report_id, r.previous_severity) for r in df.collect())
+        finish(J.severity_change_stream(stream, deliver, state, str(tmp_path / "cp")))
+
+    feed(("a", "r1", "low", 8), ("a", "r2", "high", 10))
+    feed(("a", "r3", "high", 5))
+    feed(("a", "r4", "low", 6), ("b", "r5", "low", 1))
+    feed(("a", "r6", "low", 11))
+    assert sorted(seen) == [("a", "r1", None), ("a", "r2", "low"), ("a", "r4", "high"), ("b", "r5", None)]
+
+
+def test_a_broken_snapshot_is_no_fresh_start(spark, tmp_path):
+    (tmp_path / "batch_id=0").mkdir()
+    (tmp_path / "batch_id=0" / "part-0.parquet").write_bytes(b"not parquet")
+    with pytest.raises(Exception, match="(?i)parquet|footer|schema"):
+        J.previous_snapshot(spark, str(tmp_path), 1).count()
+    assert J.previous_snapshot(spark, str(tmp_path / "none"), 3) is None
