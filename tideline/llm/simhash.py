@@ -17,7 +17,8 @@ from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tideline.llm.common import components, fresh, lookup, per_row, pieces, settle
+from tideline.llm.common import fresh, lookup, per_row, pieces, settle
+from tideline.operators.graph import components
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
