@@ -171,3 +171,14 @@ def test_rankings(spark):
     assert [r["feature"] for r in D.top_features_dashboard(rows, compat=True).orderBy("rank").collect()] == ["e", "a", "d"]
     assert D.aggregate_severity(rows).first()["severity"] == "high"
     assert math.isclose(D.top_psi(psi, limit=1).first()["psi"], 0.3)
+
+
+def test_chi2_equals_the_grid_formula_with_rare_and_absent_categories(spark):
+    rng = np.random.default_rng(8)
+    freqs = {"a": 0.5, "b": 0.3, "c": 0.2 - 3e-9, "d": 1e-9, "e": 1e-9, "f": 1e-12, "g": 0.0}
+    values = rng.choice(["a", "b", "d", "f", "g", "zz", None], 400, p=[0.4, 0.3, 0.1, 0.05, 0.05, 0.05, 0.05]).tolist()
+    row = chi2_of(spark, freqs, values)
+    seen = {c: values.count(c) for c in freqs}
+    e = {c: max(f * 400, 1e-8) for c, f in freqs.items()}
+    want = sum((seen[c] - e[c]) ** 2 / e[c] for c in freqs)
+    assert abs(row.statistic - want) <= 1e-9 * want and row.dof == 6 and row.current_n == 400

@@ -30,6 +30,7 @@ from tideline.operators.quantiles import finite_or_null
 from tideline.session import cut
 
 EPSILON = 1e-8
+FLOOR = 1e-8  # of expected counts
 
 
 def _sum(array: Column) -> Column:
@@ -99,21 +100,41 @@ def chi2_from_counts(
     """Goodness-of-fit rows from ``keys, feature, category, count``.
 
     Only reference categories are compared, but unseen and missing values stay in the window size, so
-    they raise every expected count.
+    they raise every expected count. With e = n * freq the statistic is sum(o^2 / e) - 2 sum(o) + sum(e), where
+    the first two run over observed categories only: no grid of keys and categories is built. Expected
+    counts below the floor need a look at each frequency below it; those are grouped by value.
     """
-    totals = counts.groupBy(*keys, "feature").agg(F.sum("count").alias("current_n"))
-    grid = totals.join(categorical, [*profile_keys, "feature"])
-    observed = F.coalesce(F.col("count"), F.lit(0)).cast("double")
-    expected = F.greatest(F.col("freq") * F.col("current_n"), F.lit(1e-8))
-    stats = (
-        grid.join(counts, [*keys, "feature", "category"], "left")
+    floored = F.when(F.col("freq") < FLOOR, F.col("freq"))  # n is 1 at least, so others stay above the floor
+    o, part = F.col("count").cast("double"), [*profile_keys, "feature"]
+    reference = (
+        categorical.groupBy(*part, floored.alias("low"))
+        .agg(F.sum("freq").alias("mass"), F.count(F.lit(1)).alias("k"))
+        .groupBy(*part)
+        .agg(F.sum("mass").alias("__mass"), F.sum("k").alias("__k"), F.collect_list(F.when(F.col("low").isNotNull(), F.struct("low", "k"))).alias("__low"))
+    )
+    if not profile_keys:  # one row per column of the schema
+        reference = F.broadcast(reference)
+    seen = (
+        counts.join(categorical.select(*part, "category", "freq"), [*part, "category"], "left")
+        .groupBy(*keys, "feature", floored.alias("low"))
+        .agg(
+            F.sum("count").alias("n"), F.sum(F.when(F.col("freq") >= FLOOR, o * o / F.col("freq"))).alias("a"),
+            F.sum(F.when(F.col("freq").isNotNull(), o)).alias("b"), F.sum(o * o).alias("squares"),
+        )
         .groupBy(*keys, "feature")
         .agg(
-            F.sum((observed - expected) * (observed - expected) / expected).alias("statistic"),
-            F.greatest(F.count(F.lit(1)) - 1, F.lit(1)).cast("int").alias("dof"),
-            F.sum("freq").alias("__mass"),
-            F.max("current_n").alias("current_n"),
+            F.sum("n").alias("current_n"), F.coalesce(F.sum("a"), F.lit(0.0)).alias("__a"), F.coalesce(F.sum("b"), F.lit(0.0)).alias("__b"),
+            F.collect_list(F.when(F.col("low").isNotNull(), F.struct("low", "squares"))).alias("__seen"),
         )
+    )
+    n = F.col("current_n")
+    at_least = lambda freq: F.greatest(freq * n, F.lit(FLOOR))
+    low_seen = F.aggregate("__seen", F.lit(0.0), lambda t, x: t + x["squares"] / at_least(x["low"]))
+    lifted = F.aggregate("__low", F.lit(0.0), lambda t, x: t + x["k"] * (at_least(x["low"]) - x["low"] * n))
+    stats = (
+        seen.join(reference, part)
+        .withColumn("statistic", F.greatest(F.col("__a") / n + low_seen - 2 * F.col("__b") + n * F.col("__mass") + lifted, F.lit(0.0)))
+        .withColumn("dof", F.greatest(F.col("__k") - 1, F.lit(1)).cast("int"))
         .withColumn("p_value", chi2_p_value("statistic", "dof"))
     )
     return stats.select(
