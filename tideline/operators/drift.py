@@ -305,6 +305,7 @@ def cell_counts(
     label: Column,
     keys: Sequence[str] = (),
     bins: int = BINS,
+    profile_keys: Sequence[str] = (),
 ) -> DataFrame:
     """``keys, kind, feature, cell, count`` for every bin, category and class of a window.
 
@@ -323,12 +324,14 @@ def cell_counts(
     entries = [entry("num", f, finite_or_null(F.col(f"`{f}`")), none) for f in present(current, numeric)]
     entries += [entry("cat", f, none, F.col(f"`{f}`")) for f in present(current, categorical)]
     entries.append(entry("out", "label", none, label.cast("int")))
-    edges = F.broadcast(profile.numeric.select("feature", "edges"))  # one row per column of the schema
+    edges = profile.numeric.select(*profile_keys, "feature", "edges")
+    if not profile_keys:  # one row per column of the schema
+        edges = F.broadcast(edges)
     cell = F.when(F.col("kind") == "num", bin_of(F.col("value"), F.col("edges"), bins).cast("string")).otherwise(F.col("text"))
     return (
         current.select(*keys, F.explode(F.array(*entries)).alias("e"))
         .select(*keys, "e.*")
-        .join(edges, "feature", "left")
+        .join(edges, [*profile_keys, "feature"], "left")
         .withColumn("cell", cell)
         .groupBy(*keys, "kind", "feature", "cell")
         .count()
@@ -347,24 +350,30 @@ def drift_report(
     alpha: float = CHI2_ALPHA,
     all_keys: DataFrame | None = None,
     report_id: Column | None = None,
+    profile_keys: Sequence[str] = (),
+    as_of: Column | None = None,
 ) -> DataFrame:
     """One report row per key: ``report_id, severity, window_size, psi_results, chi2_results, output_drift``.
 
     The window is scanned once; its cell counts (bins, categories, classes) are fixed in shared
     storage and all metrics are read from them. Keys listed in ``all_keys`` (and the single report
     without keys) appear with severity low and size 0 if their window is empty.
+
+    With ``profile_keys`` (some of ``keys``) each key is compared with its own reference; keys without one
+    have no report. ``as_of`` adds a column ``timestamp`` and enters the id, so that equal windows at two
+    times are two reports.
     """
     keys = list(keys)
-    cells = cut(cell_counts(profile, current, numeric, categorical, label, keys, bins))
+    cells = cut(cell_counts(profile, current, numeric, categorical, label, keys, bins, profile_keys))
     of = lambda kind: cells.where(F.col("kind") == kind)
     in_cell = lambda value: F.coalesce(F.sum(F.when(F.col("cell") == value, F.col("count"))), F.lit(0))
 
     hist = of("num").groupBy(*keys, "feature").agg(
         F.sum("count").alias("current_n"), F.array(*[in_cell(str(i)) for i in range(bins)]).alias("bin_counts")
     )
-    psi_rows = psi_from_counts(profile.numeric, hist, keys)
+    psi_rows = psi_from_counts(profile.numeric, hist, keys, profile_keys=profile_keys)
     categories = of("cat").select(*keys, "feature", F.col("cell").alias("category"), "count")
-    chi2_rows = chi2_from_counts(profile.categorical, categories, keys, alpha)
+    chi2_rows = chi2_from_counts(profile.categorical, categories, keys, alpha, profile_keys)
     classes = of("out").groupBy(*keys).agg(
         in_cell("0").alias("zeros"), in_cell("1").alias("ones"), F.coalesce(F.sum("count"), F.lit(0)).alias("current_n")
     )
@@ -372,7 +381,7 @@ def drift_report(
         classes = (
             all_keys.select(*keys).distinct().join(classes, keys, "left").na.fill(0, ["zeros", "ones", "current_n"])
         )
-    out = output_from_counts(profile.output, classes, keys, mode)
+    out = output_from_counts(profile.output, classes, keys, mode, profile_keys=profile_keys)
 
     # Arrays below hold one entry per column of the schema.
     def packed(rows: DataFrame, fields: Sequence[str], name: str) -> DataFrame:
@@ -397,9 +406,11 @@ def drift_report(
         F.transform("chi2_results", lambda r: severity_rank(r["severity"])),
         F.array(severity_rank(F.col("output_drift.severity"))),
     )
-    ident = report_id if report_id is not None else F.md5(F.to_json(F.struct(*keys, "psi_results", "chi2_results", "output_drift")))
+    time = [] if as_of is None else [as_of.alias("timestamp")]
+    ident = report_id if report_id is not None else F.md5(F.to_json(F.struct(*keys, *time, "psi_results", "chi2_results", "output_drift")))
     return joined.select(
         *keys,
+        *time,
         ident.alias("report_id"),
         highest_severity(F.array_max(ranks), F.exists(ranks, lambda r: r == 0)).alias("severity"),
         F.col("output_drift.current_n").alias("window_size"),
@@ -409,6 +420,31 @@ def drift_report(
     )
 
 
+def alert_events(changes: DataFrame, limit: int = 5) -> DataFrame:
+    """Alert events v1 from reports whose severity changed.
+
+    ``changes`` are reports with ``model_name, model_version, timestamp`` and ``previous_severity``. The top features
+    are ranked by severity, value, metric (PSI first) and name.
+    """
+
+    def ranked(results: str, metric: str, value: str, source: int) -> Column:
+        return F.transform(results, lambda r: F.struct(
+            (-severity_rank(r["severity"])).alias("rank"), (-r[value]).alias("down"), F.lit(source).alias("source"), r["feature"].alias("feature"),
+            F.lit(metric).alias("metric"), r[value].alias("value"), r["severity"].alias("severity"),
+        ))
+
+    ordered = F.array_sort(F.concat(ranked("psi_results", "psi", "psi", 0), ranked("chi2_results", "chi2", "statistic", 1)))
+    top = F.transform(F.slice(ordered, 1, limit), lambda t: F.struct(*[t[c].alias(c) for c in ("feature", "metric", "value", "severity")]))
+    text = F.concat(F.lit("Drift severity "), F.col("severity"), F.lit(" over "), F.col("window_size").cast("string"), F.lit(" rows."))
+    return changes.select(
+        F.lit("v1").alias("schema_version"),
+        F.md5(F.concat_ws("|", "model_name", F.col("model_version").cast("string"), "report_id")).alias("event_id"),
+        "report_id", "previous_severity", "model_name", "model_version", "severity", F.col("timestamp").alias("created_at"),
+        F.struct(text.alias("text"), "window_size", F.col("output_drift.severity").alias("output_drift_severity")).alias("drift_summary"),
+        top.alias("top_features"), "psi_results", "chi2_results", "output_drift", "window_size",
+    )
+
+
 def exploded_report(report: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     """Metric rows of reports: ``keys, report_id, report_severity, window_size, feature, metric, value, severity``."""
     rows = F.concat(

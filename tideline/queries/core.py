@@ -487,6 +487,45 @@ def drift_report_by_segment(spark: SparkSession, sf: str) -> DataFrame:
     return D.exploded_report(report, ["segment"]).drop("report_id", "window_size").withColumn("value", F.round("value", 6))
 
 
+# A fleet: rows of odd and even line numbers are two models, each compared with its own reference.
+def _of_model(sql: str, model: int) -> str:
+    for name in ("ref", "cur"):
+        sql = sql.replace(f"{name} AS (", f"all_{name} AS (", 1)
+    at = sql.index(_LONG_REF)
+    pick = ", ".join(f"{n} AS (SELECT * FROM all_{n} WHERE l_linenumber % 2 = {model})" for n in ("ref", "cur"))
+    return f"{sql[:at]}{pick}, {sql[at:]}"
+
+
+def _fleet_sql(select: str) -> str:
+    return " UNION ALL ".join(f"SELECT {m} AS model_version, * FROM (WITH {_of_model(_ALL, m)}, {_ROWS}, x AS (SELECT feature, metric, value, severity, source FROM m UNION ALL SELECT 'label', 'output', psi, {_SEV}, 2 FROM outp) {select})" for m in (0, 1))
+
+
+def _fleet(spark: SparkSession, sf: str) -> DataFrame:
+    key = (F.col("l_linenumber") % 2).alias("model_version")
+    ref, cur = reference(spark, sf).select("*", key), current(spark, sf).select("*", key)
+    profile = P.reference_profile(ref, NUMERIC, CATEGORICAL, F.col("label"), ["model_version"])
+    as_of = F.lit("2024-01-01").cast("timestamp_ntz")
+    return D.drift_report(profile, cur, NUMERIC, CATEGORICAL, F.col("label"), ["model_version"], profile_keys=["model_version"], as_of=as_of)
+
+
+@query(_fleet_sql("SELECT feature, metric, round(value, 6) AS value, severity, (SELECT count(*) FROM cur) AS window_size FROM x"))
+def fleet_drift_report(spark: SparkSession, sf: str) -> DataFrame:
+    rows = D.exploded_report(_fleet(spark, sf), ["model_version"])
+    return rows.select("model_version", "feature", "metric", F.round("value", 6).alias("value"), "severity", "window_size")
+
+
+@query(f"""SELECT model_version, CASE max({_RANK}) WHEN 3 THEN 'high' WHEN 2 THEN 'medium' ELSE 'low' END AS severity, min(n) AS window_size,
+  string_agg(CASE WHEN k <= 5 THEN feature || ':' || metric || ':' || severity END, ',' ORDER BY k) AS top, '' AS violations
+FROM (SELECT *, row_number() OVER (PARTITION BY model_version ORDER BY source = 2, {_RANK} DESC, value DESC, source, feature) AS k
+  FROM ({_fleet_sql("SELECT *, (SELECT count(*) FROM cur) AS n FROM x")})) GROUP BY 1""")
+def alert_event_v1(spark: SparkSession, sf: str) -> DataFrame:
+    """Every model's first report is a change; the events keep to their contract (versions count from 1 there)."""
+    changes = _fleet(spark, sf).withColumns({"model_name": F.lit("m"), "previous_severity": F.lit(None).cast("string"), "model_version": F.col("model_version") + 1})
+    checked = V.check(D.alert_events(changes), V.alert_event_rules())
+    top = F.array_join(F.transform("top_features", lambda t: F.concat_ws(":", t["feature"], t["metric"], t["severity"])), ",")
+    return checked.select((F.col("model_version") - 1).alias("model_version"), "severity", "window_size", top.alias("top"), F.array_join("violations", ",").alias("violations"))
+
+
 @query(f"""WITH {_ALL}, {_ROWS}, r AS (SELECT *, row_number() OVER (ORDER BY {_RANK} DESC, value DESC, source, feature) AS rank FROM m)
 SELECT CAST(rank AS INTEGER) AS rank, feature, metric, round(value, 6) AS value, severity FROM r WHERE rank <= 5""")
 def top_drifted_features(spark: SparkSession, sf: str) -> DataFrame:
