@@ -10,7 +10,7 @@ from tideline.operators import drift as D
 from tideline.operators import profile as P
 from tideline.operators import validate as V
 from tideline.queries import core, tables
-from tideline.queries.views import NUMERIC, current, reference, table
+from tideline.queries.views import CATEGORICAL, NUMERIC, current, reference, table
 from tideline.session import scratch_path
 from tideline.sources import tables as S
 from tideline.streaming import jobs as J
@@ -115,3 +115,54 @@ def psi_from_saved_profile(spark: SparkSession, sf: str) -> DataFrame:
     path = scratch_path(spark, "profile")
     S.save_profile(P.reference_profile(reference(spark, sf), NUMERIC, [], F.lit(None).cast("int")), path)
     return D.psi(S.load_profile(spark, path).numeric, current(spark, sf), NUMERIC).withColumn("psi", F.round("psi", 6))
+
+
+# The last 5000 rows of the current window, after it has come in two runs.
+_LAST = 5000
+_LAST_ORDER = ["l_linenumber", "l_partkey", "l_suppkey", "l_quantity"]
+
+
+def _windowed(sql: str) -> str:
+    sql = sql.replace("cur AS (", "all_cur AS (", 1)
+    at = sql.index(core._LONG_REF)
+    order = ", ".join(f"{c} DESC" for c in ("l_orderkey", *_LAST_ORDER))
+    return f"{sql[:at]}cur AS (SELECT * FROM all_cur ORDER BY {order} LIMIT {_LAST}), {sql[at:]}"
+
+
+@query(_windowed(core.ORACLES["drift_report"]))
+def stream_drift_report(spark: SparkSession, sf: str) -> DataFrame:
+    rows = current(spark, sf).select("l_orderkey", *_LAST_ORDER, *[c for c in (*NUMERIC, *CATEGORICAL) if c != "l_quantity"], "label")
+    early = F.pmod(F.xxhash64("l_orderkey", "l_partkey"), F.lit(3)) < 2
+    stream, path = _stream(rows.where(early), "scored")
+    profile = P.reference_profile(reference(spark, sf), NUMERIC, CATEGORICAL, F.col("label"))
+    window, out, mark = (scratch_path(spark, x) for x in ("window", "report", "mark"))
+    for more in (None, rows.where(~early)):
+        if more is not None:
+            more.write.mode("append").parquet(path)
+        _finish(J.drift_stream(stream, profile, NUMERIC, CATEGORICAL, F.col("label"), window, out, mark, _LAST, "l_orderkey", _LAST_ORDER, trigger={"availableNow": True}))
+    return D.exploded_report(spark.read.parquet(f"{out}/batch_id=1")).drop("report_id").withColumn("value", F.round("value", 6))
+
+
+@query("""SELECT CAST(o_orderkey AS VARCHAR) AS o_orderkey, o_orderstatus, o_orderpriority FROM orders ORDER BY CAST(o_orderkey AS VARCHAR) LIMIT 500""")
+def first_rows_of_batch(spark: SparkSession, sf: str) -> DataFrame:
+    """The first rows of a delimited batch, all columns as text, in the order of that text."""
+    path = scratch_path(spark, "batch")
+    table(spark, sf, "orders").select("o_orderkey", "o_orderstatus", "o_orderpriority").write.option("header", True).csv(path)
+    return S.read_batch(spark, path, 500, ["o_orderkey"])
+
+
+@query("""SELECT run, o_orderstatus AS model, CAST(count(*) AS BIGINT) AS n, round(avg(o_totalprice), 4) AS score FROM orders, (VALUES ('first'), ('second')) r(run)
+WHERE run = 'first' OR o_orderkey % 2 = 0 GROUP BY ALL""")
+def run_metrics_table(spark: SparkSession, sf: str) -> DataFrame:
+    """Two runs append to one table of metrics."""
+    path, orders = scratch_path(spark, "metrics"), table(spark, sf, "orders")
+    for run, rows in (("first", orders), ("second", orders.where("o_orderkey % 2 = 0"))):
+        metrics = rows.groupBy(F.col("o_orderstatus").alias("model")).agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("o_totalprice"), 4).alias("score"))
+        S.append_run_metrics(metrics.select(F.lit(run).alias("run"), "*"), path)
+    return spark.read.parquet(path)
+
+
+@query(f"""WITH {core._ALL} SELECT feature, round(statistic, 6) AS statistic, round(p_value, 6) AS p_value, dof, {core._CHI_SEV} AS severity,
+  CAST(floor(mass * current_n) AS BIGINT) AS reference_n, current_n FROM pv""")
+def chi2_rows_in_full(spark: SparkSession, sf: str) -> DataFrame:
+    return core._chi2(spark, sf).withColumns({c: F.round(c, 6) for c in ("statistic", "p_value")})
