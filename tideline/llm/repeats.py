@@ -11,6 +11,7 @@ least common prefix between them, plus one. A string is repeated if a neighbour
 from __future__ import annotations
 
 import sys
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -31,6 +32,8 @@ PIECE = 1 << 20
 GROUP = 8192
 #: A group of this many members in a sample of one document in SAMPLE is split over SALTS tasks.
 SAMPLE, HOT_MEMBERS, SALTS = 16, 64, 64
+#: Contexts of hot anchors that a task remembers; beyond it starts anew and shuffles a few more rows.
+SEEN = 100_000
 LOW = np.uint64((1 << 32) - 1)
 
 
@@ -97,6 +100,7 @@ def _sample_suffixes(span: int, gram: int, hot: frozenset[int]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from xxhash import xxh3_64_intdigest, xxh3_128_digest
 
+        seen: Counter[bytes] = Counter()  # contexts of hot anchors in this task
         for batch in batches:
             texts = [x.as_buffer().to_pybytes() if x.is_valid else b"" for x in batch.column(2)]
             rows, names, salts, contexts, places = [], [], [], [], []
@@ -115,7 +119,14 @@ def _sample_suffixes(span: int, gram: int, hot: frozenset[int]):
                 context = xxh3_128_digest(text[left : p + span], seed=p - left)
                 rows.append(row)
                 names.append(name)
-                salts.append(context[0] % SALTS if name in hot else 0)
+                salt = 0
+                if name in hot:
+                    seen[context] += 1
+                    # Two rows of a context in this task prove that it repeats; more need not meet them.
+                    salt = context[0] % SALTS if seen[context] <= 2 else -1 - (row + p) % SALTS
+                    if len(seen) > SEEN:
+                        seen.clear()
+                salts.append(salt)
                 contexts.append(context)
                 places.append(p)
                 if len(rows) >= 50_000:
@@ -148,7 +159,9 @@ def _pair_up(hot: frozenset[int]):
 
         for batch in batches:
             for row in zip(*[c.to_pylist() for c in batch.columns], strict=True):
-                if row[:2] != group:
+                if row[1] < 0:
+                    out.append((*row, True, False))
+                elif row[:2] != group:
                     close()
                     if waiting and waiting[1]:
                         out.append((*waiting[0], True, False))
