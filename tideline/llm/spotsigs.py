@@ -29,6 +29,8 @@ ANTECEDENTS = frozenset(
 )
 CHAIN = 3
 SIMILARITY = 0.8
+#: Ranges of ids for each shuffle partition, so that what hashes to one partition evens out.
+PARTS = 4
 PIECE = 2 << 20
 
 # Small letters, digits and other bytes stay, capitals become small, the rest of ASCII is white space.
@@ -127,7 +129,7 @@ def with_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", p
     """
     kind = dict(docs.dtypes)[id_col]
     rows = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text"))
-    parts = parts or max(1, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    parts = parts or PARTS * max(1, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     shares = [i / parts for i in range(1, parts)]
     row = rows.agg(F.percentile_approx("id", shares, 100 * parts).alias("bounds") if shares else F.array().alias("bounds"), F.min("id").alias("first"), F.count(F.when(F.col("id").isNull(), 1)).alias("no_id")).first()
     # Bounds are ids that exist, so no range is empty; the least id opens the first range by itself.
@@ -141,7 +143,7 @@ def with_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", p
     # Of several rows with a lent id only the first in order is a successor; the others stay unused.
     lent = lent.groupBy("part", "id").agg(F.min(F.struct(F.col("text").isNotNull().alias("has"), "text")).alias("x"))
     both = own.select("part", F.lit(False).alias("borrowed"), "id", "text").unionByName(lent.select("part", F.lit(True).alias("borrowed"), "id", F.col("x.text").alias("text")))
-    ordered = both.repartition(last + 1, "part").sortWithinPartitions("part", "borrowed", "id", "text")
+    ordered = both.repartition("part").sortWithinPartitions("part", "borrowed", "id", "text")
     out = f"id {kind}, n_chars bigint, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
     return ordered.mapInArrow(_compare, out)
 
