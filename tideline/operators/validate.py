@@ -158,13 +158,13 @@ def unseen_category_rows(batch: DataFrame, allowed: DataFrame, columns: Sequence
 
 
 def require_known_categories(batch: DataFrame, allowed: DataFrame, columns: Sequence[str]) -> None:
-    """Raise if a batch brings values the allow-list lacks; the error counts them for each column.
-
-    :func:`unseen_categories` has the values themselves, however many there are.
+    """Raise if a batch brings values the allow-list lacks; the error has the first value of each column
+    and the number of others. :func:`unseen_categories` has them all, however many there are.
     """
-    bad = unseen_categories(batch, allowed, columns).groupBy("feature").count().orderBy("feature").collect()
+    found = unseen_categories(batch, allowed, columns).groupBy("feature").agg(F.min("category").alias("first"), F.count(F.lit(1)).alias("n"))
+    bad = found.orderBy("feature").collect()
     if bad:
-        raise ValueError("invalid categories: " + ", ".join(f"{r['feature']} ({r['count']})" for r in bad))
+        raise ValueError("invalid categories: " + ", ".join(f"{r['feature']}={r['first']}" + (f" and {r['n'] - 1} more" if r["n"] > 1 else "") for r in bad))
 
 
 def batch_outcome(checked: DataFrame, order: Sequence[str], examples: int = 5) -> DataFrame:
