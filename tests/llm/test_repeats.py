@@ -83,3 +83,13 @@ def test_induction_equals_direct_comparison():
     for i, (g, right, left) in enumerate(rows):
         want = [s for s in range(len(left) + 1) if 20 - s <= len(right) and any(j != i and h == g and len(x) >= s and (x[len(x) - s :] + r)[:20] == (left[len(left) - s :] + right)[:20] for j, (h, r, x) in enumerate(rows))]
         assert (low[i], high[i]) == ((min(want), max(want)) if want else (-1, -1))
+
+
+@pytest.mark.parametrize("group", [3, 8192])
+def test_unique_text_around_runs_stays(spark, documents, group):
+    """Several places of one anchor in a window do not make the window a repeated one."""
+    rng = random.Random(7)
+    text = lambda k: "".join(rng.choice("abcdefghijklmnop") for _ in range(k))
+    rows = [(i, text(120) + ("-" * 70, "=+" * 35)[i % 2] + text(120)) for i in range(16)]
+    got = found(repeats.remove_repeats(documents(rows), span=40, gram=8, group=group))
+    assert got == sorted(plain(rows, 40), key=str) and all(70 <= r[2] < 80 for r in got)

@@ -246,7 +246,9 @@ def _least_between(values: np.ndarray, after: np.ndarray, upto: np.ndarray) -> n
 def _shared_shifts(span: int, gram: int, limit: int):
     """Rows (anchor, context, left, right) sorted by (anchor, right) in; shifts of repeated strings out.
 
-    Members of a group above ``limit`` are not kept: digests of all their windows go on.
+    Members of a group above ``limit`` are not kept: digests of their windows go on, of each window only
+    from the leftmost place of the anchor in it. So a window is counted once for each place where it
+    stands, even if the anchor's bytes stand in it several times.
     """
     reach = span - gram
 
@@ -261,9 +263,13 @@ def _shared_shifts(span: int, gram: int, limit: int):
             context, low, windows = [], [], []
             for anchor, name, left, right in rows:
                 text, first, seed = left + right, max(0, span - len(right)), anchor % (1 << 64)  # one place may be seen from several anchors
+                before = text.rfind(right[:gram], 0, len(left) + gram - 1)  # windows from there on to the left are that place's
+                last = len(left) - before - 1
+                if last < first:
+                    continue
                 context.append(name)
                 low.append(first)
-                windows.append(b"".join(xxh3_128_digest(text[len(left) - s : len(left) - s + span], seed=seed) for s in range(first, len(left) + 1)))
+                windows.append(b"".join(xxh3_128_digest(text[len(left) - s : len(left) - s + span], seed=seed) for s in range(first, last + 1)))
             return pa.RecordBatch.from_arrays([pa.array(context, pa.binary()), pa.array(low, pa.int32()), pa.array([None] * len(low), pa.int32()), pa.array(windows, pa.binary())], names)
 
         def settle_groups(rows: list[tuple]) -> pa.RecordBatch:
