@@ -73,3 +73,15 @@ def test_large_sources_nulls_repeats_and_given_weights(spark, documents, monkeyp
     assert mixing.mix(documents([])).collect() == []
     staged = mixing.stage(docs)
     assert staged.columns == [*docs.columns, "mix_slot", "mix_place"] and staged.count() == len(rows)
+
+
+@pytest.mark.parametrize("weights", [{"hot": 0.9, **{f"s{i}": 0.0005 for i in range(200)}}, {"hot": 20_000**0.7, **{f"s{i}": 50**0.7 for i in range(20)}}])
+def test_shares_stay_within_a_block_of_the_given_weights(spark, documents, weights):
+    rows = [(i, None, None, "hot") for i in range(2500)] + [(j, None, None, s) for j, s in enumerate([s for s in weights if s != "hot"] * 8)]
+    total = sum(Fraction(w) for w in weights.values())
+    out = sorted((r.mix.slot, r.source) for r in mixing.mix(documents(rows), weights, block=1).where("mix.phase = 0").collect())
+    given = Counter()
+    assert len(out) > 400
+    for t, (slot, source) in enumerate(out, 1):
+        given[source] += 1
+        assert slot == t - 1 and all(abs(given[s] - t * Fraction(w) / total) < 1 for s, w in weights.items())

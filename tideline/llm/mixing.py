@@ -2,16 +2,21 @@
 
 Documents of a source form blocks. With q of T slots for a source, its k-th block (from 0) is released at
 floor(k T / q) and due at ceil((k + 1) T / q). Earliest deadline first meets all of these, so at any
-time each source has had less than one block more or less than its share. After T slots the pattern repeats;
-so it is worked out once for T slots, and every block finds its slot by itself.
+time each source has had less than one block more or less than its share. q and T are whole numbers in
+exactly the ratio of the weights. The schedule is worked out once, for T slots (then it repeats) or until
+a source ends; every block finds its slot by itself.
 """
 
 from __future__ import annotations
 
 import heapq
+import math
 import sys
+from array import array
 from bisect import bisect_right
 from collections.abc import Iterator
+from fractions import Fraction
+from itertools import count
 
 import numpy as np
 import pyarrow as pa
@@ -25,8 +30,6 @@ from tideline.llm.common import fresh, settle
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 BLOCK = 8
-#: Slots that the weights are rounded to; at least four for each source.
-SLOTS = 1000
 #: Without given weights, a source weighs as its number of documents to this power.
 TEMPERATURE = 0.7
 #: Rows of a source that are ranked in one sort.
@@ -34,8 +37,18 @@ RANKED = 10_000
 STATE = "struct<block: bigint, place: bigint, phase: bigint, release: bigint, deadline: bigint, slot: bigint>"
 
 
-def slot_counts(weights: dict[str, float], slots: int = SLOTS) -> dict[str, int]:
-    """Whole slots by weight: at least one for each source, largest remainders first, ties by name."""
+def slot_counts(weights: dict[str, float], slots: int | None = None) -> dict[str, int]:
+    """Whole numbers in the ratio of the weights, to the last bit of each float.
+
+    With ``slots`` they are rounded to that sum (or four for each source): at least one for each
+    source, largest remainders first, ties by name.
+    """
+    if slots is None:
+        exact = {s: Fraction(w) for s, w in weights.items()}
+        unit = math.lcm(*[x.denominator for x in exact.values()])
+        whole = {s: int(x * unit) for s, x in exact.items()}
+        common = math.gcd(*whole.values())
+        return {s: q // common for s, q in whole.items()}
     slots = max(slots, 4 * len(weights))
     total, spare = sum(weights.values()), slots - len(weights)
     exact = {s: w / total * spare for s, w in weights.items()}
@@ -45,23 +58,26 @@ def slot_counts(weights: dict[str, float], slots: int = SLOTS) -> dict[str, int]
     return counts
 
 
-def pattern(counts: dict[str, int]) -> dict[str, np.ndarray]:
-    """The slots of each source in one period, by earliest deadline among released blocks."""
+def pattern(counts: dict[str, int], left: dict[str, int]) -> dict[str, np.ndarray]:
+    """The slots of each source by earliest deadline among released blocks: one period, or until a source has no block left."""
     period = sum(counts.values())
-    ahead = [(k * period // q, -(-(k + 1) * period // q), s) for s, q in counts.items() for k in range(q)]
-    ahead.sort(reverse=True)
-    ready: list[tuple[int, str]] = []
-    found: dict[str, list[int]] = {s: [] for s in counts}
-    for slot in range(period):
-        while ahead and ahead[-1][0] <= slot:
-            _, deadline, s = ahead.pop()
-            heapq.heappush(ready, (deadline, s))
-        found[heapq.heappop(ready)[1]].append(slot)
-    return {s: np.array(x, dtype=np.int64) for s, x in found.items()}
+    ahead: list[tuple[int, str]] = []  # release of the next block of each source
+    ready: list[tuple[int, str]] = [(-(-period // q), s) for s, q in counts.items()]
+    heapq.heapify(ready)
+    found = {s: array("q") for s in counts}
+    for slot in count():
+        while ahead and ahead[0][0] <= slot:
+            _, s = heapq.heappop(ahead)
+            heapq.heappush(ready, (-(-(len(found[s]) + 1) * period // counts[s]), s))
+        s = heapq.heappop(ready)[1]
+        found[s].append(slot)
+        if slot + 1 == period or len(found[s]) == left[s]:
+            return {s: np.array(x, dtype=np.int64) for s, x in found.items()}
+        heapq.heappush(ahead, (len(found[s]) * period // counts[s], s))
 
 
 def phases(counts: dict[str, int], blocks: dict[str, int]) -> dict[str, list[tuple[int, int, int, int, int, np.ndarray]]]:
-    """source -> (first block, phase, first slot, slots per period, period, pattern) of each phase.
+    """source -> (first block, phase, first slot, slots per period, period, slots) of each phase.
 
     A phase ends when a source has no block left; the others go on with their shares of what remains.
     Sources without slots wait until all others are through, and then share evenly.
@@ -70,8 +86,9 @@ def phases(counts: dict[str, int], blocks: dict[str, int]) -> dict[str, list[tup
     out: dict[str, list] = {s: [] for s in blocks}
     while left:
         active = {s: counts[s] for s in left if counts.get(s)} or dict.fromkeys(left, 1)
-        period, slots = sum(active.values()), pattern(active)
-        length = min((left[s] - 1) // q * period + int(slots[s][(left[s] - 1) % q]) + 1 for s, q in active.items())
+        period, slots = sum(active.values()), pattern(active, left)
+        ends = [(left[s] - 1) // q * period + int(slots[s][(left[s] - 1) % q]) for s, q in active.items() if (left[s] - 1) % q < len(slots[s])]
+        length = min(ends) + 1  # in a pattern that stops early only the source that ended has its last block
         for s, q in active.items():
             out[s].append((done[s], phase, start, q, period, slots[s]))
             used = length // period * q + int(np.searchsorted(slots[s], length % period))
@@ -103,14 +120,16 @@ def _place(plan: dict, block: int):
 
 def mix(
     docs: DataFrame, weights: dict[str, float] | None = None, id_col: str = "doc_id", source_col: str = "source",
-    block: int = BLOCK, slots: int = SLOTS, out: str = "mix",
+    block: int = BLOCK, slots: int | None = None, out: str = "mix",
 ) -> DataFrame:
     """Add a struct column: block of the source, place in the block, phase, release, deadline, slot.
 
     (slot, place) is the order of the mixture; each slot is one block and no slot is empty. Within a source
     documents come in an order that a hash of the id draws (ties: of the whole row; equal rows are
     interchangeable). Rows without a source are a source of their own, named the empty string; a
-    source without a given weight follows after the others. One row per source goes to the driver.
+    source without a given weight follows after the others. Shares are exactly the weights; with ``slots``
+    they are rounded to that many slots. The driver and each task hold one number per source, and one per
+    block for the slots worked out (8 bytes; none of a period that repeats).
     """
     source, h, part, rank = (fresh(docs, f"__{x}") for x in ("source", "hash", "part", "rank"))
     everything = F.xxhash64(*[F.col(f"`{c}`") for c, t in docs.dtypes if not t.startswith("map")])
