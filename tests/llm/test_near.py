@@ -1,0 +1,55 @@
+import random
+
+from tideline.llm import simhash
+
+SF = "/root/testdata/sf0.01"
+
+
+def shingles(text):
+    words = (text or "").encode().lower().split()
+    return {tuple(words[k : k + 5]) for k in range(max(1, len(words) - 4))} if words else set()
+
+
+def plain_kept(rows):
+    """Brute force: the smallest id of every group that pairs with a Jaccard of 0.8 or more join."""
+    sets, up = {i: shingles(t) for i, t in rows}, {i: i for i, _ in rows}
+
+    def root(x):
+        while up[x] != x:
+            x = up[x]
+        return x
+
+    ids, pairs, where = sorted(sets), 0, {}
+    for b in ids:
+        shared = {}
+        for x in sets[b] or {()}:
+            for a in where.setdefault(x, []):
+                shared[a] = shared.get(a, 0) + 1
+            where[x].append(b)
+        for a, n in shared.items():
+            if not sets[b] or n >= 0.8 * (len(sets[a]) + len(sets[b]) - n):
+                pairs += sets[a] != sets[b]
+                up[max(root(a), root(b))] = min(root(a), root(b))
+    return {i for i in ids if root(i) == i}, pairs
+
+
+def test_stage_removes_edited_copies(spark, documents):
+    rng = random.Random(3)
+    words = [f"w{i}" for i in range(400)]
+    rows = []
+    for g in range(6):
+        base = [rng.choice(words) for _ in range(200)]
+        for _ in range(12):
+            copy = list(base)
+            for at in rng.sample(range(200), rng.randrange(8)):
+                copy[at] = "edit"
+            rows.append((len(rows), " ".join(copy)))
+    rows += [(100, None), (101, " "), (102, "one two"), (103, "One  two"), (104, "two one")]
+    want, pairs = plain_kept(rows)
+    assert pairs > 50 and {r.doc_id for r in simhash.stage(documents(rows)).collect()} == want
+
+
+def test_stage_equals_brute_force_on_the_tables(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    want, pairs = plain_kept([(r.doc_id, r.text) for r in docs.collect()])
+    assert pairs > 5 and {r.doc_id for r in simhash.stage(docs).collect()} == want
