@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tideline.llm import chat, decontaminate, language, licenses, lines, mixing, repeats, secrets, simhash, spotsigs
+from tideline.llm import chat, decontaminate, language, licenses, lines, mixing, pivots, repeats, secrets, simhash, spotsigs
 from tideline.llm.common import read
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -93,6 +93,15 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", language.held_out(F.col("doc_id")).alias("held_out"), *[f"language.{c}" for c in ("lang_pred", "score", "second", "ambiguous")])
 
 
+@query
+def op12_pivots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pivots.near_vectors(read(spark, sf_dir, "embeddings"))
+    return found.select(F.col("id").alias("vec_id"), "n_links", F.col("component").alias("component_id"), "kept")
+
+
+ORACLES["op12_pivots"] = pivots.oracle()
+
+
 _WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
 ORACLES["op3_decontaminate"] = f"""
 WITH item_words AS (SELECT CAST(item_id AS VARCHAR) AS item, {_WORDS} AS w FROM benchmark),
