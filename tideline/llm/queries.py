@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tideline.llm import chat, decontaminate, language, licenses, lines, mixing, pivots, repeats, secrets, simhash, spotsigs
+from tideline.llm import chat, decontaminate, language, licenses, lines, mixing, phrases, pivots, repeats, secrets, simhash, spotsigs
 from tideline.llm.common import read
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -102,6 +102,14 @@ def op12_pivots(spark: SparkSession, sf_dir: str) -> DataFrame:
 ORACLES["op12_pivots"] = pivots.oracle()
 
 
+@query
+def op13_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(read(spark, sf_dir, "documents"))
+
+
+ORACLES["op13_phrases"] = phrases.oracle()
+
+
 _WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
 ORACLES["op3_decontaminate"] = f"""
 WITH item_words AS (SELECT CAST(item_id AS VARCHAR) AS item, {_WORDS} AS w FROM benchmark),
