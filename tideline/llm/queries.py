@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tideline.llm import chat, decontaminate, language, licenses, lines, mixing, phrases, pivots, repeats, secrets, simhash, spotsigs
+from tideline.llm import alignment, chat, decontaminate, language, licenses, lines, mixing, phrases, pivots, repeats, secrets, simhash, spotsigs
 from tideline.llm.common import read
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -93,6 +93,11 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", language.held_out(F.col("doc_id")).alias("held_out"), *[f"language.{c}" for c in ("lang_pred", "score", "second", "ambiguous")])
 
 
+@query
+def op11_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.align(read(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
+
+
 @query
 def op12_pivots(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = pivots.near_vectors(read(spark, sf_dir, "embeddings"))
