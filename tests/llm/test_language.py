@@ -50,6 +50,12 @@ def test_nulls_letters_repeats_long(spark, documents, small):
     assert language.predict(documents([]), model).collect() == []
 
 
+def test_numbers_and_signs_are_no_letters(documents, small):
+    rows = [(1, "² ½ ①"), (2, "ªº"), (3, "Ⅷ ⓐ ٣"), (4, "ǅ")]
+    got = {r.doc_id: r.language.lang_pred for r in language.predict(documents(rows), language.fit(small)).collect()}
+    assert got[1] == got[3] == "und" and got[2] != "und" and got[4] != "und"
+
+
 def test_stage_keeps_clear_documents(spark, documents, small):
     out = language.stage(small.unionByName(documents([(900, None), (901, "123"), (902, EN)])))
     assert out.columns == small.columns and {r.doc_id for r in out.collect()} == {*range(80), 902}

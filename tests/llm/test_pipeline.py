@@ -20,7 +20,7 @@ def by_hand(spark, docs, benchmark):
     model = language.fit(docs)
     kept = []
     for r in rows:
-        if r[1] and language.LETTER.search(r[1]):
+        if r[1] and language.has_letter(r[1]):
             best = language.decode(model, [r[1]])[0]
             if not (best[3] and best[1] < language.MIN_SCORE):
                 kept.append(r)

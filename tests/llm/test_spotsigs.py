@@ -37,6 +37,19 @@ def test_equals_brute_force(spark, documents, parts):
     assert got == plain(rows)
 
 
+@pytest.mark.parametrize("make", [lambda i: (1 << 60) + 3 * i, lambda i: f"id-{i * 7919 % 1000}é", lambda i: -i])
+def test_ids_of_any_kind_and_size(spark, make):
+    rows = [(make(i), f"the text {i} and its words") for i in range(500)]
+    kind = "string" if isinstance(rows[0][0], str) else "bigint"
+    table = spark.createDataFrame(rows, f"doc_id {kind}, text string")
+    got = [tuple(r) for r in spotsigs.with_next(table, parts=40).collect()]
+    full = []
+    for k, (i, text) in enumerate(ordered := sorted(rows)):
+        following = ordered[(k + 1) % len(ordered)][1]
+        full.append((i, len(text), hashlib.sha256(spotsigs.edited(text, following).encode()).hexdigest()))
+    assert len(got) == 500 and sorted(r[:3] for r in got) == full
+
+
 def test_small_tables(spark, documents):
     assert spotsigs.with_next(documents([])).collect() == []
     for rows in ([(1, "the one and only")], [(None, None)], [(2, None), (1, "the big red car")]):

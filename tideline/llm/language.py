@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import re
 import sys
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -33,7 +32,6 @@ STATE = "struct<lang_pred: string, score: double, second: string, ambiguous: boo
 
 # Small letters and other bytes stay, the rest of ASCII is white space.
 NORMAL = bytes(b if b >= 128 or 97 <= b <= 122 else 32 for b in range(256))
-LETTER = re.compile(r"[^\W\d_]")
 
 
 @dataclass
@@ -46,6 +44,11 @@ class Model:
     trust: np.ndarray  # weight of each bit's loss
 
 
+def has_letter(text: str) -> bool:
+    """Is there a letter (Unicode category L)? Signs that only look like numbers or letters are none."""
+    return any(map(str.isalpha, text))
+
+
 def codewords(k: int, seed: int = 7) -> np.ndarray:
     """k codewords of +1 and -1: all distinct splits of few languages, the best of many random codes for more."""
     if k <= 5:
@@ -181,7 +184,7 @@ def _predict(model: Model | None, text_at: int):
         for batch in batches:
             for part in pieces(batch, text_at, PIECE):
                 texts = part.column(text_at).to_pylist()
-                known = [i for i, t in enumerate(texts) if model and t and LETTER.search(t)]
+                known = [i for i, t in enumerate(texts) if model and t and has_letter(t)]
                 out = [{"lang_pred": UNKNOWN, "score": 0.0, "second": None, "ambiguous": True}] * len(texts)
                 for i, (best, score, second, unsure) in zip(known, decode(model, [texts[i] for i in known]) if known else [], strict=True):
                     out[i] = {"lang_pred": best, "score": score, "second": second, "ambiguous": unsure}

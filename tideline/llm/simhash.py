@@ -15,7 +15,6 @@ import numpy as np
 import pyarrow as pa
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tideline.llm.common import fresh, lookup, per_row, pieces, settle
@@ -29,10 +28,6 @@ RADIUS = 3
 #: A bucket up to this size is compared in one task; larger ones are hashed again at the next level.
 BUCKET = 512
 PIECE = 2 << 20
-#: Of the pipeline's stage: words in a shingle, least Jaccard similarity of near copies, and least hashes of a set:
-#: a pair at 0.8 shares no band with probability (1 - 0.8 ** BAND_ROWS) ** BANDS, 7 in a million.
-NEAR_SHINGLE, NEAR = 5, 0.8
-BANDS, BAND_ROWS = 30, 5
 
 
 def covering_masks(radius: int, level: int = 0) -> list[int]:
@@ -185,102 +180,15 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return lookup(rows, settle(named, "named"), "fp", "n").select("id", "fp", "component")
 
 
-def _shingles(text: bytes | None) -> np.ndarray:
-    """The distinct hashes of the runs of NEAR_SHINGLE words, ascending; of the whole sequence where there are fewer words."""
-    from xxhash import xxh64_intdigest
-
-    words = text.lower().split() if text else []
-    runs = zip(*[words[k:] for k in range(NEAR_SHINGLE)], strict=False) if len(words) >= NEAR_SHINGLE else [words][: len(words)]
-    return np.unique(np.array([xxh64_intdigest(x, SEED) for x in map(b" ".join, runs)], dtype=np.uint64))
-
-
-def _least_hashes(values: np.ndarray) -> np.ndarray:
-    """The least hash of a set under each of BANDS x BAND_ROWS multiply-shift functions."""
-    odd, add = np.random.default_rng(SEED).integers(0, 1 << 64, (2, BANDS * BAND_ROWS, 1), dtype=np.uint64)
-    least = np.full(BANDS * BAND_ROWS, (1 << 64) - 1, dtype=np.uint64)
-    for at in range(0, len(values), 1024):
-        x = values[None, at : at + 1024] * (odd | np.uint64(1)) + add
-        x ^= x >> np.uint64(32)
-        least = np.minimum(least, (x * np.uint64(0x9E3779B97F4A7C15)).min(axis=1))
-    return least
-
-
-def _add_bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    from xxhash import xxh3_64_intdigest
-
-    for batch in batches:
-        for part in pieces(batch, 1, PIECE):
-            sets, bands = [], []
-            for x in part.column(1):
-                values = _shingles(x.as_buffer().to_pybytes() if x.is_valid else None)
-                sets.append(xxh3_64_intdigest(values.tobytes()) - (1 << 63))
-                least = _least_hashes(values).reshape(BANDS, BAND_ROWS)
-                bands.append([xxh3_64_intdigest(r.tobytes(), seed=k) - (1 << 63) for k, r in enumerate(least)] if len(values) else [])
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sets, pa.int64()), pa.array(bands, pa.list_(pa.int64()))], ["id", "node", "bands"])
-
-
-def _add_shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for part in pieces(batch, 1, PIECE):
-            sets = [_shingles(x.as_buffer().to_pybytes() if x.is_valid else None).view(np.int64) for x in part.column(1)]
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sets, pa.list_(pa.int64()))], ["node", "shingles"])
-
-
-def jaccard_links(groups: DataFrame, texts: DataFrame, least: float = NEAR) -> DataFrame:
-    """Links (a, b) between sets of shingles with an exact Jaccard similarity of ``least`` or more.
-
-    ``groups`` has node, n and bands, one row per distinct set; ``texts`` has one (node, text) for each. Two
-    sets that share a band meet in its bucket. In each round the members of a bucket are compared with
-    its next leaders (one, two, four and so on), unless links found so far join the two already; so
-    every pair of a bucket is compared or joined, and a large group of near copies costs one round.
-    """
-    spark = groups.sparkSession
-    rows = groups.select("node", F.explode("bands").alias("bucket"))
-    order = W.partitionBy("bucket").orderBy("node")
-    ranked = settle(rows.select("node", "bucket", F.row_number().over(order).alias("rank"), F.count(F.lit(1)).over(W.partitionBy("bucket")).alias("m")).where("m > 1"), "buckets")
-    links = spark.createDataFrame([], "a bigint, b bigint")
-    done = None  # pairs compared so far
-    first, many = 1, 1
-    while True:
-        here = ranked.where(F.col("m") > first)
-        if here.isEmpty():
-            return links
-        if done is not None:
-            roots = components(links).withColumnRenamed("root", "comp")
-            here = settle(here.join(roots, "node", "left").withColumn("comp", F.coalesce("comp", "node")), "open")
-        else:
-            here = here.withColumn("comp", F.col("node"))
-        leaders = here.where(F.col("rank").between(first, first + many - 1)).select("bucket", F.col("node").alias("a"), F.col("rank").alias("at"), F.col("comp").alias("of"))
-        pairs = here.join(leaders, "bucket").where("rank > at and comp <> of").select("a", F.col("node").alias("b")).distinct()
-        if done is not None:
-            pairs = pairs.join(done, ["a", "b"], "left_anti")
-        pairs = settle(pairs, "pairs")
-        nodes = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
-        sets = settle(per_row(texts.join(nodes, "node", "left_semi"), ["node", "text"], _add_shingles, "node bigint, shingles array<bigint>"), "sets")
-        weighed = settle(pairs.groupBy("a").agg(F.count(F.lit(1)).alias("w")).join(sets.withColumnRenamed("node", "a"), "a"), "leaders")
-        both = lookup(pairs, weighed.withColumnRenamed("shingles", "x"), "a", "w").join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("y")), "b")
-        shared = F.size(F.array_intersect("x", "y"))
-        close = both.where(shared >= F.lit(least) * (F.size("x") + F.size("y") - shared)).select("a", "b")
-        links = settle(links.unionByName(close), "near")
-        done = pairs if done is None else settle(done.unionByName(pairs), "compared")
-        first, many = first + many, 2 * many
-
-
 def stage(docs: DataFrame) -> DataFrame:
     """One document of each group of near copies stays: the row with the smallest id (ties: by content).
 
-    Near copies share NEAR or more of their distinct runs of five words (exact Jaccard); groups are what such
-    links join. Texts without a word are one group. All columns are returned as they came.
+    Near copies are what :func:`near_duplicates` links: fingerprints over runs of SHINGLE words that differ in RADIUS
+    bits or fewer. Texts without a word have the fingerprint zero. A row without an id comes after all
+    with one. All columns are returned as they came; repeated rows become one, an empty table stays empty.
     """
-    key, node = fresh(docs, "__row"), fresh(docs, "__node")
+    key = fresh(docs, "__row")
     rest = F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns if not dict(docs.dtypes)[c].startswith("map")])
     named = docs.select("*", F.struct(F.col("doc_id").isNull().alias("no_id"), F.col("doc_id"), rest.alias("h")).alias(key))
-    kind = dict(named.dtypes)[key]
-    rows = settle(per_row(named, [key, "text"], _add_bands, f"id {kind}, node bigint, bands array<bigint>"), "bands")
-    groups = settle(rows.groupBy("node").agg(F.min("id").alias("first"), F.first("bands").alias("bands")), "groups")
-    firsts = groups.select(F.col("first").alias(key), F.col("node").alias(node))
-    texts = named.select(key, "text").join(firsts, key).dropDuplicates([key]).select(F.col(node).alias("node"), "text")
-    roots = components(jaccard_links(groups, texts)).withColumnRenamed("node", node)
-    kept = groups.withColumnRenamed("node", node).join(roots, node, "left").groupBy(F.coalesce("root", node).alias(node)).agg(F.min("first").alias(key)).select(key)
-    once = named.join(kept, key, "left_semi")
-    return once.dropDuplicates([key]).select(*[F.col(f"`{c}`") for c in docs.columns])
+    kept = near_duplicates(named, key).select(F.col("component").alias(key)).distinct()
+    return named.join(kept, key, "left_semi").dropDuplicates([key]).select(*[F.col(f"`{c}`") for c in docs.columns])

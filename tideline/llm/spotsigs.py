@@ -31,6 +31,8 @@ CHAIN = 3
 SIMILARITY = 0.8
 #: Ranges of ids for each shuffle partition, so that what hashes to one partition evens out.
 PARTS = 4
+#: Ids drawn for each range, to place its bounds.
+DRAWN = 100
 PIECE = 2 << 20
 
 # Small letters, digits and other bytes stay, capitals become small, the rest of ASCII is white space.
@@ -119,6 +121,14 @@ def _part(bounds: list, at: Column) -> Column:
     return F.when(at.isNull() | (block == 0), F.lit(0)).otherwise((block - 1) * width + inside)
 
 
+def _bounds(rows: DataFrame, parts: int, n: int) -> list:
+    """At most ``parts`` - 1 ids, in order, that cut the rows evenly: of about DRAWN ids for each part, drawn by hash."""
+    limit = min(1 << 24, DRAWN * parts * (1 << 24) // max(1, n) + 1)
+    drawn = rows.where(F.col("id").isNotNull() & (F.pmod(F.xxhash64("id", F.lit("part")), F.lit(1 << 24)) < limit)).select("id").distinct()
+    ids = sorted(r["id"] for r in drawn.collect())
+    return sorted({ids[k * len(ids) // parts] for k in range(1, parts)}) if ids else []
+
+
 def with_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", parts: int | None = None) -> DataFrame:
     """Fingerprints of each whole text, of the text edited with its successor, and their likeness.
 
@@ -130,10 +140,9 @@ def with_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", p
     kind = dict(docs.dtypes)[id_col]
     rows = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text"))
     parts = parts or PARTS * max(1, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    shares = [i / parts for i in range(1, parts)]
-    row = rows.agg(F.percentile_approx("id", shares, 100 * parts).alias("bounds") if shares else F.array().alias("bounds"), F.min("id").alias("first"), F.count(F.when(F.col("id").isNull(), 1)).alias("no_id")).first()
+    row = rows.agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("first"), F.count(F.when(F.col("id").isNull(), 1)).alias("no_id")).first()
     # Bounds are ids that exist, so no range is empty; the least id opens the first range by itself.
-    bounds = sorted({b for b in row["bounds"] or [] if row["no_id"] or b != row["first"]})
+    bounds = [b for b in _bounds(rows, parts, row["n"]) if row["no_id"] or b != row["first"]]
     last = len(bounds)
     own = rows.withColumn("part", _part(bounds, F.col("id")))
     first_row = F.col("id").isNull() if row["no_id"] else F.col("id") == F.lit(row["first"])
