@@ -14,11 +14,13 @@ from tideline.llm.queries import QUERIES
 KINDS = "doc_id bigint, text string, row string, radix int"
 
 
+SHOWN = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or b >= 174]
+HIDDEN = [b for b in range(256) if b not in SHOWN]
+
+
 def byte_of(char):
     """The byte that a character of a byte-level entry stands for."""
-    shown = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or b >= 174]
-    hidden = [b for b in range(256) if b not in shown]
-    return ord(char) if ord(char) < 256 else hidden[ord(char) - 256]
+    return ord(char) if ord(char) < 256 else HIDDEN[ord(char) - 256]
 
 
 def plain(rows):
@@ -78,13 +80,15 @@ def test_equals_brute_force(spark, monkeypatch, run):
     assert found(spark, rows) == plain(rows)
 
 
-def test_long_texts_are_encoded_in_parts(spark, monkeypatch):
+@pytest.mark.parametrize("limits", [(1 << 18, 1 << 23), (3, 10)])
+def test_words_are_kept_within_limits(spark, monkeypatch, limits):
     rng = random.Random(5)
     words = ["and", "wörter", "12", "a", "...", "x!", "日本", "  ", "\n", "it's", "_", "über"]
     rows = [(i, " ".join(rng.choice(words) for _ in range(900))) for i in range(4)] + [(9, "y" * 5000), (10, "é " * 400)]
-    whole = found(spark, rows)
-    monkeypatch.setattr(alignment, "LONG", 40)
-    assert found(spark, rows) == whole == plain(rows)
+    monkeypatch.setattr(alignment, "WORDS", limits[0])
+    monkeypatch.setattr(alignment, "CHARS", limits[1])
+    monkeypatch.setattr(alignment, "PIECE", 2000)
+    assert found(spark, rows) == plain(rows)
 
 
 def test_empty_table(spark):

@@ -30,10 +30,11 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 RADIX, RUN, MERGED = 16, 1 << 18, 64
 #: Bits of a first-side token in the number of a pair.
 SIDE = 17
-PIECE = 1 << 18
-#: A longer text is encoded in parts of about so many characters; both tokenizers end a token before a single blank.
-LONG = 1 << 16
-BLANK = re.compile(r"(?<=\w) (?=\w)")
+PIECE = 1 << 19
+#: Words that a task keeps with their tokens: so many, of so many characters in all; beyond it starts anew.
+WORDS, CHARS = 1 << 18, 1 << 23
+#: Both tokenizers end a token before a single blank between other signs, so words can be aligned one by one.
+BLANK, SPACES = re.compile(r"(?<=\S) (?=\S)"), re.compile(r"^ | $|\s | \s")
 ALIGNED = "row bigint, id {}, n_a bigint, n_b bigint, n_groups bigint, groups_sha256 string, radix int, keys binary, refs binary"
 NAMES = ["row", "id", "n_a", "n_b", "n_groups", "groups_sha256", "radix", "keys", "refs"]
 
@@ -80,29 +81,90 @@ class Tokenizers:
         """No corpus has more linked pairs: of two tokens that end together one is the end of the other."""
         return int(self.first_sizes.sum() + self.second_sizes.sum())
 
-    def encode(self, texts: list[str]) -> list[tuple[list[int], list[int]]]:
-        """Ids on both sides; no ids where the tokens' bytes are not those of a blank and the text."""
-        parts, owner = [], []
-        for k, text in enumerate(texts):
-            start = 0
-            while len(text) - start > LONG and (cut := BLANK.search(text, start + LONG)):
-                parts.append(text[start : cut.start()])
-                owner.append(k)
-                start = cut.end()
-            parts.append(text[start:])
-            owner.append(k)
-        out: list[tuple[list[int], list[int]]] = [([], []) for _ in texts]
-        first = self.first.encode_batch_fast([" " + p for p in parts], add_special_tokens=False)
-        second = self.second.encode(parts, num_threads=1)
-        for k, a, b in zip(owner, first, second, strict=True):
-            out[k][0].extend(a.ids)
-            out[k][1].extend(b)
-        for k, (text, (a, b)) in enumerate(zip(texts, out, strict=True)):
-            want = b" " + text.encode("utf-8", "replace")
-            if not text or b"".join(map(self.first_bytes.__getitem__, a)) != want or b"".join(map(self.second_bytes.__getitem__, b)) != want:
-                out[k] = [], []
+    def encode(self, words: list[str]) -> list[tuple[list[int], list[int]]]:
+        """Ids on both sides; no ids where the tokens' bytes are not those of a blank and the word."""
+        out = []
+        first = self.first.encode_batch_fast([" " + w for w in words], add_special_tokens=False)
+        for word, a, b in zip(words, first, self.second.encode(words, num_threads=1), strict=True):
+            want = b" " + word.encode("utf-8", "replace")
+            same = b"".join(map(self.first_bytes.__getitem__, a.ids)) == want == b"".join(map(self.second_bytes.__getitem__, b))
+            out.append((a.ids, b) if word and same else ([], []))
         return out
 
+    def align(self, words: list[str]) -> tuple[np.ndarray, list[str], np.ndarray, np.ndarray]:
+        """(tokens on both sides, groups as text, number of groups) of each word, and the linked pairs of all."""
+        ids = self.encode(words)
+        n, m = len(self.first_bytes), len(self.second_bytes)
+        counts = np.array([(len(a), len(b)) for a, b in ids], dtype=np.int64).reshape(-1, 2)
+        a = np.array([x for d, _ in ids for x in d], dtype=np.int64)
+        b = np.array([x for _, d in ids for x in d], dtype=np.int64)
+        ends_a, ends_b = np.cumsum(self.first_sizes[a]), np.cumsum(self.second_sizes[b])
+        # The bytes of both sides are the same word after word, so ends can be compared over all of them.
+        is_end = np.zeros((2, (ends_a[-1] if len(a) else 0) + 1), dtype=bool)
+        is_end[0, ends_a], is_end[1, ends_b] = True, True
+        last_a, last_b = is_end[1, ends_a], is_end[0, ends_b]
+        at_a, at_b = np.flatnonzero(last_a), np.flatnonzero(last_b)
+        stop_a, stop_b = np.cumsum(counts, axis=0).T
+        code = np.empty(len(a) + len(b), dtype=np.int64)
+        before = np.concatenate([[0], at_b + 1])[np.cumsum(last_a) - last_a]
+        code[np.arange(len(a)) + before] = a + n * last_a
+        before = (at_a + 1)[np.cumsum(last_b) - last_b]
+        code[np.arange(len(b)) + before] = b + 2 * n + m * last_b
+        texts = list(map(self.written.__getitem__, code.tolist()))
+        cuts = [0, *(stop_a + stop_b).tolist()]
+        written = ["".join(texts[s:e]) for s, e in zip(cuts, cuts[1:], strict=False)]
+        return counts, written, np.diff(np.searchsorted(at_a, stop_a), prepend=0), b[at_b] << SIDE | a[at_a]
+
+
+class Known:
+    """Words aligned so far: a number for each, and what it stands for."""
+
+    def __init__(self, tokenizers: Tokenizers):
+        self.tokenizers = tokenizers
+        self.clear()
+
+    def clear(self) -> None:
+        self.number: dict[str, int] = {}
+        self.written: list[str] = []
+        self.counts, self.groups, self.pairs = np.empty((0, 2), dtype=np.int64), np.empty(0, dtype=np.int64), np.empty(0, dtype=np.int64)
+        self.chars = 0
+
+    def add(self, words: set[str]) -> None:
+        new = [w for w in words if w not in self.number]
+        if len(self.number) + len(new) > WORDS or self.chars > CHARS:
+            self.clear()
+            new = list(words)
+        if not new:
+            return
+        counts, written, groups, pairs = self.tokenizers.align(new)
+        self.number.update(zip(new, range(len(self.number), len(self.number) + len(new)), strict=True))
+        self.written += written
+        self.chars += sum(map(len, new))
+        self.counts, self.groups = np.concatenate([self.counts, counts]), np.concatenate([self.groups, groups])
+        self.pairs = np.concatenate([self.pairs, pairs])
+
+    def of(self, words: list[list[str]]) -> tuple[np.ndarray, np.ndarray, list[str], np.ndarray]:
+        """(tokens on both sides, number of groups, their text) of each list of words, and the linked pairs of all."""
+        self.add({w for part in words for w in part})
+        at = np.array([self.number[w] for part in words for w in part], dtype=np.int64)
+        stop = np.cumsum([len(part) for part in words])
+        whole = np.ones(len(words), dtype=bool)
+        whole[np.searchsorted(stop, np.flatnonzero(self.groups[at] == 0), side="right")] = False
+        stop = np.concatenate([[0], stop])
+        at = at[np.repeat(whole, np.diff(stop))]
+        stop = np.concatenate([[0], np.cumsum(np.diff(stop) * whole)])
+        numbers = at.tolist()
+        texts = ["".join(map(self.written.__getitem__, numbers[s:e]))[:-1] for s, e in zip(stop, stop[1:], strict=False)]
+        sums = lambda x: np.diff(np.concatenate([np.zeros_like(x[:1], shape=(1, *x.shape[1:])), np.cumsum(x[at], axis=0)])[stop], axis=0)
+        many = self.groups[at]
+        first = np.cumsum(self.groups) - self.groups
+        pairs = self.pairs[np.repeat(first[at] - (np.cumsum(many) - many), many) + np.arange(many.sum())]
+        return sums(self.counts), sums(self.groups), texts, pairs
+
+
+def _words(text: str | None) -> list[str]:
+    return [] if not text else BLANK.split(text) if SPACES.search(text) else text.split(" ")
+
 
 def _pack(*arrays: np.ndarray) -> bytes:
     from zstandard import compress
@@ -138,8 +200,7 @@ def _run(keys: np.ndarray, rows: np.ndarray) -> Iterator[tuple[int, bytes, bytes
 
 def _align(files):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        both = Tokenizers(files.value)
-        n, m = len(both.first_bytes), len(both.second_bytes)
+        known = Known(Tokenizers(files.value))
         row = TaskContext.get().partitionId() << 33
         held: list[tuple[np.ndarray, np.ndarray]] = []
         waiting, kind = 0, None
@@ -153,36 +214,18 @@ def _align(files):
         for batch in batches:
             kind = batch.column(0).type
             for piece in pieces(batch, 1, PIECE):
-                texts = [t or "" for t in piece.column(1).to_pylist()]
-                ids = both.encode(texts)
-                counts = np.array([(len(a), len(b)) for a, b in ids], dtype=np.int64).reshape(-1, 2)
-                a = np.array([x for d, _ in ids for x in d], dtype=np.int64)
-                b = np.array([x for _, d in ids for x in d], dtype=np.int64)
-                ends_a, ends_b = np.cumsum(both.first_sizes[a]), np.cumsum(both.second_sizes[b])
-                # The bytes of both sides are the same text after text, so ends can be compared over all of them.
-                is_end = np.zeros((2, (ends_a[-1] if len(a) else 0) + 1), dtype=bool)
-                is_end[0, ends_a], is_end[1, ends_b] = True, True
-                last_a, last_b = is_end[1, ends_a], is_end[0, ends_b]
-                at_a, at_b = np.flatnonzero(last_a), np.flatnonzero(last_b)
-                stop_a, stop_b = np.cumsum(counts, axis=0).T
-                groups = np.diff(np.searchsorted(at_a, stop_a), prepend=0)
-                code = np.empty(len(a) + len(b), dtype=np.int64)
-                before = np.concatenate([[0], at_b + 1])[np.cumsum(last_a) - last_a]
-                code[np.arange(len(a)) + before] = a + n * last_a
-                before = (at_a + 1)[np.cumsum(last_b) - last_b]
-                code[np.arange(len(b)) + before] = b + 2 * n + m * last_b
-                words = list(map(both.written.__getitem__, code.tolist()))
-                cuts = [0, *(stop_a + stop_b).tolist()]
-                digests = [sha256("".join(words[s:e])[:-1].encode()).hexdigest() if e > s else "" for s, e in zip(cuts, cuts[1:], strict=False)]
+                texts = piece.column(1).to_pylist()
+                counts, groups, written, pairs = known.of([_words(t) for t in texts])
+                digests = [sha256(w.encode()).hexdigest() if w else "" for w in written]
                 rows = np.arange(row, row + len(texts))
                 row += len(texts)
                 none = pa.nulls(len(texts), pa.binary())
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(rows), piece.column(0), pa.array(counts[:, 0]), pa.array(counts[:, 1]), pa.array(groups), pa.array(digests, pa.string()), pa.nulls(len(texts), pa.int32()), none, none], NAMES,
                 )
-                if len(at_a):
-                    held.append((b[at_b] << SIDE | a[at_a], np.repeat(rows, groups)))
-                    waiting += len(at_a)
+                if len(pairs):
+                    held.append((pairs, np.repeat(rows, groups)))
+                    waiting += len(pairs)
                     if waiting >= RUN:
                         yield runs()
                         held, waiting = [], 0
