@@ -11,10 +11,12 @@ from tideline.operators import profile as P
 from tideline.operators import validate as V
 from tideline.queries import core, tables
 from tideline.queries.views import CATEGORICAL, NUMERIC, current, reference, table
-from tideline.session import scratch_path
+from tideline.session import scratch_path, session_options
 from tideline.sources import tables as S
 from tideline.streaming import jobs as J
+from tideline.streaming.state import ROCKSDB, dedupe_stream
 
+PROVIDER = "spark.sql.streaming.stateStore.providerClass"
 QUERIES: dict = {}
 ORACLES: dict = {}
 
@@ -43,14 +45,19 @@ def _finish(started) -> None:
 
 @query(tables.ORACLES["dispatch_dedup"])
 def stream_dispatch_dedup(spark: SparkSession, sf: str) -> DataFrame:
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", J.ROCKSDB)
+    """Dispatches come in two runs, split at a point in time; expired state leaves between them."""
     rows = table(spark, sf, "events").select(
         E.idempotency_key(F.col("event_type"), F.col("user_id")).alias("idempotency_key"), F.col("event_id").alias("id"), "ts"
     )
-    stream, _ = _stream(rows, "dispatches")
+    split = rows.agg(F.timestamp_micros(((F.min(F.unix_micros(F.col("ts").cast("timestamp"))) + F.max(F.unix_micros(F.col("ts").cast("timestamp")))) / 2).cast("bigint")).alias("t")).first()["t"]
+    stream, path = _stream(rows.where(F.col("ts") < F.lit(split)), "dispatches")
     out, mark = scratch_path(spark, "accepted"), scratch_path(spark, "mark")
-    accepted = J.dedupe_stream(stream).writeStream.format("parquet").option("path", out).option("checkpointLocation", mark)
-    _finish(accepted.outputMode("append").trigger(availableNow=True).start())
+    with session_options(spark, {PROVIDER: ROCKSDB}):
+        for more in (None, rows.where(F.col("ts") >= F.lit(split))):
+            if more is not None:
+                more.write.mode("append").parquet(path)
+            accepted = dedupe_stream(stream).writeStream.format("parquet").option("path", out).option("checkpointLocation", mark)
+            _finish(accepted.outputMode("append").trigger(availableNow=True).start())
     kept = spark.read.schema("idempotency_key string, id string, t long").parquet(out)
     kind = dict(rows.dtypes)
     return kept.select("idempotency_key", F.col("id").cast(kind["id"]).alias("id"), F.timestamp_micros("t").cast(kind["ts"]).alias("ts"))
@@ -96,17 +103,38 @@ def stream_scoring(spark: SparkSession, sf: str) -> DataFrame:
     return spark.read.parquet(log).select("l_orderkey", "l_linenumber", F.lit("").alias("violations")).unionByName(rejected)
 
 
+def _dead_letters(spark: SparkSession, sf: str, bad) -> tuple[str, str]:
+    """Folders of what was done and of the dead letters, of a job that cannot take some records."""
+    rows = table(spark, sf, "events").select("event_id", "event_type", "ts")
+    stream, _ = _stream(rows, "jobs")
+    done, letters, mark = (scratch_path(spark, x) for x in ("done", "letters", "mark"))
+
+    def job(df: DataFrame, name: int | str) -> None:
+        if df.where(bad).limit(1).count():
+            raise ValueError("no such job")
+        J.write_batch(df.select("event_id"), done, name)
+
+    _finish(J._start(stream, J.with_dead_letter(job, letters, "dispatch", attempts=2, waits=(), sinks=[done]), mark, None))
+    return done, letters
+
+
 @query("""SELECT 'dispatch' AS job_type, event_id, 'no such job' AS error FROM events""")
 def stream_dead_letters(spark: SparkSession, sf: str) -> DataFrame:
     """A job that always fails: all its rows end as dead letters, with the whole error."""
+    _, letters = _dead_letters(spark, sf, F.lit(True))
+    return spark.read.parquet(letters).select("job_type", F.get_json_object("payload", "$.event_id").cast("long").alias("event_id"), "error")
 
-    def fails(df: DataFrame, batch_id: int) -> None:
-        raise ValueError("no such job")
 
-    stream, _ = _stream(table(spark, sf, "events").select("event_id", "event_type", "ts"), "jobs")
-    letters, mark = scratch_path(spark, "letters"), scratch_path(spark, "mark")
-    _finish(J._start(stream, J.with_dead_letter(fails, letters, "dispatch", waits=()), mark, None))
-    return spark.read.parquet(letters).select("job_type", F.get_json_object("payload", "$.event_id").cast("long").alias("event_id"), "error")
+@query("""WITH b AS (SELECT min(event_id) AS low, max(event_id) AS high FROM events)
+SELECT event_id, CASE WHEN event_id IN (low, high) THEN 'dead letter, isolated' ELSE 'done' END AS outcome FROM events, b""")
+def stream_bad_records(spark: SparkSession, sf: str) -> DataFrame:
+    """A job fails for two records (the least and the greatest id): they alone end as dead letters, all others are done once."""
+    ends = table(spark, sf, "events").agg(F.min("event_id"), F.max("event_id")).first()
+    done, letters = _dead_letters(spark, sf, F.col("event_id").isin(*ends))
+    kind = F.concat(F.lit("dead letter"), F.when(F.col("isolated"), ", isolated").otherwise(""))
+    dead = spark.read.parquet(letters).select(F.get_json_object("payload", "$.event_id").cast("long").alias("event_id"), kind.alias("outcome"))
+    names = spark.read.option("recursiveFileLookup", "true").schema("event_id bigint").parquet(done)
+    return names.select("event_id", F.lit("done").alias("outcome")).unionByName(dead)
 
 
 @query(core.ORACLES["psi_by_feature"])
@@ -135,11 +163,12 @@ def stream_drift_report(spark: SparkSession, sf: str) -> DataFrame:
     early = F.pmod(F.xxhash64("l_orderkey", "l_partkey"), F.lit(3)) < 2
     stream, path = _stream(rows.where(early), "scored")
     profile = P.reference_profile(reference(spark, sf), NUMERIC, CATEGORICAL, F.col("label"))
-    window, out, mark = (scratch_path(spark, x) for x in ("window", "report", "mark"))
+    out, mark = (scratch_path(spark, x) for x in ("report", "mark"))
     for more in (None, rows.where(~early)):
         if more is not None:
             more.write.mode("append").parquet(path)
-        _finish(J.drift_stream(stream, profile, NUMERIC, CATEGORICAL, F.col("label"), window, out, mark, _LAST, "l_orderkey", _LAST_ORDER, trigger={"availableNow": True}))
+        with session_options(spark, {PROVIDER: ROCKSDB}):
+            _finish(J.drift_stream(stream, profile, NUMERIC, CATEGORICAL, F.col("label"), out, mark, _LAST, "l_orderkey", _LAST_ORDER, trigger={"availableNow": True}))
     return D.exploded_report(spark.read.parquet(f"{out}/batch_id=1")).drop("report_id").withColumn("value", F.round("value", 6))
 
 

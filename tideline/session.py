@@ -6,6 +6,8 @@ import atexit
 import re
 import shutil
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 from urllib.parse import urlparse
 
 from pyspark.sql import DataFrame, SparkSession
@@ -54,3 +56,16 @@ def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFra
     """
     fixed = cut(df)
     return F.broadcast(fixed) if fixed.count() <= max_rows else fixed
+
+
+@contextmanager
+def session_options(spark: SparkSession, options: dict[str, str]) -> Iterator[None]:
+    """Options that hold inside the block only; afterwards the caller's own are back."""
+    before = {k: spark.conf.get(k, None) for k in options}
+    try:
+        for k, v in options.items():
+            spark.conf.set(k, v)
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)

@@ -1,42 +1,35 @@
 """Continuous forms: scoring with quarantine, drift over a count window, change events, dispatch dedup.
 
 Sinks are written per micro-batch under ``batch_id=<n>`` with overwrite, so a repeated batch replaces
-itself. No watermark is used: order is the time a row carries, and late rows are ranked by it.
+itself. Order is the time that a row carries; late rows are ranked by it. State that streams keep per key is
+in ``state.py``.
 """
 
 from __future__ import annotations
 
-import sys
 import time
-from collections.abc import Callable, Iterator, Sequence
+from collections.abc import Callable, Sequence
 
-import pandas as pd
-from pyspark import cloudpickle
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.query import StreamingQuery
-from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
-from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 from tideline.operators.decisions import event_id, severity_changes
 from tideline.operators.drift import drift_report
 from tideline.operators.profile import ReferenceProfile
 from tideline.operators.validate import Rule, validate
 from tideline.session import cut
-from tideline.sources.prediction_log import WINDOW, rolling_window
+from tideline.sources.prediction_log import WINDOW
 from tideline.sources.tables import upsert_latest
-
-# Ship the stateful processors with the task; executors need not have the package installed.
-cloudpickle.register_pickle_by_value(sys.modules[__name__])
+from tideline.streaming.state import newest_rows
 
 REPORT_INTERVAL = "60 seconds"
-ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 BatchFn = Callable[[DataFrame, int], None]
 
 
-def write_batch(df: DataFrame, path: str, batch_id: int) -> None:
+def write_batch(df: DataFrame, path: str, batch_id: int | str) -> None:
     df.write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
 
 
@@ -68,37 +61,89 @@ def previous_snapshot(spark: SparkSession, path: str, batch_id: int) -> DataFram
     return None if last is None else spark.read.parquet(f"{path}/batch_id={last}")
 
 
-def _start(stream: DataFrame, fn: BatchFn, checkpoint: str, trigger: dict | None) -> StreamingQuery:
-    writer = stream.writeStream.foreachBatch(fn).option("checkpointLocation", checkpoint)
+def _start(stream: DataFrame, fn: BatchFn, checkpoint: str, trigger: dict | None, mode: str = "append") -> StreamingQuery:
+    writer = stream.writeStream.foreachBatch(fn).outputMode(mode).option("checkpointLocation", checkpoint)
     return writer.trigger(**(trigger or {"availableNow": True})).start()
 
 
+def _drop(spark: SparkSession, path: str) -> None:
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    where = jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(conf).delete(where, True)
+
+
 def with_dead_letter(
-    fn: BatchFn, path: str, job_type: str, attempts: int = 3, waits: Sequence[float] = (1.0, 2.0)
+    fn: Callable[[DataFrame, int | str], None], path: str, job_type: str, attempts: int = 3, waits: Sequence[float] = (1.0, 2.0),
+    sinks: Sequence[str] = (), runs: int = 400,
 ) -> BatchFn:
-    """Run ``fn`` up to ``attempts`` times per batch; after the last failure store the batch instead.
+    """Run ``fn`` up to ``attempts`` times per batch; then find the records it fails for and store those instead.
+
+    A batch that still fails is fixed in the shared folder and halved by the hash of its row numbers, again and
+    again: a half that passes is done, a single row that fails is a dead letter. So one bad record costs about
+    twice the logarithm of the batch in runs of ``fn``, and all others are handled once. After ``runs`` runs
+    what has not passed is stored unsplit (``isolated`` false); nothing is lost.
 
-    Dead letters are ``job_type, payload`` (the row as JSON), ``error``.
+    ``fn`` gets the rows and a name for them: the batch's number, or ``<number>.<bits>`` for a part. What it writes
+    has to go by that name (:func:`write_batch`) into the folders ``sinks``: what a failed run left there is
+    removed, and a repeated batch starts anew. Dead letters are ``job_type, payload`` (the row as
+    JSON), ``error, isolated``.
     """
 
-    def run(df: DataFrame, batch_id: int) -> None:
-        for attempt in range(1, attempts + 1):
-            try:
-                return fn(df, batch_id)
-            except Exception as error:
-                if attempt == attempts:
-                    rows = df.select(
-                        F.lit(job_type).alias("job_type"), F.to_json(F.struct(*df.columns)).alias("payload"), F.lit(str(error)).alias("error")
-                    )
-                    write_batch(rows, path, batch_id)
-                    return None
-                if waits:
-                    time.sleep(waits[min(attempt - 1, len(waits) - 1)])
+    def attempt(df: DataFrame, name: int | str) -> str | None:
+        try:
+            fn(df, name)
+        except Exception as error:
+            for sink in sinks:
+                _drop(df.sparkSession, f"{sink}/batch_id={name}")
+            return str(error)
         return None
 
+    def run(df: DataFrame, batch_id: int) -> None:
+        spark = df.sparkSession
+        for sink in sinks:  # parts of an earlier run of this batch
+            _drop_matching(spark, f"{sink}/batch_id={batch_id}.*")
+        for k in range(attempts):
+            error = attempt(df, batch_id)
+            if error is None:
+                return
+            if waits and k + 1 < attempts:
+                time.sleep(waits[min(k, len(waits) - 1)])
+        number = "__row"
+        rows = cut(df.withColumn(number, F.monotonically_increasing_id()))
+        at = F.shiftrightunsigned(F.xxhash64(number), 1)
+        letters, left = [], runs
+        # (bits, how many bits, error): parts that have failed
+        failed = [(0, 0, error)]
+        while failed:
+            bits, depth, error = failed.pop()
+            part = rows.where(F.shiftright(at, 63 - depth) == bits) if depth else rows
+            single = part.limit(2).count() < 2
+            if single or depth == 62 or left < 2:
+                letters.append((part, error, single))
+                continue
+            for half in (2 * bits, 2 * bits + 1):
+                rest = rows.where(F.shiftright(at, 62 - depth) == half)
+                if rest.isEmpty():
+                    continue
+                left -= 1
+                wrong = attempt(rest.drop(number), f"{batch_id}.{half:0{depth + 1}b}")
+                if wrong is not None:
+                    failed.append((half, depth + 1, wrong))
+        for k, (part, error, single) in enumerate(letters):
+            found = part.drop(number)
+            out = found.select(F.lit(job_type).alias("job_type"), F.to_json(F.struct(*df.columns)).alias("payload"), F.lit(error).alias("error"), F.lit(single).alias("isolated"))
+            out.write.mode("overwrite" if k == 0 else "append").parquet(f"{path}/batch_id={batch_id}")
+
     return run
 
 
+def _drop_matching(spark: SparkSession, pattern: str) -> None:
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    where = jvm.org.apache.hadoop.fs.Path(pattern)
+    for found in where.getFileSystem(conf).globStatus(where) or []:
+        _drop(spark, found.getPath().toString())
+
+
 def score_stream(
     stream: DataFrame,
     score: Callable[[DataFrame], DataFrame],
@@ -115,10 +160,12 @@ def score_stream(
 
     def batch(df: DataFrame, batch_id: int) -> None:
         checked = df.persist()  # the batch is read once for both sinks
-        valid, rejected = validate(checked, rules)
-        write_batch(score(valid), log_path, batch_id)
-        write_batch(rejected, quarantine_path, batch_id)
-        checked.unpersist()
+        try:
+            valid, rejected = validate(checked, rules)
+            write_batch(score(valid), log_path, batch_id)
+            write_batch(rejected, quarantine_path, batch_id)
+        finally:
+            checked.unpersist()
 
     return _start(stream, batch, checkpoint, trigger)
 
@@ -129,7 +176,6 @@ def drift_stream(
     numeric: Sequence[str],
     categorical: Sequence[str],
     label: Column,
-    window_path: str,
     report_path: str,
     checkpoint: str,
     n: int = WINDOW,
@@ -139,21 +185,19 @@ def drift_stream(
     mode: str = "proportions",
     trigger: dict | None = None,
 ) -> StreamingQuery:
-    """A drift report over the last ``n`` rows (per key) after every micro-batch.
+    """A drift report over the last ``n`` rows (per key) after every micro-batch, for the keys that it brought rows of.
 
-    State is the window itself, ``n`` rows per key, written once per batch.
+    The windows are state of the stream: what is written per batch follows the rows that change, not the
+    number of keys, and old windows are not kept. Needs the RocksDB state store.
     """
 
     def batch(df: DataFrame, batch_id: int) -> None:
-        before = previous_snapshot(df.sparkSession, window_path, batch_id)
-        rows = df if before is None else before.unionByName(df)
-        write_batch(rolling_window(rows, n, order_col, tie, keys), window_path, batch_id)
-        window = df.sparkSession.read.schema(df.schema).parquet(f"{window_path}/batch_id={batch_id}")
+        window = cut(df)  # state moves once per batch, however often the window is read
         ident = F.md5(F.concat_ws("|", *keys, F.lit(str(batch_id))))
-        report = drift_report(profile, window, numeric, categorical, label, keys, mode, report_id=ident)
-        write_batch(report, report_path, batch_id)
+        write_batch(drift_report(profile, window, numeric, categorical, label, keys, mode, report_id=ident), report_path, batch_id)
 
-    return _start(stream, batch, checkpoint, trigger or {"processingTime": REPORT_INTERVAL})
+    windows = newest_rows(stream, n, [order_col, *tie], keys)
+    return _start(windows, batch, checkpoint, trigger or {"processingTime": REPORT_INTERVAL}, "update")
 
 
 def severity_change_stream(
@@ -188,75 +232,3 @@ def severity_change_stream(
         write_batch(latest.unionByName(known.join(latest.select(key), key, "left_anti")), state_path, batch_id)
 
     return _start(reports, batch, checkpoint, trigger)
-
-
-class _LastAccepted(StatefulProcessor):
-    """Per key: time of the last accepted dispatch. Rows of a micro-batch are taken in (time, id) order."""
-
-    def __init__(self, ttl_micros: int) -> None:
-        self.ttl = ttl_micros
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.last = handle.getValueState("last", StructType([StructField("t", LongType())]))
-
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timer_values) -> Iterator[pd.DataFrame]:
-        batch = pd.concat(list(rows)).sort_values(["t", "id"], kind="stable")
-        last = self.last.get()[0] if self.last.exists() else None
-        taken = []
-        for t, ident in zip(batch["t"], batch["id"]):
-            if last is None or t >= last + self.ttl:
-                last = int(t)
-                taken.append((key[0], ident, last))
-        if taken:
-            self.last.update((last,))
-            yield pd.DataFrame(taken, columns=["idempotency_key", "id", "t"])
-
-    def close(self) -> None:
-        pass
-
-
-class _SeverityState(StatefulProcessor):
-    """Per key: last severity. Emits a row for every change, the first report included."""
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.last = handle.getValueState("last", StructType([StructField("severity", StringType())]))
-
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timer_values) -> Iterator[pd.DataFrame]:
-        batch = pd.concat(list(rows)).sort_values(["t", "report_id"], kind="stable")
-        last = self.last.get()[0] if self.last.exists() else None
-        out = []
-        for t, report, severity in zip(batch["t"], batch["report_id"], batch["severity"]):
-            if severity != last:
-                out.append((key[0], report, severity, last, int(t)))
-                last = severity
-        self.last.update((last,))
-        if out:
-            yield pd.DataFrame(out, columns=["key", "report_id", "severity", "previous_severity", "t"])
-
-    def close(self) -> None:
-        pass
-
-
-def dedupe_stream(stream: DataFrame, ttl_seconds: int = 86_400, key: str = "idempotency_key", ts: str = "ts", tie: str = "id") -> DataFrame:
-    """Accepted dispatches of a stream: none within the TTL of the last accepted one of its key.
-
-    Needs the RocksDB state store. A micro-batch brings at most its own rows of a key into one task.
-    """
-    rows = stream.select(
-        F.col(key).cast("string").alias("idempotency_key"), F.col(tie).cast("string").alias("id"), F.unix_micros(F.col(ts).cast("timestamp")).alias("t")
-    )
-    return rows.groupBy("idempotency_key").transformWithStateInPandas(
-        _LastAccepted(ttl_seconds * 1_000_000), "idempotency_key string, id string, t long", "Append", "None"
-    )
-
-
-def severity_change_events(reports: DataFrame, key: str = "key", ts: str = "ts") -> DataFrame:
-    """Change events as a streaming DataFrame with one state row per key, for very many keys.
-
-    Needs the RocksDB state store. State moves with the micro-batch; where delivery has to succeed
-    first, use :func:`severity_change_stream`.
-    """
-    rows = reports.select(F.col(key).cast("string").alias("key"), "report_id", "severity", F.unix_micros(F.col(ts).cast("timestamp")).alias("t"))
-    return rows.groupBy("key").transformWithStateInPandas(
-        _SeverityState(), "key string, report_id string, severity string, previous_severity string, t long", "Append", "None"
-    )
