@@ -206,6 +206,22 @@ def test_intake_of_a_long_chain_needs_few_rounds(spark, monkeypatch):
     assert len(rounds) < 10
 
 
+@pytest.mark.parametrize("size", [7, 40, 1000])
+def test_long_chains_are_taken_in_slices(spark, monkeypatch, size):
+    """One group has most events and hangs together in chains; no task gets more than about a slice of it."""
+    monkeypatch.setattr(E, "SLICE_EVENTS", size)
+    monkeypatch.setattr(E, "MIN_PROGRESS", 1.0)
+    groups, take = [], E._take_slice
+    monkeypatch.setattr(E, "_take_slice", lambda rows: groups.append(rows.count()) or take(rows))
+    events = [(at(i), f"e{i // 2}", f"r{(i + 1) // 2}") for i in range(120)]
+    events += [(at(int(t)), f"e{a}", f"r{b}") for t, a, b in zip(RNG.integers(0, 120, 80), RNG.integers(0, 90, 80), RNG.integers(0, 90, 80))]
+    ev = spark.createDataFrame(events, "created_at timestamp, event_id string, report_id string")
+    ex = spark.createDataFrame([("i", "e3", "r9", T0)], "id string, drift_event_id string, drift_report_id string, created_at timestamp")
+    got = sorted((r["event_id"], r["report_id"]) for r in E.open_investigations(ex, ev).collect())
+    assert got == greedy_intake(events, [("e3", "r9")])
+    assert max(groups) <= 3 * size and (size == 1000) == (len(groups) == 1)
+
+
 def test_null_ids_never_match(spark):
     t = "2024-01-01 00:00:0"
     rows = [("a", None, t + "1"), ("a", None, t + "2"), (None, "r", t + "3"), (None, "r", t + "4"), (None, None, t + "5"), (None, None, t + "5"), ("a", "q", t + "6"), ("b", None, t + "7")]

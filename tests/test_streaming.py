@@ -255,7 +255,7 @@ def test_what_is_not_isolated_in_time_is_kept_unsplit(spark, tmp_path):
     assert not all(r["isolated"] for r in dead.collect())
     J.with_dead_letter(job, str(tmp_path / "all"), "job", attempts=1, waits=())(rows, 0)
     every = spark.read.parquet(str(tmp_path / "all")).collect()
-    assert len(every) == 43 and all(r["isolated"] for r in every)
+    assert len(every) == 43 and 0 < sum(r["isolated"] for r in every) < 43  # it fails for every part, so it is given up
 
 
 def test_late_reports_are_compared_with_what_was_delivered(spark, tmp_path):

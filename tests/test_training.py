@@ -2,11 +2,14 @@ import numpy as np
 import pandas as pd
 import pytest
 from pyspark.ml.classification import LogisticRegressionModel
+from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import functions as F
 
 from tideline.operators import evaluate as M
 from tideline.operators.sampling import stratified_split
 from tideline.plans import training as N
+from tideline.plans.extra_trees import ExtraTrees
+from tideline.sources import versioned as V
 
 RNG = np.random.default_rng(1)
 ROWS = 400
@@ -41,7 +44,7 @@ def test_preprocessing_statistics(split):
 
 def test_all_candidates_are_measured_and_the_best_is_taken(result):
     rows = {r["candidate"]: r for r in result.metrics.collect()}
-    assert list(rows) == ["dummy", "logistic_regression", "random_forest", "random_forest_full"]
+    assert list(rows) == ["dummy", "logistic_regression", "random_forest", "extra_trees"]
     assert rows["logistic_regression"]["test_roc_auc"] > 0.7
     assert abs(rows["dummy"]["val_roc_auc"] - 0.5) < 0.2
     assert result.name == max(rows.values(), key=lambda r: (r["val_f1"], -r["ordinal"]))["candidate"]
@@ -67,10 +70,87 @@ def test_replay_appends_its_metrics(spark, split, tmp_path):
     assert spark.read.parquet(sink).first()["roc_auc"] == row["roc_auc"] == pytest.approx(lr.metrics.first()["test_roc_auc"])
 
 
+GROWN, TREES = 100, 3
+HAVE = "model string, version int, stage string, run_id string, tags map<string,string>"
+
+
 @pytest.mark.parametrize("auc,decision", [("0.1", "request_promotion"), ("0.999", "keep"), (None, "request_promotion")])
 def test_retrain_decides_against_production(spark, split, auc, decision):
-    have = spark.createDataFrame([("m", 1, "Production" if auc else "Archived", "r", {"auc": auc or "1"})], "model string, version int, stage string, run_id string, tags map<string,string>")
+    have = spark.createDataFrame([("m", 1, "Production" if auc else "Archived", "r", {"auc": auc or "1"})], HAVE)
     builders = {"logistic_regression": N.candidates(max_iter=20)["logistic_regression"]}
-    _, profile, row = N.retrain(split, ["x", "z"], ["c"], "y", ["id"], have, "m", builders)
-    assert row.first()["decision"] == decision
-    assert {r["feature"] for r in profile.numeric.collect()} == {"x", "z"}
+    done = N.retrain(split, ["x", "z"], ["c"], "y", ["id"], have, "m", builders)
+    assert done.decision.first()["decision"] == decision
+    assert {r["feature"] for r in done.profile.numeric.collect()} == {"x", "z"}
+
+
+@pytest.mark.parametrize("candidate", ["logistic_regression", "extra_trees"])
+def test_retrain_publishes_everything_at_once(spark, split, tmp_path, monkeypatch, candidate):
+    path = str(tmp_path / "registry")
+    have = spark.createDataFrame([("m", 3, "Staging", "old", {"auc": "0.1"}), ("m", 2, "Production", "older", {"auc": "0.1"}), ("other", 9, "Staging", "o", {})], HAVE)
+    builders = {candidate: N.candidates(num_trees=4, max_depth=4, max_iter=20)[candidate]}
+    retrain = lambda: N.retrain(split, ["x", "z"], ["c"], "y", ["id"], have, "m", builders, run_id="r9", registry=path)
+    done = retrain()
+    found = V.read_version(spark, path)
+    assert found.number == done.published.number == 0 and found.info["max_abs_diff"] <= 1e-12 and found.info["candidate"] == candidate
+    rows = {(r["model"], r["version"]): r for r in found.table("versions").collect()}
+    assert {k: r["stage"] for k, r in rows.items()} == {("m", 4): "Staging", ("m", 3): "Archived", ("m", 2): "Production", ("other", 9): "Staging"}
+    report = found.table("report").first()
+    assert rows["m", 4]["tags"]["dataset_hash"] == report["dataset_hash"] and float(rows["m", 4]["tags"]["auc"]) == pytest.approx(report["test_roc_auc"])
+    assert report["selected"] and report["train_rows"] + report["val_rows"] + report["test_rows"] == ROWS
+    assert {r["feature"] for r in found.table("profile_numeric").collect()} == {"x", "z"} and found.table("preprocessing").count() == 3
+    monkeypatch.setattr(M, "max_abs_diff", lambda *a: spark.createDataFrame([(False, 0.5)], "within boolean, max_abs_diff double"))
+    with pytest.raises(ValueError, match="differs"):
+        retrain()
+    assert V.read_version(spark, path).number == 0  # a model that does not come back as it was leaves no version
+
+
+@pytest.fixture(scope="module")
+def grown(spark):
+    rng = np.random.default_rng(3)
+    x = np.column_stack([rng.normal(size=GROWN), rng.integers(0, 3, GROWN), np.full(GROWN, 7.0), rng.exponential(size=GROWN)])
+    y = (x[:, 0] + x[:, 1] > 1).astype(float)
+    frame = spark.createDataFrame(pd.DataFrame({"id": range(GROWN), "x": x.tolist(), "label": y, "weight": np.where(y > 0, 2.0, 1.0)}))
+    frame = frame.withColumn("features", array_to_vector("x"))
+    return x, y, frame, ExtraTrees(num_trees=TREES, max_depth=30, seed=5).fit(frame)
+
+
+def test_extra_trees_nodes_hold_what_they_say(grown):
+    """Every row is sent down every tree by hand: counts, weights, ranges and leaves have to agree with the table."""
+    x, y, frame, model = grown
+    nodes = {(r["tree"], r["node"]): r for r in model.nodes.collect()}
+    assert len(nodes) == model.nodes.count() and {t for t, _ in nodes} == set(range(TREES))
+    members, leaves = {}, np.zeros((GROWN, TREES))
+    for row in range(GROWN):
+        for tree in range(TREES):
+            node = 0
+            while True:
+                members.setdefault((tree, node), []).append(row)
+                r = nodes[tree, node]
+                if r["feature"] is None:
+                    leaves[row, tree] = r["value"]
+                    break
+                node = 2 * node + (1 if x[row, r["feature"]] <= r["threshold"] else 2)
+    assert members.keys() == nodes.keys()
+    for key, rows in members.items():
+        r, w = nodes[key], np.where(y[rows] > 0, 2.0, 1.0)
+        assert r["n"] == len(rows) and r["weight"] == w.sum() and r["positive"] == (w * y[rows]).sum()
+        assert r["low"] == x[rows].min(axis=0).tolist() and r["high"] == x[rows].max(axis=0).tolist()
+        pure = len(set(y[rows])) == 1
+        assert (r["feature"] is None) == (pure or (x[rows] == x[rows][0]).all())
+        if r["feature"] is not None:
+            assert r["low"][r["feature"]] <= r["threshold"] < r["high"][r["feature"]] and r["feature"] != 2
+    scored = {r["id"]: r["p"] for r in model.transform(frame).select("id", vector_to_array("probability")[1].alias("p")).collect()}
+    assert all(abs(scored[i] - leaves[i].mean()) < 1e-12 for i in range(GROWN))
+
+
+def test_extra_trees_are_repeatable_random_and_limited(grown, spark):
+    x, y, frame, model = grown
+    key = lambda m: sorted((r["tree"], r["node"], r["feature"], r["threshold"]) for r in m.nodes.where("feature is not null").collect())
+    assert key(ExtraTrees(num_trees=TREES, max_depth=30, seed=5).fit(frame.repartition(3))) == key(model)
+    assert key(ExtraTrees(num_trees=TREES, max_depth=30, seed=6).fit(frame)) != key(model)
+    roots = {(r["feature"], r["threshold"]) for r in model.nodes.where("node = 0").collect()}
+    assert len(roots) == TREES
+    small = ExtraTrees(num_trees=2, max_depth=2, min_rows=30).fit(frame).nodes
+    assert small.agg({"depth": "max"}).first()[0] <= 2 and small.where("n < 30 and feature is not null").isEmpty()
+    one = ExtraTrees(num_trees=2).fit(frame.where("label = 1"))
+    assert one.nodes.count() == 2 and one.transform(frame).where(vector_to_array("probability")[1] != 1).isEmpty()

@@ -43,13 +43,18 @@ def nfkc(text: Column) -> Column:
     return F.coalesce(_nfkc(F.when(other, text)), text)
 
 
-def sanitize(text: Column, max_len: int = MAX_EXTERNAL, normalize: bool = True) -> Column:
-    """NFKC, no control characters, single blanks, trimmed, cut to ``max_len`` characters."""
+def clean(text: Column, normalize: bool = True) -> Column:
+    """The whole text in NFKC, without control characters, with single blanks, trimmed."""
     if normalize:
         text = nfkc(text)
     text = F.regexp_replace(text, CONTROL, "")
     text = F.regexp_replace(text, r"[ \t]+", " ")
-    return F.substring(F.trim(text, F.lit(SPACES)), 1, max_len)
+    return F.trim(text, F.lit(SPACES))
+
+
+def sanitize(text: Column, max_len: int = MAX_EXTERNAL, normalize: bool = True) -> Column:
+    """The cleaned text, cut to ``max_len`` characters."""
+    return F.substring(clean(text, normalize), 1, max_len)
 
 
 def suspicious(text: Column, patterns: tuple[str, ...] = SUSPICIOUS) -> Column:
@@ -66,5 +71,5 @@ def sanitize_text(df: DataFrame, column: str, max_len: int = MAX_EXTERNAL, norma
 
 
 def flag_patterns(df: DataFrame, column: str, out: str = "patterns") -> DataFrame:
-    """Patterns are looked for in the cleaned text, so wide letters or doubled blanks do not hide them."""
-    return df.withColumn(out, suspicious(sanitize(F.col(column))))
+    """Patterns are looked for in the whole cleaned text, so wide letters, doubled blanks or length do not hide them."""
+    return df.withColumn(out, suspicious(clean(F.col(column))))

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from tideline.functions.severity import should_act
 from tideline.operators.graph import components
-from tideline.operators.ordered import previous_value, top_n_per_key
+from tideline.operators.ordered import previous_value
 from tideline.session import cut
 from tideline.sources.tables import upsert_latest
 
@@ -25,10 +25,6 @@ ACTIONS = ("replay_test", "retrain", "rollback")  # actions that reach the job q
 DISPATCH_TTL_SECONDS = 86_400
 
 
-def state_key(model: Column, version: Column) -> Column:
-    return F.concat_ws(":", model, version.cast("string"))
-
-
 def idempotency_key(action: Column, investigation: Column) -> Column:
     return F.concat_ws(":", action, investigation.cast("string"))
 
@@ -138,6 +134,8 @@ def matched_investigations(existing: DataFrame, events: DataFrame) -> DataFrame:
 
 #: Rounds go on while each decides this share of what is open; what then remains are long chains.
 MIN_PROGRESS = 0.25
+#: Events of a slice of long chains; no task holds the ids of more.
+SLICE_EVENTS = 200_000
 
 
 def open_investigations(existing: DataFrame, events: DataFrame, ts: str = "created_at") -> DataFrame:
@@ -146,8 +144,9 @@ def open_investigations(existing: DataFrame, events: DataFrame, ts: str = "creat
     An event is refused if its event id or report id belongs to an existing or an already accepted
     row; a NULL id never matches. In each round every undecided event that comes first for both of its
     ids is accepted, and the events sharing an id with it are refused. Where rounds decide little, events
-    hang together in chains, which have an order that nothing shortens: then each group of
-    connected events is taken in order by one task, all groups side by side.
+    hang together in chains, which have an order that nothing shortens: then the events are cut by order into
+    slices, ids used in earlier slices are taken out of later ones by anti-joins, and inside a slice each
+    group of connected events is taken in order by one task, all groups side by side.
     """
     names = [c for c in events.columns if c not in (ts, "event_id", "report_id")]
     unmatched = (
@@ -178,7 +177,7 @@ def open_investigations(existing: DataFrame, events: DataFrame, ts: str = "creat
         undecided = cut(undecided.join(taken.select("__e"), "__e", "left_anti").join(taken.select("__r"), "__r", "left_anti"))
         before, open_rows = open_rows, undecided.count()
         if open_rows > (1 - MIN_PROGRESS) * before:
-            accepted.append(_take_in_order(undecided))
+            accepted.append(_take_in_order(undecided, open_rows))
             break
     chosen = reduce(DataFrame.unionByName, accepted).select(F.col("__o.event_id").alias("__i"), F.col("__o.report_id").alias("__j"))
     same = F.col("event_id").eqNullSafe(F.col("__i")) & F.col("report_id").eqNullSafe(F.col("__j"))
@@ -186,16 +185,32 @@ def open_investigations(existing: DataFrame, events: DataFrame, ts: str = "creat
     return rows.select("event_id", "report_id", "r.*").select(*events.columns).unionByName(without_ids)
 
 
-def _take_in_order(undecided: DataFrame) -> DataFrame:
-    """Greedy choice within each connected group of events, streamed in order."""
-    groups = components(undecided.select(F.col("__e").alias("a"), F.col("__r").alias("b")))
-    kind = undecided.schema["__o"].dataType.simpleString()
-    ordered = (
-        undecided.join(groups.withColumnRenamed("node", "__e"), "__e")
-        .select("root", "__e", "__r", "__o")
-        .repartition("root")
-        .sortWithinPartitions("root", "__o")
-    )
+def _take_in_order(undecided: DataFrame, open_rows: int) -> DataFrame:
+    """Greedy choice by order, slice after slice; a slice and so a task's group has about SLICE_EVENTS rows at most.
+
+    Slices are decided by halves: what the first half accepts is taken out of the second half once, so that every
+    event is moved as often as the logarithm of the number of slices.
+    """
+    slices = -(-open_rows // SLICE_EVENTS)
+    placed = undecided.repartitionByRange(slices, "__o").withColumn("__slice", F.spark_partition_id()) if slices > 1 else undecided.withColumn("__slice", F.lit(0))
+
+    def decide(rows: DataFrame, low: int, high: int) -> DataFrame:
+        if high - low == 1:
+            return cut(_take_slice(rows))
+        middle = (low + high) // 2
+        first = decide(rows.where(F.col("__slice") < middle), low, middle)
+        rest = rows.where(F.col("__slice") >= middle)
+        rest = cut(rest.join(first.select("__e"), "__e", "left_anti").join(first.select("__r"), "__r", "left_anti").select(*rows.columns))
+        return first.unionByName(decide(rest, middle, high))
+
+    fixed = cut(placed)
+    return decide(fixed, 0, (fixed.agg(F.max("__slice")).first()[0] or 0) + 1)
+
+
+def _take_slice(rows: DataFrame) -> DataFrame:
+    groups = components(rows.select(F.col("__e").alias("a"), F.col("__r").alias("b")))
+    kind = rows.schema["__o"].dataType.simpleString()
+    ordered = rows.join(groups.withColumnRenamed("node", "__e"), "__e").select("root", "__e", "__r", "__o").repartition("root").sortWithinPartitions("root", "__o")
     return ordered.mapInArrow(_greedy, f"__e string, __r string, __o {kind}")
 
 
@@ -374,8 +389,3 @@ def dispatch_plan(proposals: DataFrame, approvals: DataFrame, reports: DataFrame
     return checked.withColumn("reason", reason).withColumn(
         "dispatch_status", F.when(reason == "no_action", "skipped").when(reason.isNotNull(), "blocked").otherwise("enqueued")
     )
-
-
-def newest(df: DataFrame, keys: Sequence[str], ts: str, tie: str, n: int) -> DataFrame:
-    """Newest ``n`` rows per key."""
-    return top_n_per_key(df, keys, [F.col(ts).desc(), F.col(tie).desc()], n)

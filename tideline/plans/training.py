@@ -16,9 +16,12 @@ from tideline.operators import evaluate as M
 from tideline.operators.hashrank import order_key
 from tideline.operators.profile import ReferenceProfile, category_counts, long_numeric, reference_profile
 from tideline.operators.quantiles import exact_quantiles, finite_or_null
-from tideline.operators.registry import retrain_decision
+from tideline.operators.registry import register_staging, retrain_decision
 from tideline.operators.sampling import SEED
-from tideline.sources.tables import append_run_metrics
+from tideline.plans.extra_trees import ExtraTrees
+from tideline.session import cut
+from tideline.sources.tables import append_run_metrics, dataset_fingerprint
+from tideline.sources.versioned import Version, publish
 
 MIN_RECALL = M.MIN_RECALL
 
@@ -96,19 +99,8 @@ Builder = Callable[[float], object] | None  # None: the hash-drawn baseline
 
 
 def candidates(num_trees: int = 100, max_depth: int = MAX_DEPTH, max_iter: int = 1000, seed: int = SEED) -> dict[str, Builder]:
-    """Estimators by name, each from the total row weight. The order breaks ties of the selection.
-
-    ``random_forest_full`` grows its trees on all rows; it stands in for extremely randomised trees,
-    which Spark does not offer.
-    """
+    """Estimators by name, each from the total row weight. The order breaks ties of the selection."""
     common = {"featuresCol": "features", "labelCol": "label", "weightCol": "weight"}
-
-    def forest(share: float) -> Builder:
-        return lambda total: RandomForestClassifier(
-            numTrees=num_trees, maxDepth=max_depth, featureSubsetStrategy="sqrt", subsamplingRate=share,
-            bootstrap=share < 1, seed=seed, **common,
-        )
-
     return {
         "dummy": None,
         "logistic_regression": lambda total: LogisticRegression(
@@ -117,7 +109,7 @@ def candidates(num_trees: int = 100, max_depth: int = MAX_DEPTH, max_iter: int =
         "random_forest": lambda total: RandomForestClassifier(
             numTrees=num_trees, maxDepth=max_depth, featureSubsetStrategy="sqrt", seed=seed, **common
         ),
-        "random_forest_full": forest(1.0),
+        "extra_trees": lambda total: ExtraTrees(num_trees, max_depth, seed=seed),
     }
 
 
@@ -190,12 +182,13 @@ def train(
         for ordinal, name in enumerate(builders):
             if builders[name] is None:
                 fitted[name] = None
-                scored = dummy_baseline(frame, "label", frame.where(F.col("split") == "train"), ids)
+                scored = dummy_baseline(frame.drop("features"), "label", frame.where(F.col("split") == "train"), ids)
             else:
                 fitted[name] = builders[name](total).fit(frame.where(F.col("split") == "train"))
                 scored = fitted[name].transform(frame.select(*ids, "split", "label", "features")).select(
                     *ids, "split", "label", vector_to_array("probability")[1].alias("score")
                 ).withColumnRenamed("score", "probability")
+            scored = cut(scored.select("split", "label", "probability"))  # every candidate scores its rows once
             part = lambda p: scored.where(F.col("split") == p)  # noqa: B023, E731
             limit = M.operating_threshold(part("val"), "probability", "label", min_recall).first()["operating_threshold"]
             numbers = {"run_id": run_id, "ordinal": ordinal, "candidate": name, "threshold": float(limit)}
@@ -216,6 +209,14 @@ def train(
     return TrainResult(best["candidate"], pre, encoder, fitted[best["candidate"]], best["threshold"], metrics)
 
 
+def run_report(result: TrainResult, split: DataFrame, label: str) -> DataFrame:
+    """The metrics of all candidates with what the run was made of: hash of the rows, rows of each part, which one was taken."""
+    labelled = split.where(F.col(label).isNotNull())
+    parts = labelled.agg(*[F.count(F.when(F.col("split") == p, 1)).alias(f"{p}_rows") for p in ("train", "val", "test")])
+    facts = dataset_fingerprint(labelled).select(F.col("fingerprint").alias("dataset_hash")).join(F.broadcast(parts), F.lit(True))  # one row each
+    return result.metrics.join(F.broadcast(facts), F.lit(True)).withColumn("selected", F.col("candidate") == result.name)
+
+
 def replay(
     model: Model, encoder: PipelineModel, preprocessor: Preprocessor, rows: DataFrame, label: str, threshold: float,
     sink: str | None = None,
@@ -227,6 +228,18 @@ def replay(
     return metrics
 
 
+@dataclass
+class Retrained:
+    """What a retrain run has made; ``published`` is the version of the registry folder it is in."""
+
+    result: TrainResult
+    profile: ReferenceProfile | None
+    decision: DataFrame
+    report: DataFrame
+    versions: DataFrame
+    published: Version | None = None
+
+
 def retrain(
     split: DataFrame,
     numeric: Sequence[str],
@@ -238,16 +251,46 @@ def retrain(
     builders: Mapping[str, Builder] | None = None,
     run_id: str = "run",
     reference_threshold: float = 0.5,
-) -> tuple[TrainResult, ReferenceProfile | None, DataFrame]:
-    """Train, profile the test part under the new model, decide on promotion.
-
-    Returns the result, the new reference profile (none for the baseline) and one decision row.
+    registry: str | None = None,
+) -> Retrained:
+    """Train, profile the test part under the new model, register it in Staging, decide on promotion.
+
+    The new version follows the model's greatest one and archives older Staging versions. With ``registry`` the
+    profile, the versions, the run's report and the model itself are published there as one version: they
+    appear together or not at all. Before that the model is read back from storage and has to give
+    the same scores (:func:`evaluate.max_abs_diff`). The baseline has no profile and is never registered.
     """
     result = train(split, numeric, categorical, label, ids, builders, run_id=run_id)
-    profile = None
-    if result.model is not None:
-        scored = result.score(split.where(F.col("split") == "test"))
-        profile = reference_profile(scored, numeric, categorical, (F.col("probability") >= reference_threshold).cast("int"))
-    chosen = result.metrics.where(F.col("candidate") == result.name)
+    report = cut(run_report(result, split, label))
+    chosen = report.where("selected")
     new = chosen.select(F.lit(model_name).alias("model"), F.col("test_roc_auc").alias("new_auc"), "run_id")
-    return result, profile, retrain_decision(new, versions)
+    if result.model is None:
+        return Retrained(result, None, retrain_decision(new, versions), report, versions)
+    tested = split.where(F.col("split") == "test")
+    profile = reference_profile(result.score(tested), numeric, categorical, (F.col("probability") >= reference_threshold).cast("int"))
+    greatest = versions.where(F.col("model") == model_name).agg(F.coalesce(F.max(F.col("version").cast("int")), F.lit(0)).alias("greatest"))
+    tags = {"auc": "test_roc_auc", "recall": "test_recall", "operating_threshold": "threshold", "dataset_hash": "dataset_hash", "candidate": "candidate"}
+    row = chosen.join(F.broadcast(greatest), F.lit(True)).select(
+        F.lit(model_name).alias("model"), (F.col("greatest") + 1).cast(versions.schema["version"].dataType).alias("version"), "run_id",
+        F.map_from_arrays(F.array(*map(F.lit, tags)), F.array(*[F.col(c).cast("string") for c in tags.values()])).alias("tags"),
+    )
+    missing = [F.lit(None).cast(f.dataType).alias(f.name) for f in versions.schema if f.name not in (*row.columns, "stage")]
+    registered = cut(register_staging(versions, row.select("*", *missing)))
+    done = Retrained(result, profile, retrain_decision(new, versions), report, registered)
+    if registry is not None:
+
+        def saved(folder: str) -> dict:
+            result.model.save(f"{folder}/model")
+            result.encoder.save(f"{folder}/encoder")
+            again = score(type(result.model).load(f"{folder}/model"), PipelineModel.load(f"{folder}/encoder"), result.preprocessor, tested)
+            gap = M.max_abs_diff(result.score(tested), again, ids).first()
+            if not gap["within"]:
+                raise ValueError(f"the stored model differs from the trained one by {gap['max_abs_diff']}")
+            return {"max_abs_diff": gap["max_abs_diff"]}
+
+        pre = result.preprocessor
+        columns = [(c, pre.medians[c], pre.means[c], pre.stds[c], None) for c in pre.medians] + [(c, None, None, None, m) for c, m in pre.modes.items()]
+        steps = split.sparkSession.createDataFrame(columns, "feature string, median double, mean double, std double, mode string")
+        parts = {"preprocessing": steps} | {f"profile_{p}": getattr(profile, p) for p in ("numeric", "categorical", "output")} | {"versions": registered, "report": report}
+        done.published = publish(split.sparkSession, registry, parts, {"model": model_name, "run_id": run_id, "candidate": result.name}, saved)
+    return done

@@ -216,12 +216,15 @@ _PLANTED = (
 )
 
 
-@query("""WITH planted AS (SELECT doc_id, CASE doc_id % 8 WHEN 0 THEN 'ignore previous' WHEN 1 THEN 'you are now' WHEN 2 THEN 'system prompt'
-  WHEN 3 THEN '\\n\\nHuman:' WHEN 4 THEN '\\n\\nAssistant:' WHEN 5 THEN '<\\|system\\|>' END AS p FROM documents)
-SELECT doc_id, coalesce(p, '') AS patterns FROM planted""")
+@query(r"""WITH planted AS (SELECT doc_id, regexp_replace(text, '[ \t]+', ' ', 'g') AS text, doc_id % 8 AS k FROM documents),
+patterns AS (SELECT * FROM (VALUES (0, 'ignore previous', '(?i)ignore previous'), (1, 'you are now', '(?i)you are now'), (2, 'system prompt', '(?i)system prompt'),
+  (3, '\n\nHuman:', '(?i)\n\nHuman:'), (4, '\n\nAssistant:', '(?i)\n\nAssistant:'), (5, '<\|system\|>', '(?i)<\|system\|>')) p(k, name, pattern))
+SELECT doc_id, coalesce(array_to_string(list(name ORDER BY p.k) FILTER (p.k = d.k OR regexp_matches(text, pattern)), ','), '') AS patterns
+FROM planted d, patterns p GROUP BY doc_id""")
 def flag_suspicious_text(spark: SparkSession, sf: str) -> DataFrame:
+    """Patterns stand at the end of whole texts, hidden in turn, and are found beside what the texts have themselves."""
     hidden = F.get(F.array(*map(F.lit, _PLANTED)), F.col("doc_id") % len(_PLANTED))
-    rows = table(spark, sf, "documents").select("doc_id", F.concat(hidden, F.lit(" "), F.col("text")).alias("text"))
+    rows = table(spark, sf, "documents").select("doc_id", F.concat(F.col("text"), F.lit(" "), hidden).alias("text"))
     return T.flag_patterns(rows, "text").select("doc_id", F.array_join("patterns", ",").alias("patterns"))
 
 
@@ -301,10 +304,6 @@ _TENTHS = "[0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9]"
 _EDGES = f"edges AS (SELECT feature, quantile_cont(value, {_TENTHS}) AS e FROM lref GROUP BY 1)"
 
 
-def _rounded(name: str, alias: str):
-    return F.array_join(F.transform(name, lambda x: F.format_number(F.round(x, 4), 4)), ";").alias(alias)
-
-
 def _split_array(df: DataFrame, name: str) -> DataFrame:
     """Array column as rows (position, value)."""
     return df.select("feature", F.posexplode(name).alias("position", "value"))

@@ -80,8 +80,9 @@ def with_dead_letter(
 
     A batch that still fails is fixed in the shared folder and halved by the hash of its row numbers, again and
     again: a half that passes is done, a single row that fails is a dead letter. So one bad record costs about
-    twice the logarithm of the batch in runs of ``fn``, and all others are handled once. After ``runs`` runs
-    what has not passed is stored unsplit (``isolated`` false); nothing is lost.
+    twice the logarithm of the batch in runs of ``fn``, and all others are handled once. After ``runs`` runs, or
+    where none of the first parts down to single rows has passed (a job that fails whatever it gets), what has
+    not passed is stored unsplit (``isolated`` false); nothing is lost.
 
     ``fn`` gets the rows and a name for them: the batch's number, or ``<number>.<bits>`` for a part. What it writes
     has to go by that name (:func:`write_batch`) into the folders ``sinks``: what a failed run left there is
@@ -111,14 +112,15 @@ def with_dead_letter(
         number = "__row"
         rows = cut(df.withColumn(number, F.monotonically_increasing_id()))
         at = F.shiftrightunsigned(F.xxhash64(number), 1)
-        letters, left = [], runs
+        letters, left, passed = [], runs, False
+        hopeless = runs - 4 * rows.count().bit_length() - 16
         # (bits, how many bits, error): parts that have failed
         failed = [(0, 0, error)]
         while failed:
             bits, depth, error = failed.pop()
             part = rows.where(F.shiftright(at, 63 - depth) == bits) if depth else rows
             single = part.limit(2).count() < 2
-            if single or depth == 62 or left < 2:
+            if single or depth == 62 or left < 2 or (left <= hopeless and not passed):
                 letters.append((part, error, single))
                 continue
             for half in (2 * bits, 2 * bits + 1):
@@ -127,6 +129,7 @@ def with_dead_letter(
                     continue
                 left -= 1
                 wrong = attempt(rest.drop(number), f"{batch_id}.{half:0{depth + 1}b}")
+                passed = passed or wrong is None
                 if wrong is not None:
                     failed.append((half, depth + 1, wrong))
         for k, (part, error, single) in enumerate(letters):
