@@ -14,11 +14,11 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tideline.session import BROADCAST_ROWS, cut
+from tideline.session import BROADCAST_ROWS, stored
 
 #: A node's number is that of a binary heap, which fits 64 bits up to this depth.
 DEEPEST = 60
-#: Levels that are scored between two cuts of the lineage.
+#: Levels that are scored between two stored steps.
 STRIDE = 5
 
 
@@ -43,7 +43,7 @@ class ExtraTrees:
             raise ValueError("no rows to grow trees on")
         many, drawn = width["n"], max(1, int(width["n"] ** 0.5))
         trees = F.explode(F.sequence(F.lit(0), F.lit(self.num_trees - 1)))
-        open_ = cut(rows.select("*", trees.alias("tree"), F.lit(0).cast("bigint").alias("node")))
+        open_ = stored(rows.select("*", trees.alias("tree"), F.lit(0).cast("bigint").alias("node")))
         done = []
         for depth in range(min(self.max_depth, DEEPEST) + 1):
             x = [F.col("x")[f] for f in range(many)]
@@ -53,20 +53,20 @@ class ExtraTrees:
                 F.array(*map(F.min, x)).alias("low"), F.array(*map(F.max, x)).alias("high"),
             )
             grows = (F.col("__least") < F.col("__most")) & (F.col("n") >= self.min_rows) & F.lit(depth < min(self.max_depth, DEEPEST))
-            nodes = cut(found.withColumn("draws", F.when(grows, self._draws(many, drawn)).otherwise(F.array().cast("array<struct<f:int,at:double>>"))).drop("__least", "__most"))
+            nodes = stored(found.withColumn("draws", F.when(grows, self._draws(many, drawn)).otherwise(F.array().cast("array<struct<f:int,at:double>>"))).drop("__least", "__most"))
             growing = nodes.where(F.size("draws") > 0)
             many_growing = growing.count()
-            splits = cut(self._splits(open_, _marked(growing, many_growing), drawn))
+            splits = stored(self._splits(open_, _marked(growing, many_growing), drawn))
             done.append(nodes.join(splits, ["tree", "node"], "left").select("tree", "node", F.lit(depth).alias("depth"), "n", "weight", "positive", "low", "high", "feature", "threshold"))
             if not many_growing:
                 break
             splits = _marked(splits, many_growing)
             side = F.when(F.col("x")[F.col("feature")] <= F.col("threshold"), 1).otherwise(2)
-            open_ = cut(open_.join(splits, ["tree", "node"]).select("x", "label", "weight", "tree", (2 * F.col("node") + side).alias("node")))
+            open_ = stored(open_.join(splits, ["tree", "node"]).select("x", "label", "weight", "tree", (2 * F.col("node") + side).alias("node")))
         table = done[0]
         for more in done[1:]:
             table = table.unionByName(more)
-        return ExtraTreesModel(cut(table.withColumn("value", F.col("positive") / F.col("weight"))), self.num_trees)
+        return ExtraTreesModel(stored(table.withColumn("value", F.col("positive") / F.col("weight"))), self.num_trees)
 
     def _uniform(self, what: str, f) -> F.Column:
         return F.shiftrightunsigned(F.xxhash64(F.lit(f"{what}{self.seed}"), "tree", "node", f), 11) / F.lit(2.0**53)
@@ -110,7 +110,7 @@ class ExtraTreesModel:
 
     def transform(self, df: DataFrame) -> DataFrame:
         """Add ``probability``: the mean of the trees' leaf values. Rows go down all trees a level at a time, by joins with the nodes."""
-        rows = cut(df.withColumn("__row", F.monotonically_increasing_id()))
+        rows = stored(df.withColumn("__row", F.monotonically_increasing_id()))
         trees = F.explode(F.sequence(F.lit(0), F.lit(self.num_trees - 1)))
         at = rows.select("__row", vector_to_array("features").alias("__x"), trees.alias("tree"), F.lit(0).cast("bigint").alias("node"), F.lit(None).cast("double").alias("leaf"))
         sizes = {r["depth"]: r["count"] for r in self.nodes.groupBy("depth").count().collect()}
@@ -123,7 +123,7 @@ class ExtraTreesModel:
                 F.coalesce("leaf", F.when(F.col("feature").isNull(), F.col("value"))).alias("leaf"),
             )
             if depth % STRIDE == STRIDE - 1:
-                at = cut(at)
+                at = stored(at)
         scores = at.groupBy("__row").agg(F.avg("leaf").alias("__p"))
         both = array_to_vector(F.array(1 - F.col("__p"), F.col("__p")))
         return rows.join(scores, "__row").select(*[F.col(f"`{c}`") for c in df.columns], both.alias("probability"))

@@ -258,14 +258,18 @@ def retrain(
     The new version follows the model's greatest one and archives older Staging versions. With ``registry`` the
     profile, the versions, the run's report and the model itself are published there as one version: they
     appear together or not at all. Before that the model is read back from storage and has to give
-    the same scores (:func:`evaluate.max_abs_diff`). The baseline has no profile and is never registered.
+    the same scores (:func:`evaluate.max_abs_diff`). The baseline has no profile and is not registered; then
+    only the report is new.
     """
     result = train(split, numeric, categorical, label, ids, builders, run_id=run_id)
     report = cut(run_report(result, split, label))
     chosen = report.where("selected")
     new = chosen.select(F.lit(model_name).alias("model"), F.col("test_roc_auc").alias("new_auc"), "run_id")
     if result.model is None:
-        return Retrained(result, None, retrain_decision(new, versions), report, versions)
+        done = Retrained(result, None, retrain_decision(new, versions), report, versions)
+        if registry is not None:
+            done.published = publish(split.sparkSession, registry, {"versions": versions, "report": report}, {"model": model_name, "run_id": run_id, "candidate": result.name})
+        return done
     tested = split.where(F.col("split") == "test")
     profile = reference_profile(result.score(tested), numeric, categorical, (F.col("probability") >= reference_threshold).cast("int"))
     greatest = versions.where(F.col("model") == model_name).agg(F.coalesce(F.max(F.col("version").cast("int")), F.lit(0)).alias("greatest"))

@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tideline.operators.sampling import stratified_split
 from tideline.plans import training as N
+from tideline.plans.extra_trees import ExtraTrees
 from tideline.queries.core import CATEGORICAL, CUR, NUMERIC, current, long_sql
 from tideline.queries.views import table
+from tideline.session import scratch_path
+from tideline.sources.versioned import read_version
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -82,15 +86,45 @@ def train_candidates(spark: SparkSession, sf: str) -> DataFrame:
     return N.train(labelled_documents(spark, sf), DOC_NUMERIC, DOC_CATEGORICAL, "quality", ["doc_id"]).metrics
 
 
-@query()
+_PARTS = """classes AS (SELECT quality, count(*) AS n, ceil(count(*) * 0.4::DOUBLE) AS held FROM labels JOIN documents USING (doc_id) WHERE quality IS NOT NULL GROUP BY 1),
+parts AS (SELECT CAST(sum(n - held) AS BIGINT) AS train_rows, CAST(sum(held - ceil(held * 0.5::DOUBLE)) AS BIGINT) AS val_rows, CAST(sum(ceil(held * 0.5::DOUBLE)) AS BIGINT) AS test_rows FROM classes)"""
+
+
+@query(f"""WITH {_PARTS} SELECT candidate, train_rows, val_rows, test_rows, 1::BIGINT AS selected, 0::BIGINT AS version,
+  (SELECT count(*) FROM part WHERE p_brand <> 'Brand#1') AS other_versions FROM parts, (VALUES ('dummy'), ('logistic_regression'), ('random_forest'), ('extra_trees')) c(candidate)""")
 def retrain_job(spark: SparkSession, sf: str) -> DataFrame:
+    """A retrain run with all candidates, read back from what it has published: one row for each candidate."""
     from tideline.queries.tables import versions
 
-    builders = {"logistic_regression": N.candidates()["logistic_regression"]}
-    split = labelled_documents(spark, sf)
-    have = versions(spark, sf)
-    _, _, decision = N.retrain(split, DOC_NUMERIC, DOC_CATEGORICAL, "quality", ["doc_id"], have, "Brand#1", builders)
-    return decision
+    path = scratch_path(spark, "registry")
+    N.retrain(labelled_documents(spark, sf), DOC_NUMERIC, DOC_CATEGORICAL, "quality", ["doc_id"], versions(spark, sf), "Brand#1", registry=path)
+    found = read_version(spark, path)
+    others = found.table("versions").where("model <> 'Brand#1'").agg(F.count(F.lit(1)).alias("other_versions"))
+    report = found.table("report")
+    chosen = report.agg(F.count_if("selected").alias("selected"))
+    facts = report.select("candidate", "train_rows", "val_rows", "test_rows", F.lit(found.number).cast("bigint").alias("version"))
+    return facts.join(F.broadcast(chosen), F.lit(True)).join(F.broadcast(others), F.lit(True))  # one row each
+
+
+@query("""WITH d AS (SELECT n_chars, quality FROM labels JOIN documents USING (doc_id) WHERE quality IS NOT NULL)
+SELECT CAST(tree AS INTEGER) AS tree, count(*) AS rows, count(*) AS rows_in_leaves, CAST(sum(quality) AS DOUBLE) AS positive_in_leaves,
+  CAST(min(n_chars) AS DOUBLE) AS least_n_chars, CAST(max(n_chars) AS DOUBLE) AS most_n_chars, 0::BIGINT AS split_outside_range, 0::BIGINT AS impure_leaves_of_varying_rows
+FROM d, range(10) t(tree) GROUP BY tree""")
+def extra_trees_facts(spark: SparkSession, sf: str) -> DataFrame:
+    """What must hold of randomised trees grown on all labelled documents: rows reach leaves once, splits lie inside ranges, leaves are pure."""
+    rows = table(spark, sf, "labels").where("quality is not null").join(table(spark, sf, "documents"), "doc_id")
+    text = F.col("text")
+    numbers = [F.col("n_chars").cast("double"), F.regexp_count(text, F.lit("[aeiou]")).cast("double"), F.regexp_count(text, F.lit(" ")).cast("double")]
+    frame = rows.select(array_to_vector(F.array(*numbers)).alias("features"), F.col("quality").alias("label"), F.lit(1.0).alias("weight"))
+    nodes = ExtraTrees(num_trees=10).fit(frame).nodes
+    leaf, root = F.col("feature").isNull(), F.col("node") == 0
+    outside = ~leaf & ((F.col("threshold") < F.get("low", F.col("feature"))) | (F.col("threshold") >= F.get("high", F.col("feature"))))
+    impure = leaf & (F.col("positive") > 0) & (F.col("positive") < F.col("weight")) & (F.col("low") != F.col("high"))
+    return nodes.groupBy("tree").agg(
+        F.sum(F.when(root, F.col("n"))).alias("rows"), F.sum(F.when(leaf, F.col("n"))).alias("rows_in_leaves"), F.sum(F.when(leaf, F.col("positive"))).alias("positive_in_leaves"),
+        F.max(F.when(root, F.get("low", F.lit(0)))).alias("least_n_chars"), F.max(F.when(root, F.get("high", F.lit(0)))).alias("most_n_chars"),
+        F.count_if(outside).alias("split_outside_range"), F.count_if(impure).alias("impure_leaves_of_varying_rows"),
+    )
 
 
 @query()

@@ -49,6 +49,17 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def stored(df: DataFrame, name: str = "stored") -> DataFrame:
+    """Write ``df`` to the shared folder once and go on from there.
+
+    For loops that join: a checkpoint passes on its estimated size, and products of estimates grow without end;
+    a stored table has the size it has.
+    """
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
     """Fix ``df`` in reliable storage and mark it for broadcast only if its row count is bounded.
 
