@@ -31,7 +31,7 @@ INSIDE = 80
 SCALE = 2_000_000
 UNKNOWN = "und"
 #: Words of a shard, and of a prefix range; there are 16 ranges at least and MOST_RANGES at most.
-SHARD, RANGE, MOST_RANGES = 1 << 21, 1 << 20, 1 << 16
+SHARD, RANGE, MOST_RANGES = 1 << 21, 1 << 22, 1 << 16
 #: Paths that wait in memory to be united with those of their range.
 WAITING = 1 << 20
 #: Bits for each frequent n-gram in the filter of the next pass, and bits of the whole filter at most (64 MB).
