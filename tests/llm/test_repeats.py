@@ -93,3 +93,29 @@ def test_unique_text_around_runs_stays(spark, documents, group):
     rows = [(i, text(120) + ("-" * 70, "=+" * 35)[i % 2] + text(120)) for i in range(16)]
     got = found(repeats.remove_repeats(documents(rows), span=40, gram=8, group=group))
     assert got == sorted(plain(rows, 40), key=str) and all(70 <= r[2] < 80 for r in got)
+
+
+def test_planted_passages_of_over_50_words(spark, tmp_path):
+    """Passages of 51 to 120 words, below and above 400 bytes, in many files: what is removed is what the contract says, byte for byte.
+
+    A passage below SPAN bytes stays, however often it stands in other documents; one of SPAN bytes or more goes.
+    """
+    rng = random.Random(11)
+    word = lambda k: "".join(rng.choice("abcdefghijklmnop") for _ in range(k))
+    passages = [" ".join(word(rng.choice(size)) for _ in range(rng.randrange(51, 121))) for size in ((2, 3), (4, 5, 6), (7, 8)) for _ in range(8)]
+    rows, holds = [], {}
+    for i in range(600):
+        text = " ".join(word(rng.randrange(2, 9)) for _ in range(rng.randrange(20, 200)))
+        if i % 3 == 0:
+            holds[i] = rng.randrange(len(passages))
+            text = f"{text} {passages[holds[i]]} {word(5)} {word(9)}"
+        rows.append((i, text))
+    spark.createDataFrame(rows, "doc_id bigint, text string").repartition(50).write.parquet(str(tmp_path / "documents.parquet"))
+    with_parts = spark.read.parquet(str(tmp_path / "documents.parquet")).repartition(211)
+    got = found(repeats.remove_repeats(with_parts))
+    assert got == sorted(plain(rows, repeats.SPAN), key=str)
+    removed = {r[0]: r[2] for r in got}
+    assert not any(removed[i] for i in range(600) if i not in holds)  # clean documents are left alone
+    long_, short = ([i for i in holds if (len(passages[holds[i]]) >= repeats.SPAN) == want] for want in (True, False))
+    assert len(long_) > 50 and len(short) > 30
+    assert all(removed[i] >= len(passages[holds[i]]) for i in long_) and not any(removed[i] for i in short if len(passages[holds[i]]) + 2 < repeats.SPAN)
