@@ -31,9 +31,9 @@ def test_top_n_per_key(df):
     assert sorted(got["id"]) == sorted(want["id"])
 
 
-@pytest.mark.parametrize("slice_seconds", [3600, 86_400, 10**9])
-def test_previous_value_equals_lag(df, slice_seconds):
-    got = O.previous_value(df, ["k"], "ts", "id", "v", "prev", slice_seconds).toPandas().set_index("id")["prev"]
+@pytest.mark.parametrize("rows", [3, 150, None])
+def test_previous_value_equals_lag(df, rows):
+    got = O.previous_value(df, ["k"], "ts", "id", "v", "prev", rows).toPandas().set_index("id")["prev"]
     want = DATA.sort_values(["t", "id"]).assign(p=lambda d: d.groupby("k")["v"].shift()).set_index("id")["p"]
     for i in range(N):
         a, b = got[i], want[i]
@@ -53,12 +53,28 @@ def test_running_totals(spark, keys, descending):
     assert len(got) == len(base)
 
 
-def test_buckets_of_two_levels(spark):
-    splits = sorted(RNG.normal(size=37).tolist())
-    values = sorted(RNG.normal(size=200).tolist() + splits)
-    df = spark.createDataFrame([(v,) for v in values], "v double")
-    got = [r["b"] for r in df.select("v", O.bucket_of(F.col("v"), splits).alias("b")).orderBy("v").collect()]
-    assert got == np.searchsorted(splits, values, side="right").tolist()
+def test_null_keys_have_totals_of_their_own(spark):
+    rows = spark.createDataFrame([(None, float(i), i) for i in range(40)] + [("a", float(i), 1) for i in range(40)], "k string, x double, m int")
+    got = O.running_totals(rows, "x", ["m"], ["k"], False, buckets=6).collect()
+    assert len(got) == 80
+    assert all(r["cum_m"] == (sum(range(int(r["x"]) + 1)) if r["k"] is None else r["x"] + 1) for r in got)
+
+
+def test_a_hot_key_in_a_narrow_range_is_cut_like_the_rest(spark):
+    """A third of all rows are of one key: within one minute (order by time), or within a ten thousandth of the values."""
+    n = 30_000
+    hot = spark.range(n).select(F.lit("hot").alias("k"), F.timestamp_micros(F.col("id") * 2000).alias("ts"), (0.5 + F.col("id") / (n * 10_000.0)).alias("x"), "id")
+    rest = spark.range(n, 3 * n).select((F.col("id") % 50).cast("string").alias("k"), F.timestamp_seconds(F.col("id") * 600).alias("ts"), F.rand(1).alias("x"), "id")
+    for order in (["k", "ts", "id"], ["k", "x"]):
+        sizes = [r["count"] for r in O.in_ranges(hot.unionByName(rest), order, "b", 3000).groupBy("b").count().collect()]
+        assert len(sizes) == 30 and max(sizes) < 2 * np.median(sizes)
+
+
+def test_the_first_rows_of_a_key_leave_session_options_alone(spark):
+    rows = spark.range(5000).withColumn("k", F.col("id") % 2)
+    before = spark.conf.get(O.WINDOW_LIMIT, None)
+    assert O.top_n_per_key(rows, ["k"], [F.col("id")], 2000).agg(F.max("id")).first()[0] == 3999
+    assert spark.conf.get(O.WINDOW_LIMIT, None) == before
 
 
 def test_bands_hold_exact_counts_and_do_not_depend_on_partitioning(df):

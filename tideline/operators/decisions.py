@@ -35,10 +35,10 @@ def event_id(key: Column, report_id: Column) -> Column:
 
 
 def severity_changes(
-    reports: DataFrame, keys: Sequence[str], ts: str = "ts", report_id: str = "report_id", slice_seconds: int = 86_400
+    reports: DataFrame, keys: Sequence[str], ts: str = "ts", report_id: str = "report_id", rows: int | None = None
 ) -> DataFrame:
     """Reports whose severity differs from the one before; the first report of a key always counts."""
-    lagged = previous_value(reports, keys, ts, report_id, "severity", "previous_severity", slice_seconds)
+    lagged = previous_value(reports, keys, ts, report_id, "severity", "previous_severity", rows)
     return lagged.where(~F.col("previous_severity").eqNullSafe(F.col("severity")))
 
 
