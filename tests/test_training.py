@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 
 from tideline.operators import evaluate as M
 from tideline.operators.sampling import stratified_split
+from tideline.plans import model_tables as T
 from tideline.plans import training as N
-from tideline.plans.extra_trees import ExtraTrees
+from tideline.plans.extra_trees import ExtraTrees, ExtraTreesModel
 from tideline.sources import versioned as V
 
 RNG = np.random.default_rng(1)
@@ -63,6 +64,31 @@ def test_scores_survive_saving(result, split, tmp_path):
     assert lr.score(other).where("probability is null").isEmpty()
 
 
+def test_logistic_scores_from_terms(spark, split, tmp_path):
+    lr = N.train(split, ["x", "z"], ["c"], "y", ["id"], {"logistic_regression": N.candidates()["logistic_regression"]})
+    path = str(tmp_path / "terms")
+    T.logistic_terms(lr.model, lr.encoder, lr.preprocessor).write.parquet(path)
+    terms = spark.read.parquet(path)
+    assert {(r["feature"], r["category"]) for r in terms.where("kind = 'category'").collect()} == {("c", v) for v in "abc"}
+    odd = split.limit(3).withColumns({"id": F.col("id") + 10_000, "c": F.lit("never seen"), "x": F.lit(None).cast("double")})
+    rows = split.unionByName(odd)
+    assert T.score_logistic(rows, terms).columns == [*rows.columns, "probability"]
+    diff = M.max_abs_diff(lr.score(rows), T.score_logistic(rows, terms), ["id"]).first()
+    assert diff["within"] and diff["n_rows"] == ROWS + 3
+    assert T.score_logistic(rows.where("false"), terms).count() == 0
+
+
+def test_forest_scores_from_nodes(split):
+    rf = N.train(split, ["x", "z"], ["c"], "y", ["id"], {"random_forest": N.candidates(num_trees=6, max_depth=7)["random_forest"]})
+    nodes = T.forest_nodes(rf.model)
+    assert nodes.groupBy("tree").count().count() == 6 and nodes.select("tree", "node").distinct().count() == nodes.count() == rf.model.totalNumNodes
+    # what goes in at a node comes out of its children
+    kids = nodes.select("tree", F.floor((F.col("node") - 1) / 2).alias("node"), F.col("n").alias("below")).where("node >= 0").groupBy("tree", "node").agg(F.sum("below").alias("below"))
+    assert nodes.where("feature is not null").join(kids, ["tree", "node"], "full_outer").where("not (n <=> below)").isEmpty()
+    again = N.score(ExtraTreesModel(nodes, 6), rf.encoder, rf.preprocessor, split)
+    assert M.max_abs_diff(rf.score(split), again, ["id"]).first()["within"]
+
+
 def test_replay_appends_its_metrics(spark, split, tmp_path):
     lr = N.train(split, ["x", "z"], ["c"], "y", ["id"], {"logistic_regression": N.candidates()["logistic_regression"]})
     sink = str(tmp_path / "runs")

@@ -6,12 +6,14 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tideline.operators.evaluate import max_abs_diff
 from tideline.operators.sampling import stratified_split
+from tideline.plans import model_tables as T
 from tideline.plans import training as N
-from tideline.plans.extra_trees import ExtraTrees
+from tideline.plans.extra_trees import ExtraTrees, ExtraTreesModel
 from tideline.queries.core import CATEGORICAL, CUR, NUMERIC, current, long_sql
 from tideline.queries.views import table
-from tideline.session import scratch_path
+from tideline.session import cut, scratch_path
 from tideline.sources.versioned import read_version
 
 QUERIES: dict = {}
@@ -80,6 +82,58 @@ def lr_scores(spark: SparkSession, sf: str) -> DataFrame:
     return result.score(split).select("doc_id", "split", "quality", "probability")
 
 
+_LABELLED = "labels JOIN documents USING (doc_id) WHERE quality IS NOT NULL"
+
+
+@query(f"""SELECT 'intercept' AS kind, CAST(NULL AS VARCHAR) AS feature, CAST(NULL AS VARCHAR) AS category, 0.0::DOUBLE AS gradient
+UNION ALL SELECT 'number', unnest(['n_chars', 'n_lines', 'n_words', 'share_upper']), NULL, 0.0
+UNION ALL SELECT DISTINCT 'category', 'lang', lang, 0.0 FROM {_LABELLED} AND lang IS NOT NULL
+UNION ALL SELECT DISTINCT 'category', 'source', source, 0.0 FROM {_LABELLED} AND source IS NOT NULL""")
+def lr_optimality(spark: SparkSession, sf: str) -> DataFrame:
+    """Every term of a logistic regression with the gradient of its loss there, scored from the table of terms: 0 at the optimum.
+
+    The loss is the weighted log loss plus half the squares of the coefficients (not of the intercept), for each unit of weight.
+    """
+    split = labelled_documents(spark, sf).withColumn("split", F.lit("train"))
+    rows = split.unionByName(split.withColumn("split", F.lit("val")))
+    result = N.train(rows, DOC_NUMERIC, DOC_CATEGORICAL, "quality", ["doc_id"], {"logistic_regression": N.candidates()["logistic_regression"]})
+    terms = T.logistic_terms(result.model, result.encoder, result.preprocessor)
+    weights = N.class_weights(split, "quality").withColumnRenamed("class", "quality")
+    scored = T.score_logistic(split, terms).join(F.broadcast(weights), "quality")  # two classes
+    filled, _, _ = T.logistic_features(scored, terms)
+    pull = F.col("weight") * (F.col("probability") - F.col("quality"))
+    filled = cut(filled.withColumn("pull", pull))
+    numbers = {c: F.sum(F.col("pull") * F.col(f"x_{c}")) for c in DOC_NUMERIC}
+    sums = filled.agg(F.sum("weight").alias("total"), F.sum("pull").alias("one"), *[v.alias(c) for c, v in numbers.items()])
+    plain = sums.select("total", F.explode(F.array(F.struct(F.lit("intercept").alias("kind"), F.lit(None).cast("string").alias("feature"), F.col("one").alias("g")), *[F.struct(F.lit("number").alias("kind"), F.lit(c).alias("feature"), F.col(c).alias("g")) for c in numbers])).alias("r")).select("total", "r.*", F.lit(None).cast("string").alias("category"))
+    found = plain
+    for c in DOC_CATEGORICAL:
+        each = filled.groupBy(F.col(f"x_{c}").alias("category")).agg(F.sum("pull").alias("g"))
+        found = found.unionByName(each.join(F.broadcast(sums.select("total")), F.lit(True)).select("total", F.lit("category").alias("kind"), F.lit(c).alias("feature"), "g", "category"))  # one row
+    mine, theirs = found.alias("m"), terms.where("kind <> 'text'").alias("t")
+    same = (F.col("m.kind") == F.col("t.kind")) & F.col("m.feature").eqNullSafe(F.col("t.feature")) & F.col("m.category").eqNullSafe(F.col("t.category"))
+    penalty = F.when(F.col("t.kind") == "intercept", 0.0).otherwise(F.col("t.coefficient"))
+    return mine.join(theirs, same).select("m.kind", "m.feature", "m.category", F.round(F.abs((F.col("g") + penalty) / F.col("total")), 3).alias("gradient"))
+
+
+@query(f"""SELECT candidate, count(*) AS scored, 0::BIGINT AS unmatched, true AS within FROM {_LABELLED.replace('documents USING (doc_id)', "documents USING (doc_id) CROSS JOIN (VALUES ('logistic_regression'), ('random_forest'), ('extra_trees')) c(candidate)")} GROUP BY 1""")
+def scores_from_tables(spark: SparkSession, sf: str) -> DataFrame:
+    """All labelled documents scored by each model and from the model's table: no score differs by more than 1e-12."""
+    split = labelled_documents(spark, sf)
+    built = N.candidates(num_trees=10, max_depth=8)
+    out = None
+    for name in ("logistic_regression", "random_forest", "extra_trees"):
+        result = N.train(split, DOC_NUMERIC, DOC_CATEGORICAL, "quality", ["doc_id"], {name: built[name]})
+        (table_,) = T.as_tables(result.model, result.encoder, result.preprocessor).values()
+        if name == "logistic_regression":
+            again = T.score_logistic(split, table_)
+        else:
+            again = N.score(ExtraTreesModel(table_, 10), result.encoder, result.preprocessor, split)
+        row = max_abs_diff(result.score(split), again, ["doc_id"]).select(F.lit(name).alias("candidate"), F.col("n_rows").alias("scored"), "unmatched", "within")
+        out = row if out is None else out.unionByName(row)
+    return out
+
+
 @query()
 def train_candidates(spark: SparkSession, sf: str) -> DataFrame:
     """Metrics of all candidates of one training run."""
