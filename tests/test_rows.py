@@ -98,6 +98,16 @@ def test_alert_contract(spark, change, rule):
     assert V.check(df, V.alert_event_rules()).first()["violations"] == ([rule] if rule else [])
 
 
+def test_fields_outside_the_contract_at_any_depth(spark):
+    df = spark.createDataFrame([EVENT], EVENT_SCHEMA)
+    assert V.extra_fields(df.schema, V.ALERT_EVENT_FIELDS) == []
+    odd = df.withColumns({"more": F.lit(1), "output_drift": F.struct("output_drift.*", F.lit(1).alias("x")), "psi_results": F.transform("psi_results", lambda r: r.withField("y", F.lit(1)))})
+    assert V.extra_fields(odd.schema, V.ALERT_EVENT_FIELDS) == ["more", "output_drift.x", "psi_results[].y"]
+    texts = [None, "no json", "[]", "{}", '{"zz":1,"severity":"low"}', '{"output_drift":{"psi":1,"q":2},"psi_results":[{"feature":"a"},{"w":1},{"w":2,"b":null}],"aa":null}', '{"psi_results":3,"output_drift":[1]}']
+    rows = spark.createDataFrame(list(enumerate(texts)), "i int, t string").select("i", V.extra_json_fields(F.col("t"), V.ALERT_EVENT_FIELDS).alias("x")).orderBy("i").collect()
+    assert [r["x"] for r in rows] == [[], [], [], [], ["zz"], ["aa", "output_drift.q", "psi_results[].b", "psi_results[].w"], []]
+
+
 def test_promotion_contract(spark):
     df = spark.createDataFrame([("m", 1, "i", "a"), ("", 0, "i", None)], "model_name string, target_version int, investigation_id string, hil_approval_id string")
     found = [r["violations"] for r in V.check(df, V.promotion_request_rules()).collect()]

@@ -203,7 +203,7 @@ def generate_batches(
     """Write one comma-separated batch per scenario and return them with a ``scenario`` column."""
     for scenario in SCENARIOS:
         batch = scenario_batch(source, scenario, rows, ids, positive, seed)
-        batch.write.mode("overwrite").option("header", True).csv(f"{path}/scenario={scenario}")
+        batch.write.mode("overwrite").options(header=True, ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False).csv(f"{path}/scenario={scenario}")
     return source.sparkSession.read.option("header", True).csv(path)
 
 

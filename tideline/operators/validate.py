@@ -7,6 +7,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, StructType
 
 from tideline.functions.severity import SEVERITIES
 from tideline.operators.features import PAYLOAD_FIELDS
@@ -87,6 +88,62 @@ def extra_columns(df: DataFrame, allowed: Sequence[str]) -> list[str]:
     return sorted(set(df.columns) - set(allowed))
 
 
+# Fields of the contracts, version v1; a mapping is a struct, a list of one mapping an array of structs.
+ALERT_EVENT_FIELDS = {
+    "schema_version": None, "event_id": None, "report_id": None, "previous_severity": None, "model_name": None,
+    "model_version": None, "severity": None, "created_at": None,
+    "drift_summary": {"text": None, "window_size": None, "output_drift_severity": None},
+    "top_features": [{"feature": None, "metric": None, "value": None, "severity": None}],
+    "psi_results": [{"feature": None, "psi": None, "severity": None}],
+    "chi2_results": [{"feature": None, "statistic": None, "p_value": None, "severity": None}],
+    "output_drift": {"psi": None, "severity": None},
+    "window_size": None,
+}
+PROMOTION_REQUEST_FIELDS = {"model_name": None, "target_version": None, "investigation_id": None, "hil_approval_id": None}
+
+
+def extra_fields(schema: StructType, contract: Mapping) -> list[str]:
+    """Paths of fields that a strict contract does not know, at any depth (``a.b``; ``a[].b`` inside arrays), in order."""
+    found = []
+    for field in schema:
+        if field.name not in contract:
+            found.append(field.name)
+            continue
+        inside, kind, path = contract[field.name], field.dataType, f"{field.name}."
+        if isinstance(inside, list) and isinstance(kind, ArrayType):
+            inside, kind, path = inside[0], kind.elementType, f"{field.name}[]."
+        if isinstance(inside, Mapping) and isinstance(kind, StructType):
+            found += [path + name for name in extra_fields(kind, inside)]
+    return sorted(found)
+
+
+def extra_json_fields(text: Column, contract: Mapping) -> Column:
+    """The same for JSON objects in a text column, row by row: names of unknown fields of the object and of its structs.
+
+    An empty array where the text is null or no object. Elements of arrays are looked into one by one; a path counts once.
+    """
+    nothing = F.array().cast("array<string>")
+
+    def unknown(value: Column, known: Mapping) -> Column:
+        return F.array_except(F.coalesce(F.json_object_keys(value), nothing), F.array(*map(F.lit, known)))
+
+    def under(path: str, names: Column) -> Column:
+        return F.transform(names, lambda k: F.concat(F.lit(path), k))
+
+    def inside_elements(value: Column, known: Mapping) -> Column:
+        elements = F.coalesce(F.from_json(value, "array<string>"), nothing)
+        return F.flatten(F.transform(elements, lambda e: unknown(e, known)))
+
+    parts = [unknown(text, contract)]
+    for name, inside in contract.items():
+        value = F.get_json_object(text, f"$.{name}")
+        if isinstance(inside, Mapping):
+            parts.append(under(f"{name}.", unknown(value, inside)))
+        elif isinstance(inside, list):
+            parts.append(under(f"{name}[].", inside_elements(value, inside[0])))
+    return F.array_sort(F.array_distinct(F.concat(*parts)))
+
+
 def alert_event_rules() -> list[Rule]:
     """Contract of an alert event, version v1."""
     level = lambda c: c.isin(*SEVERITIES)

@@ -15,6 +15,7 @@ from tideline.queries.views import CATEGORICAL, CUR, NUMERIC, REF, current, long
 from tideline.session import scratch_path
 from tideline.sources import prediction_log as L
 from tideline.sources import tables as S
+from tideline.sources.versioned import keyed_table, upsert
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -147,6 +148,19 @@ def alert_state_upsert(spark: SparkSession, sf: str) -> DataFrame:
     return S.upsert_latest(rows.where(early), rows.where(~early), ["key"], ["updated_at", "last_report_id"])
 
 
+@query(ORACLES["alert_state_upsert"])
+def alert_state_by_bucket(spark: SparkSession, sf: str) -> DataFrame:
+    """The same state kept in buckets: the second upsert rewrites only buckets that it has keys of."""
+    rows = table(spark, sf, "orders").select(
+        F.col("o_custkey").cast("string").alias("key"), F.col("o_orderpriority").alias("last_severity"),
+        F.col("o_orderkey").cast("string").alias("last_report_id"), F.col("o_orderdate").alias("updated_at"),
+    )
+    early, path = F.col("updated_at") < F.lit("1998-01-01").cast("timestamp"), scratch_path(spark, "alert-state")
+    for part in (rows.where(early), rows.where(~early)):
+        version = upsert(spark, path, part, ["key"], ["updated_at", "last_report_id"])
+    return keyed_table(version)
+
+
 _DIGEST = "md5(concat_ws(chr(1), CAST(l_discount AS VARCHAR), CAST(l_extendedprice AS VARCHAR), l_linenumber, l_linestatus, l_orderkey, l_partkey, CAST(l_quantity AS VARCHAR), l_returnflag, l_shipday, l_suppkey, CAST(l_tax AS VARCHAR)))"
 
 
@@ -176,6 +190,24 @@ def project_payload(spark: SparkSession, sf: str) -> DataFrame:
     return X.project_payload(rows, keep=["l_orderkey", "l_linenumber"])[0]
 
 
+@query(f"""WITH {BANK} SELECT l_orderkey, l_linenumber, concat_ws(',', CASE WHEN l_linenumber = 3 THEN 'age' END, CASE WHEN education IS NULL THEN 'education' END) AS bad_fields
+FROM bank WHERE education IS NULL OR l_linenumber = 3""")
+def payload_rejects(spark: SparkSession, sf: str) -> DataFrame:
+    """Rows that cannot be scored, with the fields that they cannot supply."""
+    rows = bank(spark, sf).withColumn("age", F.when(F.col("l_linenumber") == 3, "n/a").otherwise(F.col("age").cast("string")))
+    return X.project_payload(rows)[1].select("l_orderkey", "l_linenumber", F.array_join("bad_fields", ",").alias("bad_fields"))
+
+
+@query(f"""WITH {CUR} SELECT 'numeric' AS kind, feature, count(*) AS n, count(value) AS filled FROM ({long_sql('cur', NUMERIC, 'DOUBLE')}) GROUP BY 2
+UNION ALL SELECT 'categorical', feature, count(*), count(value) FROM ({long_sql('cur', CATEGORICAL, 'VARCHAR')}) GROUP BY 2""")
+def present_features(spark: SparkSession, sf: str) -> DataFrame:
+    """Features that a batch has, with their filled rows; names that it lacks are left out."""
+    rows = current(spark, sf)
+    parts = {"numeric": P.long_numeric(rows, [*NUMERIC, "absent"]), "categorical": P.long_categorical(rows, ["absent", *CATEGORICAL]).withColumnRenamed("category", "value")}
+    count = lambda kind: parts[kind].groupBy(F.lit(kind).alias("kind"), "feature").agg(F.count(F.lit(1)).alias("n"), F.count("value").alias("filled"))
+    return count("numeric").unionByName(count("categorical"))
+
+
 @query("""SELECT p_partkey, try_cast(p_size || CASE WHEN p_type = 'PROMO' THEN 'x' ELSE '' END AS DOUBLE) AS size_number,
   try_cast(p_name AS DOUBLE) AS name_number FROM part""")
 def coerce_numeric(spark: SparkSession, sf: str) -> DataFrame:

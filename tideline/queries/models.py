@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.ml.functions import array_to_vector
+from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -12,7 +12,7 @@ from tideline.plans import model_tables as T
 from tideline.plans import training as N
 from tideline.plans.extra_trees import ExtraTrees, ExtraTreesModel
 from tideline.queries.core import CATEGORICAL, CUR, NUMERIC, current, long_sql
-from tideline.queries.views import table
+from tideline.queries.views import REF, reference, table
 from tideline.session import cut, scratch_path
 from tideline.sources.versioned import read_version
 
@@ -59,6 +59,16 @@ def dummy_baseline(spark: SparkSession, sf: str) -> DataFrame:
     return N.dummy_baseline(rows, "quality", rows, ["doc_id"]).select("doc_id", "probability")
 
 
+@query(f"""WITH {REF}, {CUR}, known AS (SELECT l_returnflag, row_number() OVER (ORDER BY l_returnflag) AS position FROM (SELECT DISTINCT l_returnflag FROM ref))
+SELECT l_returnflag, CAST(coalesce(position, 0) AS BIGINT) AS position, CAST(count(position) AS DOUBLE) AS ones, count(*) AS n FROM cur LEFT JOIN known USING (l_returnflag) GROUP BY 1, 2""")
+def encoded_categories(spark: SparkSession, sf: str) -> DataFrame:
+    """Categories of later rows in the indicators fitted on earlier ones: place of the one, and none for an unknown category."""
+    encoder = N.feature_pipeline([], ["l_returnflag"]).fit(reference(spark, sf))
+    rows = encoder.transform(current(spark, sf)).select("l_returnflag", vector_to_array("features").alias("x"))
+    ones = F.aggregate("x", F.lit(0.0), lambda a, v: a + v)
+    return rows.groupBy("l_returnflag", F.array_position("x", F.lit(1.0)).alias("position")).agg(F.sum(ones).alias("ones"), F.count(F.lit(1)).alias("n"))
+
+
 DOC_NUMERIC = ["n_chars", "n_lines", "n_words", "share_upper"]
 DOC_CATEGORICAL = ["lang", "source"]
 

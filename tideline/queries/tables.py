@@ -13,6 +13,7 @@ from tideline.operators import scenarios as G
 from tideline.operators import validate as V
 from tideline.queries.core import BANK, _sql_rules, bank
 from tideline.queries.views import table
+from tideline.session import scratch_path
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -104,8 +105,8 @@ BANK_IDS = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "cons_conf_i
 _BANK_KEY = [f"CAST({c} AS VARCHAR)" for c in BANK_IDS]
 
 
-def _scenario_sql(name: str, base: str = "bank", seed: int = 42) -> str:
-    """The scenario program as one SQL statement over a table."""
+def _scenario_sql(name: str, base: str = "bank", seed: int = 42, columns: list[str] | None = None) -> str:
+    """The scenario program as one SQL statement over a table; the columns it changes, or the given ones."""
     steps = G.SCENARIOS[name]
     changed: dict[str, str] = {}
     ranks, draw = [], 0
@@ -124,8 +125,8 @@ def _scenario_sql(name: str, base: str = "bank", seed: int = 42) -> str:
                 f"CASE WHEN r{draw} <= greatest(1, floor(n * {step.share}::DOUBLE)) AND EXISTS (SELECT 1 FROM bank WHERE {c} = '{step.value}') "
                 f"THEN '{step.value}' ELSE {changed.get(c, c)} END"
             )
-    columns = ", ".join(f"{changed[c]} AS {c}" for c in changed)
-    return f"WITH {BANK}, k AS (SELECT *, count(*) OVER () AS n, {', '.join(ranks)} FROM {base}) SELECT l_orderkey, l_linenumber, {columns} FROM k"
+    out = ", ".join(f"{changed.get(c, c)} AS {c}" for c in columns or changed)
+    return f"WITH {BANK}, k AS (SELECT {', '.join(['*, count(*) OVER () AS n', *ranks])} FROM {base}) SELECT l_orderkey, l_linenumber, {out} FROM k"
 
 
 def _program_columns(df: DataFrame, name: str) -> DataFrame:
@@ -160,6 +161,28 @@ def scenario_batch(spark: SparkSession, sf: str) -> DataFrame:
     return _program_columns(out, "rollback_drift")
 
 
+_BATCH_NUMBERS = ["euribor3m", "emp_var_rate", "nr_employed", "cons_price_idx"]
+_BATCH_TEXTS = ["contact", "month", "poutcome", "job", "education"]
+
+
+def _batches_sql() -> str:
+    each = []
+    for i, name in enumerate(G.SCENARIOS):
+        rows = f"(SELECT * FROM bank {'WHERE y = ' + chr(39) + 'yes' + chr(39) if name == 'rollback_drift' else ''} ORDER BY {_key(str(42 + i), *_BANK_KEY)} LIMIT 2000)"
+        inner = _scenario_sql(name, rows, 42 + i, [*_BATCH_NUMBERS, *_BATCH_TEXTS])
+        numbers = ", ".join(f"round(CAST({c} AS DOUBLE), 6) AS {c}" for c in _BATCH_NUMBERS)
+        each.append(f"SELECT '{name}' AS scenario, l_orderkey, l_linenumber, {numbers}, {', '.join(_BATCH_TEXTS)} FROM ({inner})")
+    return " UNION ALL ".join(each)
+
+
+@query(_batches_sql())
+def scenario_files(spark: SparkSession, sf: str) -> DataFrame:
+    """One delimited file set for each scenario (batches of 2 000 drawn rows), read back."""
+    found = G.generate_batches(bank(spark, sf), scratch_path(spark, "batches"), 2000, BANK_IDS, F.col("y") == "yes")
+    numbers = [F.round(F.col(c).cast("double"), 6).alias(c) for c in _BATCH_NUMBERS]
+    return found.select("scenario", F.col("l_orderkey").cast("bigint").alias("l_orderkey"), F.col("l_linenumber").cast("int").alias("l_linenumber"), *numbers, *_BATCH_TEXTS)
+
+
 _BASE = {"age": 40, "job": "admin.", "contact": "cellular", "pdays": 999, "euribor3m": 1.3, "nr_employed": 5099.1}
 
 
@@ -452,6 +475,26 @@ def proposals(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+_PROMOTION_RULES = [
+    ("model_name:length", "model_name = ''"), ("hil_approval_id:required", "hil_approval_id IS NULL"), ("target_version:range", "target_version < 1"),
+]
+
+
+@query(f"""WITH {_PROP}, req AS (SELECT hil_approval_id AS id, CASE WHEN action = 'no_action' THEN '' ELSE model_name END AS model_name, supplier % 5 AS target_version,
+  CASE WHEN requires_hil THEN hil_approval_id END AS hil_approval_id, severity FROM prop)
+SELECT id, {_sql_rules(_PROMOTION_RULES)} AS violations, CASE severity WHEN 'high' THEN 'force' WHEN 'medium' THEN '' END AS extra FROM req""")
+def validate_promotion_requests(spark: SparkSession, sf: str) -> DataFrame:
+    """Requests as JSON: broken rules of the contract, and fields that it does not know (null: no JSON at all)."""
+    asked = proposals(spark, sf).select(
+        F.col("hil_approval_id").alias("id"), F.when(F.col("action") == "no_action", "").otherwise(F.col("model_name")).alias("model_name"),
+        (F.col("supplier") % 5).cast("int").alias("target_version"), "investigation_id", F.when(F.col("requires_hil"), F.col("hil_approval_id")).alias("hil_approval_id"),
+        F.when(F.col("severity") == "high", F.lit(True)).alias("force"), "severity",
+    )
+    text = F.when(F.col("severity") != "low", F.to_json(F.struct(*V.PROMOTION_REQUEST_FIELDS, "force")))
+    extra = F.when(text.isNotNull(), F.array_join(V.extra_json_fields(text, V.PROMOTION_REQUEST_FIELDS), ","))
+    return V.check(asked, V.promotion_request_rules()).select("id", F.array_join("violations", ",").alias("violations"), extra.alias("extra"))
+
+
 def supplier_reports(spark: SparkSession, sf: str) -> DataFrame:
     return reports(spark, sf).select((F.col("model") % 100).alias("supplier"), "report_id", "ts", "severity")
 

@@ -25,8 +25,13 @@ def to_log(scored: DataFrame, features: Sequence[str], id_col: Column, created_a
 
 
 def append_log(log: DataFrame, path: str) -> None:
-    """Append to the log, partitioned by day so that windows prune old files."""
-    log.withColumn("created_date", F.to_date("created_at")).write.mode("append").partitionBy("created_date").parquet(path)
+    """Append to the log, partitioned by day so that windows prune old files.
+
+    Rows of a day are brought together first: its files are as large as adaptive execution likes its partitions, however many
+    tasks and days there are. A day with too many rows for one is split.
+    """
+    dated = log.withColumn("created_date", F.to_date("created_at"))
+    dated.hint("rebalance", "created_date").write.mode("append").partitionBy("created_date").parquet(path)
 
 
 def expand_log(log: DataFrame, schema: StructType, keep: Sequence[str] = ("label",)) -> DataFrame:
