@@ -1,6 +1,8 @@
 import hashlib
 import re
 
+from pyspark.sql import functions as F
+
 from tideline.llm import decontaminate as dc
 
 
@@ -31,7 +33,7 @@ ROWS = [
 ]
 
 
-def test_equals_brute_force_in_one_block_and_in_many(spark, documents):
+def test_equals_brute_force_carried_and_joined(spark, documents):
     benchmark = spark.createDataFrame(ITEMS, "item_id bigint, text string")
     for size in (dc.BLOCK_BYTES, 20):
         found = dc.scan_benchmark(documents(ROWS), benchmark, block_bytes=size)
@@ -39,6 +41,28 @@ def test_equals_brute_force_in_one_block_and_in_many(spark, documents):
         assert sorted(got, key=str) == sorted(plain(ROWS, ITEMS), key=str)
 
 
+def test_joined_equals_carried_with_copies_hot_windows_and_a_full_filter(spark, documents, monkeypatch):
+    """The table form on many copies of one text, a window in most texts, clashing columns and a filter that lets everything through."""
+    benchmark = spark.createDataFrame([*ITEMS, (3, "the"), (4, "the"), (5, None)], "item_id bigint, text string")
+    rows = [(i, f"the copy of {LONG}") for i in range(40)] + [(i, f"text {i} has the word") for i in range(40, 90)] + [(i, f"clean number {i}") for i in range(90, 120)] + ROWS
+    docs = documents(rows).withColumns({"weight": F.lit(1), "digest": F.lit("d"), "__digest": F.lit("e"), "spans": F.lit(2)})
+    key = lambda df: sorted((str(r.doc_id), str(r.leak.asDict(True)), r.weight, r["__digest"]) for r in df.collect())
+    want = key(dc.scan_benchmark(docs, benchmark, with_text=True))
+    assert len(want) == len(rows)
+    assert key(dc.scan_benchmark(docs, benchmark, with_text=True, block_bytes=1)) == want
+    monkeypatch.setattr(dc, "_bit_filter", lambda windows: b"\xff" * 64)
+    assert key(dc.scan_benchmark(docs, benchmark, with_text=True, block_bytes=1)) == want
+
+
+def test_the_filter_has_the_bits_of_all_windows_and_few_others(spark):
+    rows = spark.range(20_000).select(F.shiftrightunsigned(F.xxhash64("id"), 1).alias("h"))
+    bits = dc._bit_filter(rows)
+    mask = len(bits) * 8 - 1
+    hashes = [r.h & mask for r in rows.collect()]
+    assert len(bits) == 1 << 16 and all(bits[h >> 3] >> (h & 7) & 1 for h in hashes)
+    assert sum(b.bit_count() for b in bits) == len(set(hashes))
+
+
 def test_empty_tables(spark, documents):
     none = spark.createDataFrame([], "item_id bigint, text string")
     assert [r.leak.contaminated for r in dc.scan_benchmark(documents([(1, "a b")]), none).collect()] == [False]

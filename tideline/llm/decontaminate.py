@@ -1,4 +1,8 @@
-"""Benchmark decontamination: a broadcast hash set of test windows, a scan, and exact checks of the hits."""
+"""Benchmark decontamination: a broadcast hash set of test windows, a scan, and exact checks of the hits.
+
+A benchmark of up to ``BLOCK_BYTES`` travels whole with the scan. Of a larger one the windows are a table and only a bit
+filter of their hashes travels, whose size is bounded; document windows that pass it are joined with the table.
+"""
 
 from __future__ import annotations
 
@@ -14,13 +18,17 @@ from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tideline.llm.common import fresh, pieces
+from tideline.llm.common import fresh, lookup, pieces, settle
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 WINDOW = 10
-#: Bytes of benchmark text that one scan carries; a larger benchmark is scanned in blocks of this size.
+#: Bytes of benchmark text that the scan carries; a larger benchmark stays a table.
 BLOCK_BYTES = 16 << 20
+#: The bit filter has sixteen bits for each window, within these powers of two (64 MB at most).
+LEAST_BITS, MOST_BITS = 16, 29
+#: Rows of a batch that the scan gives out.
+OUT_ROWS = 20_000
 #: A document is dropped if this share of its words is hit; otherwise the hit spans are cut out.
 DROP_SHARE = 0.5
 PIECE = 4 << 20
@@ -97,8 +105,8 @@ def _cut(text: bytes, spans: list[tuple[int, int]]) -> str:
     return b"".join([*kept, text[at:]]).decode("utf-8", "replace")
 
 
-def _scan(items: list[tuple[str | None, bytes]], text_at: int, last: bool, with_text: bool):
-    """A pass over documents for one block of items; the last column is what earlier blocks found."""
+def _scan(items: list[tuple[str | None, bytes]], text_at: int, with_text: bool):
+    """A pass over documents for the given items; the last column is what is already known."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from hashlib import sha256
@@ -127,9 +135,9 @@ def _scan(items: list[tuple[str | None, bytes]], text_at: int, last: bool, with_
                     found, names = _merged(found), sorted(who)
                     out.append({
                         "n_words": n, "n_hit": sum(b - a for a, b in found), "n_items": len(names),
-                        "items_sha256": sha256(",".join(names).encode()).hexdigest() if last else "", "contaminated": bool(found),
+                        "items_sha256": sha256(",".join(names).encode()).hexdigest(), "contaminated": bool(found),
                         "items": names, "spans": [{"start": a, "stop": b} for a, b in found],
-                        "clean_text": _cut(text, found) if last and with_text and found else None,
+                        "clean_text": _cut(text, found) if with_text and found else None,
                     })
                 state = pa.array(out, type=batch.schema.field(batch.num_columns - 1).type)
                 yield pa.RecordBatch.from_arrays([*part.columns[:-1], state], schema=batch.schema)
@@ -137,13 +145,95 @@ def _scan(items: list[tuple[str | None, bytes]], text_at: int, last: bool, with_
     return run
 
 
-def _blocks(benchmark: DataFrame, id_col: str, text_col: str, block_bytes: int) -> Iterator[list[tuple[str | None, bytes]]]:
-    """The items in blocks of bounded size; an item alone may be larger."""
-    items = benchmark.select(F.col(f"`{id_col}`").cast("string").alias("id"), F.col(f"`{text_col}`").cast("binary").alias("text")).where("text is not null").distinct()
-    total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    blocks = max(1, -(-total // block_bytes))
-    for b in range(blocks):
-        yield [(r["id"], bytes(r["text"])) for r in items.where(F.pmod(F.xxhash64("id", "text"), F.lit(blocks)) == b).collect()]
+def _item_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(item, text) -> item, length, hash of the words, words."""
+    from xxhash import xxh64_intdigest
+
+    for batch in batches:
+        rows: list[tuple] = []
+        for item, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            words = text.translate(NORMAL).split()
+            length = min(WINDOW, len(words))
+            for at in range(len(words) - length + 1 if words else 0):
+                joined = b" ".join(words[at : at + length])
+                rows.append((item, length, xxh64_intdigest(joined) >> 1, joined))
+            if len(rows) >= OUT_ROWS:
+                yield _batch(rows, [pa.string(), pa.int32(), pa.int64(), pa.binary()], ["item", "length", "h", "words"])
+                rows = []
+        yield _batch(rows, [pa.string(), pa.int32(), pa.int64(), pa.binary()], ["item", "length", "h", "words"])
+
+
+def _batch(rows: list[tuple], types: list[pa.DataType], names: list[str]) -> pa.RecordBatch:
+    columns = list(zip(*rows)) if rows else [[] for _ in names]
+    return pa.RecordBatch.from_arrays([pa.array(c, type=t) for c, t in zip(columns, types, strict=True)], names=names)
+
+
+def _passing(lengths: list[int], sent):
+    """(digest, text) -> digest, first, start, stop, words of every window whose hash passes the filter; ``first`` marks a text's first."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from xxhash import xxh64_intdigest
+
+        bits, types, names = sent.value, [pa.string(), pa.bool_(), pa.int32(), pa.int32(), pa.binary()], ["digest", "first", "start", "stop", "words"]
+        mask = len(bits) * 8 - 1
+        for batch in batches:
+            rows: list[tuple] = []
+            for digest, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                words, first = text.translate(NORMAL).split(), True
+                for length in lengths:
+                    for at in range(len(words) - length + 1):
+                        joined = b" ".join(words[at : at + length])
+                        h = (xxh64_intdigest(joined) >> 1) & mask
+                        if bits[h >> 3] >> (h & 7) & 1:
+                            rows.append((digest, first, at, at + length, joined))
+                            first = False
+                            if len(rows) >= OUT_ROWS:
+                                yield _batch(rows, types, names)
+                                rows = []
+            yield _batch(rows, types, names)
+
+    return run
+
+
+def _bit_filter(windows: DataFrame) -> bytes:
+    """Bits of the windows' hashes: made by aggregation in parts of 4 KB, at most 64 MB in all."""
+    many = windows.agg(F.approx_count_distinct("h")).first()[0]
+    power = min(MOST_BITS, max(LEAST_BITS, (16 * many).bit_length()))
+    place = F.col("h").bitwiseAND(F.lit((1 << power) - 1)) + 1
+    parts = windows.groupBy(F.bitmap_bucket_number(place).alias("part")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(place)).alias("bits"))
+    out = bytearray(1 << (power - 3))
+    for r in parts.toLocalIterator():
+        at = (r["part"] - 1) << 12
+        out[at : at + len(r["bits"])] = r["bits"]
+    return bytes(out)
+
+
+def _by_join(docs: DataFrame, items: DataFrame, text_col: str, out: str) -> DataFrame:
+    """``docs`` with the windows found in them as the column ``out``; equal texts are looked up once.
+
+    Only windows that pass the filter are shuffled. Words are the join key, so a match is a match word by word. Windows and
+    texts with very many rows are joined by broadcast (at most a thousand of them).
+    """
+    windows = settle(items.mapInArrow(_item_windows, "item string, length int, h bigint, words binary").distinct(), "windows")
+    lengths = sorted((r["length"] for r in windows.select("length").distinct().collect()), reverse=True)  # at most ten
+    sent = docs.sparkSession.sparkContext.broadcast(_bit_filter(windows))
+    digest = fresh(docs, "__digest")
+    keyed = docs.withColumn(digest, F.md5(F.col(f"`{text_col}`").cast("binary")))
+    texts = keyed.where(F.col(digest).isNotNull()).select(digest, F.col(f"`{text_col}`").cast("binary"))
+    passed = settle(texts.mapInArrow(_passing(lengths, sent), "digest string, first boolean, start int, stop int, words binary"), "passed")
+    asked = windows.select("words").distinct().join(passed.groupBy("words").agg(F.count(F.lit(1)).alias("weight")), "words")
+    hits = settle(lookup(passed, settle(asked.withColumn("hit", F.lit(True)), "asked"), "words", "weight").where("hit"), "hits")
+    spans = hits.groupBy("digest").agg(F.collect_set(F.struct("start", "stop")).alias("spans"))
+    owners = hits.select("digest", "words").distinct().join(windows.where("item is not null").select("words", "item"), "words")
+    named = owners.groupBy("digest").agg(F.array_sort(F.collect_set("item")).alias("items"))
+    rows = passed.where("first").groupBy("digest").agg(F.count(F.lit(1)).alias("weight"))
+    state = F.struct(
+        F.lit(None).cast("bigint").alias("n_words"), F.lit(None).cast("bigint").alias("n_hit"), F.lit(None).cast("bigint").alias("n_items"), F.lit(None).cast("string").alias("items_sha256"),
+        F.lit(None).cast("boolean").alias("contaminated"), F.coalesce("items", F.array().cast("array<string>")).alias("items"), "spans", F.lit(None).cast("string").alias("clean_text"),
+    )
+    found = settle(spans.join(named, "digest", "left").join(rows, "digest").select(F.col("digest").alias(digest), "weight", state.cast(STATE).alias(out)), "found")
+    weight = fresh(keyed, "__weight")
+    return lookup(keyed, found.withColumnRenamed("weight", weight), digest, weight).select(*[F.col(f"`{c}`") for c in docs.columns], F.col(f"`{out}`"))
 
 
 def scan_benchmark(
@@ -156,20 +246,25 @@ def scan_benchmark(
     any occurrence is hit. Hash matches are checked word by word. Fields: n_words, n_hit, n_items,
     items_sha256, contaminated, items, spans (of words, merged) and, on request, clean_text without the
     spans. A null text has no words; items with null or wordless text have no window; windows of items
-    without an id are hit but not listed. Repeated rows are scanned one by one. Documents are never
-    shuffled: each block of items, of bounded size, travels with the task, and the blocks' passes follow one another.
+    without an id are hit but not listed. Repeated rows each have their result. A benchmark of up to ``block_bytes``
+    goes with the tasks and documents are not shuffled. A larger one never comes to the driver or into a task: see
+    :func:`_by_join`; the result is the same.
     """
-    work = docs.withColumn(out, F.lit(None).cast(STATE))
-    text_at = work.columns.index(text_col)
-    blocks = list(_blocks(benchmark, item_col, item_text, block_bytes))
-    schema = work.schema
-    for k, items in enumerate(blocks):
-        work = work.mapInArrow(_scan(items, text_at, k == len(blocks) - 1, with_text), schema)
-    return work
+    items = benchmark.select(F.col(f"`{item_col}`").cast("string").alias("id"), F.col(f"`{item_text}`").cast("binary").alias("text")).where("text is not null").distinct()
+    total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    text_at = docs.columns.index(text_col)
+    if total <= block_bytes:
+        carried, work = [(r["id"], bytes(r["text"])) for r in items.collect()], docs.withColumn(out, F.lit(None).cast(STATE))
+    else:
+        carried, work = [], _by_join(docs, items, text_col, out)
+    return work.mapInArrow(_scan(carried, text_at, with_text), work.schema)
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, drop_share: float = DROP_SHARE) -> DataFrame:
-    """Documents without benchmark passages: mostly hit ones go, from the others the hit spans are cut."""
+    """Documents without benchmark passages: mostly hit ones go, from the others the hit spans are cut.
+
+    A null text has nothing to hit and stays; repeated rows are treated alike; an empty table gives an empty one.
+    """
     leak = fresh(docs, "__leak")
     found = scan_benchmark(docs, benchmark, out=leak, with_text=True)
     kept = found.where(F.col(f"{leak}.n_hit") <= drop_share * F.col(f"{leak}.n_words"))
