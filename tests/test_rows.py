@@ -178,6 +178,7 @@ def test_profile_round_trip(spark, tmp_path):
     df = customers(spark, 200).withColumn("label", (F.col("y") == "yes").cast("int"))
     profile = P.reference_profile(df, ["age", "euribor3m"], ["job"], F.col("label"))
     S.save_profile(profile, str(tmp_path / "p"))
+    S.save_profile(profile, str(tmp_path / "p"))  # a newer version beside the old one
     back = S.load_profile(spark, str(tmp_path / "p"))
     assert sorted(back.numeric.collect()) == sorted(profile.numeric.collect())
     assert sorted(back.output.collect()) == sorted(profile.output.collect())

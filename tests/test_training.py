@@ -120,6 +120,7 @@ def test_retrain_publishes_everything_at_once(spark, split, tmp_path, monkeypatc
     assert found.number == done.published.number == 0 and found.info["max_abs_diff"] <= 1e-12 and found.info["candidate"] == candidate
     rows = {(r["model"], r["version"]): r for r in found.table("versions").collect()}
     assert {k: r["stage"] for k, r in rows.items()} == {("m", 4): "Staging", ("m", 3): "Archived", ("m", 2): "Production", ("other", 9): "Staging"}
+    assert found.table("model_terms" if candidate == "logistic_regression" else "model_nodes").count() > 4
     report = found.table("report").first()
     assert rows["m", 4]["tags"]["dataset_hash"] == report["dataset_hash"] and float(rows["m", 4]["tags"]["auc"]) == pytest.approx(report["test_roc_auc"])
     assert report["selected"] and report["train_rows"] + report["val_rows"] + report["test_rows"] == ROWS

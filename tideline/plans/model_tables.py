@@ -7,6 +7,8 @@ joined and compared like any other table, and scored where no ML model can be lo
 
 from __future__ import annotations
 
+from typing import TYPE_CHECKING
+
 from pyspark.ml import PipelineModel
 from pyspark.ml.classification import LogisticRegressionModel, RandomForestClassificationModel
 from pyspark.sql import DataFrame, SparkSession
@@ -14,9 +16,11 @@ from pyspark.sql import functions as F
 
 from tideline.operators.quantiles import finite_or_null
 from tideline.plans.extra_trees import ExtraTreesModel
-from tideline.plans.training import Preprocessor
 from tideline.session import scratch_path, stored
 
+if TYPE_CHECKING:
+    from tideline.plans.training import Preprocessor
+
 TERMS = "kind string, feature string, category string, fill_number double, fill_text string, mean double, std double, coefficient double"
 
 

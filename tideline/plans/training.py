@@ -19,6 +19,7 @@ from tideline.operators.quantiles import exact_quantiles, finite_or_null
 from tideline.operators.registry import register_staging, retrain_decision
 from tideline.operators.sampling import SEED
 from tideline.plans.extra_trees import ExtraTrees
+from tideline.plans.model_tables import as_tables
 from tideline.session import cut
 from tideline.sources.tables import append_run_metrics, dataset_fingerprint
 from tideline.sources.versioned import Version, publish
@@ -256,7 +257,7 @@ def retrain(
     """Train, profile the test part under the new model, register it in Staging, decide on promotion.
 
     The new version follows the model's greatest one and archives older Staging versions. With ``registry`` the
-    profile, the versions, the run's report and the model itself are published there as one version: they
+    profile, the versions, the run's report, the model itself and its table of terms or nodes are published there as one version: they
     appear together or not at all. Before that the model is read back from storage and has to give
     the same scores (:func:`evaluate.max_abs_diff`). The baseline has no profile and is not registered; then
     only the report is new.
@@ -296,5 +297,6 @@ def retrain(
         columns = [(c, pre.medians[c], pre.means[c], pre.stds[c], None) for c in pre.medians] + [(c, None, None, None, m) for c, m in pre.modes.items()]
         steps = split.sparkSession.createDataFrame(columns, "feature string, median double, mean double, std double, mode string")
         parts = {"preprocessing": steps} | {f"profile_{p}": getattr(profile, p) for p in ("numeric", "categorical", "output")} | {"versions": registered, "report": report}
+        parts |= as_tables(result.model, result.encoder, pre)
         done.published = publish(split.sparkSession, registry, parts, {"model": model_name, "run_id": run_id, "candidate": result.name}, saved)
     return done

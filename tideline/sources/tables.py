@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -57,15 +56,20 @@ def dataset_fingerprint(df: DataFrame) -> DataFrame:
 
 
 def save_profile(profile: ReferenceProfile, path: str) -> None:
-    for part in _PARTS:
-        getattr(profile, part).write.mode("overwrite").parquet(f"{path}/{part}")
+    """The three tables appear together, as the next version under ``path``, or not at all."""
+    from tideline.sources.versioned import publish  # which builds on this module
+
+    publish(profile.numeric.sparkSession, path, {part: getattr(profile, part) for part in _PARTS})
 
 
 def load_profile(spark: SparkSession, path: str) -> ReferenceProfile:
-    try:
-        return ReferenceProfile(*[spark.read.parquet(f"{path}/{part}") for part in _PARTS])
-    except AnalysisException as error:
-        raise FileNotFoundError(f"no reference statistics under {path}") from error
+    """The newest version that :func:`save_profile` has written."""
+    from tideline.sources.versioned import read_version
+
+    found = read_version(spark, path)
+    if found.number < 0:
+        raise FileNotFoundError(f"no reference statistics under {path}")
+    return ReferenceProfile(*[found.table(part) for part in _PARTS])
 
 
 def append_run_metrics(metrics: DataFrame, path: str) -> None:
