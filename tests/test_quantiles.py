@@ -3,6 +3,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from tideline.operators import quantiles
 from tideline.operators.profile import bin_counts, bin_of, long_numeric, numeric_profile
 from tideline.operators.quantiles import exact_quantiles
 
@@ -42,6 +43,34 @@ def test_quantiles_per_key_with_a_hot_key(spark):
         np.testing.assert_allclose(r["quantiles"], np.quantile(value[key == r["k"]], [0.1, 0.5, 0.9]), rtol=1e-12)
 
 
+@pytest.mark.parametrize("wrong", ["same", "crossed"])
+def test_wrong_brackets_cost_passes_only(frame, monkeypatch, wrong):
+    values = {"same": lambda p: (1.0, 1.0), "crossed": lambda p: (2.0 - p, p - 2.0)}
+
+    def brackets(sketch, n, probs):
+        pairs = [values[wrong](p) for p in probs]
+        return F.array(*[F.lit(a) for a, _ in pairs], *[F.lit(b) for _, b in pairs])
+
+    monkeypatch.setattr(quantiles, "brackets", brackets)
+    rows = exact_quantiles(long_numeric(frame, list(SHAPES)), PROBS, bins=64, sorted_rows=20).collect()
+    for r in rows:
+        np.testing.assert_allclose(r["quantiles"], np.nanquantile(SHAPES[r["feature"]], PROBS), rtol=1e-12, err_msg=r["feature"])
+
+
+def test_brackets_leave_few_rows_after_one_scan(spark, monkeypatch):
+    """Columns whose rows crowd in a tiny part of their range need one counting scan, then the last sort."""
+    df = spark.range(400_000).select(
+        F.exp(F.randn(3) * 8).alias("heavy"), F.when(F.rand(4) < 0.4, 7.0).otherwise(F.rand(5) * 1e-9).alias("hot")
+    )
+    steps = []
+    monkeypatch.setattr(quantiles, "cut", lambda d, cut=quantiles.cut: steps.append(cut(d)) or steps[-1])
+    stored = quantiles.cut(df)
+    found = {r["feature"]: r["quantiles"] for r in exact_quantiles(long_numeric(stored, df.columns), [0.1, 0.5, 0.9], sorted_rows=5_000).collect()}
+    assert len(steps) == 3  # the rows themselves, the bounds, one scan of counts
+    for name in df.columns:
+        np.testing.assert_allclose(found[name], np.quantile([r[0] for r in stored.select(name).collect()], [0.1, 0.5, 0.9]), rtol=1e-12)
+
+
 def test_infinities_are_ordered(spark):
     values = [float("-inf"), 1.0, 2.0, 3.0, float("inf")]
     df = spark.createDataFrame([(v,) for v in values], "value double").withColumn("feature", F.lit("f"))

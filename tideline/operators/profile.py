@@ -8,7 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tideline.operators.quantiles import exact_quantiles, finite_or_null
+from tideline.operators.quantiles import exact_quantiles, finite_or_null, rank_sketch
 from tideline.session import broadcast_if_small, cut
 
 DECILES = tuple(i / 10 for i in range(1, 10))
@@ -75,7 +75,7 @@ def bin_counts(bin_index: Column, bins: int) -> Column:
 
 
 def numeric_moments(df: DataFrame, features: Sequence[str], keys: Sequence[str] = ()) -> DataFrame:
-    """``keys, feature, n`` (with missing), ``mean, std`` (sample), ``lo, hi, filled``."""
+    """``keys, feature, n`` (with missing), ``mean, std`` (sample), ``lo, hi, filled`` and the ``sketch`` of ranks."""
     return (
         long_numeric(df, features, keys)
         .groupBy(*keys, "feature")
@@ -86,6 +86,7 @@ def numeric_moments(df: DataFrame, features: Sequence[str], keys: Sequence[str]
             F.min("value").alias("lo"),
             F.max("value").alias("hi"),
             F.count("value").alias("filled"),
+            rank_sketch("value").alias("sketch"),
         )
     )
 
@@ -102,7 +103,7 @@ def numeric_profile(
     moments = cut(numeric_moments(df, features, keys))
     edges = interior_edges(bins)
     probs = [*DECILES, *[e for e in edges if e not in DECILES]]
-    bounds = moments.select(*group, "lo", "hi", F.col("filled").alias("n"))
+    bounds = moments.select(*group, "lo", "hi", F.col("filled").alias("n"), "sketch")
     quantiles = exact_quantiles(long_numeric(df, features, keys), probs, group, bounds=bounds)
     at = [probs.index(e) for e in edges]
     below = [F.lit(0).cast("long"), *[F.get("below", F.lit(i)) for i in at], F.col("filled")]
