@@ -11,6 +11,7 @@ from tideline.operators import profile as P
 from tideline.operators import validate as V
 from tideline.session import session_options
 from tideline.sources.prediction_log import rolling_window
+from tideline.sources.versioned import keyed_table, read_version
 from tideline.streaming import jobs as J
 from tideline.streaming import state as S
 
@@ -276,9 +277,55 @@ def test_late_reports_are_compared_with_what_was_delivered(spark, tmp_path):
     assert sorted(seen) == [("a", "r1", None), ("a", "r2", "low"), ("a", "r4", "high"), ("b", "r5", None)]
 
 
-def test_a_broken_snapshot_is_no_fresh_start(spark, tmp_path):
-    (tmp_path / "batch_id=0").mkdir()
-    (tmp_path / "batch_id=0" / "part-0.parquet").write_bytes(b"not parquet")
-    with pytest.raises(Exception, match="(?i)parquet|footer|schema"):
-        J.previous_snapshot(spark, str(tmp_path), 1).count()
-    assert J.previous_snapshot(spark, str(tmp_path / "none"), 3) is None
+def test_state_of_severities_moves_by_bucket(spark, tmp_path):
+    """A batch rewrites the buckets of its keys; a batch that comes again after its state was published changes nothing."""
+    path, state, mark, seen = str(tmp_path / "in"), str(tmp_path / "s"), str(tmp_path / "cp"), []
+    kind = "key string, report_id string, severity string, ts timestamp"
+
+    def feed(*rows):
+        spark.createDataFrame([(k, r, s, T0 + timedelta(days=d)) for k, r, s, d in rows], kind).coalesce(1).write.mode("append").parquet(path)
+        run()
+
+    def run():
+        stream = spark.readStream.schema(kind).parquet(path)
+        deliver = lambda df, n: seen.append((n, sorted([(r.key, r.severity, r.previous_severity) for r in df.collect()], key=str)))
+        finish(J.severity_change_stream(stream, deliver, state, mark, buckets=64))
+
+    feed(*[(f"k{i}", f"r{i}", "low", 1) for i in range(200)], (None, "rn", "high", 1))
+    first = read_version(spark, state)
+    feed(("k3", "x", "high", 5), (None, "rm", "low", 4))
+    second = read_version(spark, state)
+    assert second.info["rewritten"] <= 2 < first.info["rewritten"] and second.number == 1
+    assert seen[1] == (1, sorted([("k3", "high", "low"), (None, "low", "high")], key=str))
+    # The stream's own commit of the batch is lost, so the batch comes again.
+    for f in (tmp_path / "cp" / "commits").iterdir():
+        if f.name.strip(".").removesuffix(".crc") == "1":
+            f.unlink()
+    run()
+    assert seen[2] == seen[1] and read_version(spark, state).number == 1
+    now = {r.key: (r.report_id, r.severity) for r in keyed_table(read_version(spark, state)).collect()}
+    assert len(now) == 201 and now["k3"] == ("x", "high") and now["k4"] == ("r4", "low") and now[None] == ("rm", "low")
+    feed(("k3", "y", "low", 2))  # late, but delivered last
+    assert seen[3] == (2, [("k3", "low", "high")])
+    assert {r.key: r.report_id for r in keyed_table(read_version(spark, state)).collect()}["k3"] == "y"
+
+
+def test_old_states_leave(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(J, "EXPIRE_EVERY", 3)
+    monkeypatch.setattr(J, "KEEP", 1)
+    kind = "key string, report_id string, severity string, ts timestamp"
+    for i in range(3):
+        spark.createDataFrame([("a", f"r{i}", "low", T0 + timedelta(days=i))], kind).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        stream = spark.readStream.schema(kind).parquet(str(tmp_path / "in"))
+        finish(J.severity_change_stream(stream, lambda df, n: df.count(), str(tmp_path / "s"), str(tmp_path / "cp"), buckets=4))
+    assert len(list((tmp_path / "s" / "data").iterdir())) == 1
+    assert [r.report_id for r in keyed_table(read_version(spark, str(tmp_path / "s"))).collect()] == ["r2"]
+
+
+def test_a_broken_state_is_no_fresh_start(spark, tmp_path):
+    manifests = tmp_path / "_manifests"
+    manifests.mkdir()
+    (manifests / "000000000.json").write_text("{not json")
+    with pytest.raises(ValueError):
+        J._state_before(spark, str(tmp_path), "mark", 1)
+    assert J._state_before(spark, str(tmp_path / "none"), "mark", 3)[0].number == -1

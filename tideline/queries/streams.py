@@ -13,6 +13,7 @@ from tideline.queries import core, tables
 from tideline.queries.views import CATEGORICAL, NUMERIC, current, reference, table
 from tideline.session import scratch_path, session_options
 from tideline.sources import tables as S
+from tideline.sources.versioned import keyed_table, read_version
 from tideline.streaming import jobs as J
 from tideline.streaming.state import ROCKSDB, dedupe_stream
 
@@ -76,7 +77,7 @@ def _severity_run(spark: SparkSession, sf: str) -> tuple[str, str]:
     run()
     rows.where(late).write.mode("append").parquet(path)
     run()
-    return sent, f"{state}/batch_id=1"
+    return sent, state
 
 
 @query(f"""WITH {_LATE}, c AS (SELECT *, lag(severity) OVER (PARTITION BY model ORDER BY batch, ts, report_id) AS previous_severity FROM arrived)
@@ -90,7 +91,7 @@ def stream_severity_changes(spark: SparkSession, sf: str) -> DataFrame:
 SELECT model, report_id, ts, severity FROM c WHERE k = 1""")
 def alert_state_after_delivery(spark: SparkSession, sf: str) -> DataFrame:
     _, state = _severity_run(spark, sf)
-    return spark.read.parquet(state).select(F.col("key").alias("model"), "report_id", "ts", "severity")
+    return keyed_table(read_version(spark, state)).select(F.col("key").alias("model"), "report_id", "ts", "severity")
 
 
 @query(f"""SELECT l_orderkey, l_linenumber, '' AS violations FROM ({core.ORACLES['validate_rows']})

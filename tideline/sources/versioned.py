@@ -116,19 +116,38 @@ def _bucket(key: Sequence[str], buckets: int) -> F.Column:
     return F.pmod(F.xxhash64(*key), F.lit(buckets)).cast("int")
 
 
-def upsert(spark: SparkSession, path: str, updates: DataFrame, key: Sequence[str], order: Sequence[str], buckets: int = BUCKETS) -> Version:
+def _touched(placed: DataFrame) -> list[int]:
+    return sorted(r["__bucket"] for r in placed.select("__bucket").distinct().collect())  # a number of buckets at most
+
+
+def rows_beside(version: Version, wanted: DataFrame, key: Sequence[str]) -> DataFrame:
+    """Rows of a table that :func:`upsert` keeps, from the buckets that the keys in ``wanted`` fall into.
+
+    These are all rows of those keys and some of others; no further bucket is read.
+    """
+    schema = StructType.fromJson(json.loads(version.schemas["rows"]))
+    touched = _touched(wanted.select(_bucket(key, int(version.info["buckets"])).alias("__bucket")))
+    there = [version.folder(f"{b:05d}") for b in touched if f"{b:05d}" in version.parts]
+    return version.spark.read.schema(schema).parquet(*there) if there else version.spark.createDataFrame([], schema)
+
+
+def upsert(
+    spark: SparkSession, path: str, updates: DataFrame, key: Sequence[str], order: Sequence[str], buckets: int = BUCKETS,
+    info: Mapping[str, object] | None = None,
+) -> Version:
     """Insert or overwrite rows of a keyed table: per key the row with the greatest ``order`` stays.
 
     The table lies in buckets by hash of the key. Only buckets that the updates touch are read and written
     anew; the new version names the old files for all others. A writer that was overtaken tries again on
     the newer version. ``order`` should end with a column that breaks ties. The number of buckets is that of the first version.
+    ``info`` is noted in the new version.
     """
     fixed = cut(updates)
     for _ in range(RETRIES):
         before = read_version(spark, path)
         many = int(before.info.get("buckets", buckets))
         placed = fixed.withColumn("__bucket", _bucket(key, many))
-        touched = sorted(r["__bucket"] for r in placed.select("__bucket").distinct().collect())  # a number of buckets at most
+        touched = _touched(placed)
         if not touched and before.number >= 0:
             return before
         folder = f"data/{uuid.uuid4().hex}"
@@ -138,7 +157,7 @@ def upsert(spark: SparkSession, path: str, updates: DataFrame, key: Sequence[str
         rows.repartition("__bucket").write.partitionBy("__bucket").parquet(f"{path}/{folder}")
         parts = {**before.parts, **{f"{b:05d}": f"{folder}/__bucket={b}" for b in touched}}
         try:
-            content = {"parts": parts, "schemas": {"rows": fixed.schema.json()}, "info": {"buckets": many, "key": list(key), "rewritten": len(touched)}}
+            content = {"parts": parts, "schemas": {"rows": fixed.schema.json()}, "info": {**(info or {}), "buckets": many, "key": list(key), "rewritten": len(touched)}}
             _commit(spark, path, before.number + 1, content)
         except Conflict:
             continue

@@ -10,7 +10,6 @@ from __future__ import annotations
 import time
 from collections.abc import Callable, Sequence
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.query import StreamingQuery
@@ -22,9 +21,13 @@ from tideline.operators.validate import Rule, validate
 from tideline.session import cut
 from tideline.sources.prediction_log import WINDOW
 from tideline.sources.tables import upsert_latest
+from tideline.sources.versioned import BUCKETS, Version, expire, read_version, rows_beside, upsert
 from tideline.streaming.state import newest_rows
 
 REPORT_INTERVAL = "60 seconds"
+#: Old versions of a stream's state go every so many versions; so many stay for those who read.
+EXPIRE_EVERY = 16
+KEEP = 4
 
 BatchFn = Callable[[DataFrame, int], None]
 
@@ -33,34 +36,6 @@ def write_batch(df: DataFrame, path: str, batch_id: int | str) -> None:
     df.write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
 
 
-def _read_if_there(spark: SparkSession, path: str) -> DataFrame | None:
-    """A table, or none if its folder is missing. Anything else that is wrong with it is an error."""
-    try:
-        return spark.read.parquet(path)
-    except AnalysisException as error:
-        if error.getCondition() != "PATH_NOT_FOUND":
-            raise
-        return None
-
-
-def previous_snapshot(spark: SparkSession, path: str, batch_id: int) -> DataFrame | None:
-    """Snapshot of the last batch before ``batch_id``, or none.
-
-    Batch ids follow each other, so the one before is looked up by name; older ones are searched only
-    where it is missing.
-    """
-    if batch_id == 0:
-        return None
-    before = _read_if_there(spark, f"{path}/batch_id={batch_id - 1}")
-    if before is not None:
-        return before
-    every = _read_if_there(spark, path)
-    if every is None:
-        return None
-    last = every.where(F.col("batch_id") < batch_id).agg(F.max("batch_id")).first()[0]
-    return None if last is None else spark.read.parquet(f"{path}/batch_id={last}")
-
-
 def _start(stream: DataFrame, fn: BatchFn, checkpoint: str, trigger: dict | None, mode: str = "append") -> StreamingQuery:
     writer = stream.writeStream.foreachBatch(fn).outputMode(mode).option("checkpointLocation", checkpoint)
     return writer.trigger(**(trigger or {"availableNow": True})).start()
@@ -203,6 +178,14 @@ def drift_stream(
     return _start(windows, batch, checkpoint, trigger or {"processingTime": REPORT_INTERVAL}, "update")
 
 
+def _state_before(spark: SparkSession, path: str, writer: str, batch_id: int) -> tuple[Version, bool]:
+    """The state that a batch starts from, and whether the batch has published its own already."""
+    newest = read_version(spark, path)
+    if (newest.info.get("writer"), newest.info.get("batch")) != (writer, batch_id):
+        return newest, False
+    return (read_version(spark, path, newest.number - 1) if newest.number else Version(spark, path)), True
+
+
 def severity_change_stream(
     reports: DataFrame,
     deliver: BatchFn,
@@ -211,6 +194,7 @@ def severity_change_stream(
     key: str = "key",
     ts: str = "ts",
     trigger: dict | None = None,
+    buckets: int = BUCKETS,
 ) -> StreamingQuery:
     """Emit a report whenever a key's severity differs from the last delivered one.
 
@@ -218,20 +202,29 @@ def severity_change_stream(
     delivered last, not with what was known at its time.
 
     ``reports`` has ``key, report_id, severity, ts``. State moves only after ``deliver`` returns: if
-    delivery fails, the batch is repeated and finds the old state. Event ids are derived from key and
-    report, so a repeat gives the same ids.
+    delivery fails, the batch is repeated and finds the old state; so does a batch that stopped between its new
+    state and the stream's own commit. Event ids are derived from key and report, so a repeat gives the same ids.
+
+    The state is a versioned table in buckets by key (``keyed_table(read_version(spark, state_path))``): a batch reads
+    and rewrites the buckets of its own keys only. A stream with a new checkpoint goes on from the state there is.
+    Of old versions the newest few stay.
     """
 
     def batch(df: DataFrame, batch_id: int) -> None:
         fields = [key, "report_id", "severity", ts]
-        rows = cut(df.select(*fields))
-        state = previous_snapshot(df.sparkSession, state_path, batch_id)
-        known = rows.limit(0) if state is None else state.select(*fields)
+        spark, rows = df.sparkSession, cut(df.select(*fields))
+        state, repeated = _state_before(spark, state_path, checkpoint, batch_id)
+        known = rows_beside(state, rows, [key]).select(*fields) if state.number >= 0 else rows.limit(0)
         first = F.lit("0001-01-01").cast(known.schema[ts].dataType)  # before any report
         marked = known.withColumns({"__old": F.lit(True), "__at": first}).unionByName(rows.withColumns({"__old": F.lit(False), "__at": F.col(ts)}))
         changes = severity_changes(marked, [key], "__at").where(~F.col("__old")).drop("__old", "__at")
         deliver(changes.withColumn("event_id", event_id(F.col(key).cast("string"), F.col("report_id"))), batch_id)
-        latest = upsert_latest(rows.limit(0), rows, [key], [ts, "report_id"])
-        write_batch(latest.unionByName(known.join(latest.select(key), key, "left_anti")), state_path, batch_id)
+        if repeated:
+            return
+        # What a batch brings last replaces the state, however late it is: the version comes before the time.
+        latest = upsert_latest(rows.limit(0), rows, [key], [ts, "report_id"]).withColumn("__version", F.lit(state.number + 1).cast("long"))
+        now = upsert(spark, state_path, latest, [key], ["__version", ts, "report_id"], buckets, {"writer": checkpoint, "batch": batch_id})
+        if now.number % EXPIRE_EVERY == EXPIRE_EVERY - 1:
+            expire(spark, state_path, KEEP)
 
     return _start(reports, batch, checkpoint, trigger)
