@@ -1,6 +1,7 @@
 import random
 
 import numpy as np
+import pytest
 
 from tideline.llm import licenses as lic
 from tideline.llm.queries import QUERIES
@@ -87,3 +88,60 @@ def test_query_equals_a_plain_search_for_the_lines(spark):
         for name in ("mit-line", "gpl-3.0-line", "apache-2.0-line", "cc-by-nc-4.0-line"):
             if b" ".join([b"", *words(lic.TEMPLATES[name]), b""]) in flat:
                 assert f"{name}:1.0000:" in got[i]
+
+
+def best_alignment(template, words):
+    """(score, most matched words of an alignment with that score) over all cells, without bands: row by row of the template."""
+    # Cells are score * 1000 + matched words; both are maximised, the score first.
+    before, best = np.zeros(len(words) + 1, dtype=np.int64), 0
+    gap, steps = 1000, np.arange(len(words) + 1, dtype=np.int64) * 1000
+    for word in template:
+        row = np.maximum(before - gap, 0)
+        row[1:] = np.maximum(row[1:], before[:-1] + np.where(words == word, 1001, -1000))
+        row = np.maximum(row, 0)
+        before = np.maximum(np.maximum.accumulate(row + steps) - steps, 0)
+        best = max(best, int(before.max()))
+    return divmod(best, 1000)
+
+
+def runs(ids, n):
+    return {tuple(ids[k : k + n]) for k in range(len(ids) - n + 1)}
+
+
+@pytest.mark.parametrize("sf", ["/root/testdata/sf0.001"])
+def test_whole_query_equals_unbanded_alignment_of_every_template(spark, sf):
+    """Every text against every template in full, without fingerprints, diagonals or bands.
+
+    What is reported reaches the coverage there too. What reaches it there, and has a run of words with the template in
+    common that is long enough for a sure fingerprint, is reported, with at least 0.7 of its words.
+    """
+    texts = {r.doc_id: r.text or "" for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    rng = random.Random(8)
+    names = list(lic.TEMPLATES)
+    for k in range(60):  # notices, whole or edited, amid the texts of the table
+        words_of = list(texts.values())[k].split()
+        at = rng.randrange(len(words_of) + 1)
+        notice = edited(rng, lic.TEMPLATES[names[k % len(names)]], rng.randrange(1 + len(lic.TEMPLATES[names[k % len(names)]].split()) // 5))
+        texts[10**6 + k] = " ".join([*words_of[:at], notice, *words_of[at:]])
+    table = spark.createDataFrame(list(texts.items()), "doc_id bigint, text string")
+    got = {r.doc_id: {m.license: m for m in r.licenses} for r in lic.scan_licenses(table).collect()}
+    query = {r.doc_id: r for r in QUERIES["op2_licenses"](spark, sf).collect()}
+    assert all(query[i].n_matches >= len(got[i]) and {x.split(":")[0] for x in query[i].matches.split(",") if x} == set(got[i]) for i in query)
+    reported = missed = 0
+    for i, text in texts.items():
+        vocab = {}
+        ids = np.array([vocab.setdefault(w, len(vocab)) for w in words(text)], dtype=np.int64)
+        four = runs(ids.tolist(), lic.GRAM + lic.WINNOW - 1)
+        for name in names:
+            template = [vocab.get(w, -1) for w in words(lic.TEMPLATES[name])]
+            _, matched = best_alignment(template, ids)
+            enough = matched >= lic.MIN_COVERAGE * len(template)
+            if name in got[i]:
+                hit = got[i][name]
+                reported += 1
+                part = np.array([vocab[w] for w in words(text[hit.start : hit.stop])], dtype=np.int64)
+                assert enough and best_alignment(template, part)[1] >= round(hit.coverage * len(template))
+            elif enough:
+                missed += 1
+                assert not four & runs(template, lic.GRAM + lic.WINNOW - 1), (i, name)
+    assert reported > 60 and missed < reported / 10
