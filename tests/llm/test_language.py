@@ -1,7 +1,9 @@
+import math
 import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tideline.llm import language
 from tideline.llm.queries import QUERIES
@@ -64,3 +66,51 @@ def test_stage_keeps_clear_documents(spark, documents, small):
 def test_one_language(spark, documents):
     docs = documents([(i, f"{EN} {i}", "en", "s") for i in range(20)])
     assert {r.language.lang_pred for r in language.predict(docs, language.fit(docs)).collect()} == {"en"}
+
+
+def plain_grams(text):
+    """Buckets of the byte trigrams of a text, one by one."""
+    data = b" " + text.lower().encode() + b" "
+    data = bytes(b if b >= 128 or 97 <= b <= 122 else 32 for b in data)
+    return [((int.from_bytes(data[i : i + 3], "big") * 0x9E3779B1) % 2**32) >> 17 for i in range(len(data) - 2)]
+
+
+def test_whole_query_equals_a_plain_model(spark):
+    """Counts, weights and decoding by plain Python over every text; only slope, offset and trust are taken as fitted."""
+    sf = "/root/testdata/sf0.001"
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    model = language.fit(docs)
+    half = F.pmod(F.shiftright(F.xxhash64("doc_id", F.lit("fit")), 24), F.lit(2)).alias("half")
+    rows = docs.select("doc_id", "text", "lang", half).collect()
+    learned = [r for r in rows if zlib.crc32(str(r.doc_id).encode()) % 4 != 2 and r.lang is not None and r.text and any(map(str.isalpha, r.text))]
+    languages = sorted({r.lang for r in learned})
+    assert model.languages == languages and len(learned) < language.SAMPLE_DOCS / len(languages)
+    share = {x: [language.SMOOTHING] * language.BUCKETS for x in languages}
+    for r in learned:
+        if r.half == 0:
+            for g in plain_grams(r.text):
+                share[r.lang][g] += 1
+    for counts in share.values():
+        total = sum(counts)
+        counts[:] = [c / total for c in counts]
+    bits = model.code.shape[1]
+    weights = []
+    for b in range(bits):
+        sides = [[share[x] for x, c in zip(languages, model.code[:, b]) if c * sign > 0] for sign in (1, -1)]
+        yes, no = ([sum(v) / len(side) for v in zip(*side)] for side in sides)
+        weights.append([math.log(y) - math.log(n) for y, n in zip(yes, no)])
+    np.testing.assert_allclose(model.weights[:-1].T, np.array(weights), atol=1e-5)
+    got = {r.doc_id: r for r in QUERIES["op10_language"](spark, sf).collect()}
+    assert set(got) == {r.doc_id for r in rows} and len(got) == len(rows)
+    for r in rows:
+        found = got[r.doc_id]
+        if not r.text or not any(map(str.isalpha, r.text)):
+            assert (found.lang_pred, found.score) == ("und", 0.0)
+            continue
+        grams = plain_grams(r.text)
+        z = [sum(w[g] for g in grams) / len(grams) * model.slope[b] + model.offset[b] for b, w in enumerate(weights)]
+        loss = [sum(t * math.log1p(math.exp(-c * v)) for c, v, t in zip(word, z, model.trust)) for word in model.code.tolist()]
+        odds = [math.exp(-2 * (x - min(loss))) for x in loss]
+        score = [x / sum(odds) for x in odds]
+        best = max(range(len(languages)), key=lambda k: (score[k], -k))
+        assert found.lang_pred == languages[best] and abs(found.score - score[best]) < 1e-3, r.doc_id
