@@ -37,25 +37,13 @@ RANKED = 10_000
 STATE = "struct<block: bigint, place: bigint, phase: bigint, release: bigint, deadline: bigint, slot: bigint>"
 
 
-def slot_counts(weights: dict[str, float], slots: int | None = None) -> dict[str, int]:
-    """Whole numbers in the ratio of the weights, to the last bit of each float.
-
-    With ``slots`` they are rounded to that sum (or four for each source): at least one for each
-    source, largest remainders first, ties by name.
-    """
-    if slots is None:
-        exact = {s: Fraction(w) for s, w in weights.items()}
-        unit = math.lcm(*[x.denominator for x in exact.values()])
-        whole = {s: int(x * unit) for s, x in exact.items()}
-        common = math.gcd(*whole.values())
-        return {s: q // common for s, q in whole.items()}
-    slots = max(slots, 4 * len(weights))
-    total, spare = sum(weights.values()), slots - len(weights)
-    exact = {s: w / total * spare for s, w in weights.items()}
-    counts = {s: 1 + int(x) for s, x in exact.items()}
-    for s in sorted(exact, key=lambda s: (int(exact[s]) - exact[s], s))[: slots - sum(counts.values())]:
-        counts[s] += 1
-    return counts
+def slot_counts(weights: dict[str, float]) -> dict[str, int]:
+    """Whole numbers in the ratio of the weights, to the last bit of each float."""
+    exact = {s: Fraction(w) for s, w in weights.items()}
+    unit = math.lcm(*[x.denominator for x in exact.values()])
+    whole = {s: int(x * unit) for s, x in exact.items()}
+    common = math.gcd(*whole.values())
+    return {s: q // common for s, q in whole.items()}
 
 
 def pattern(counts: dict[str, int], left: dict[str, int]) -> dict[str, np.ndarray]:
@@ -120,15 +108,15 @@ def _place(plan: dict, block: int):
 
 def mix(
     docs: DataFrame, weights: dict[str, float] | None = None, id_col: str = "doc_id", source_col: str = "source",
-    block: int = BLOCK, slots: int | None = None, out: str = "mix",
+    block: int = BLOCK, out: str = "mix",
 ) -> DataFrame:
     """Add a struct column: block of the source, place in the block, phase, release, deadline, slot.
 
     (slot, place) is the order of the mixture; each slot is one block and no slot is empty. Within a source
     documents come in an order that a hash of the id draws (ties: of the whole row; equal rows are
     interchangeable). Rows without a source are a source of their own, named the empty string; a
-    source without a given weight follows after the others. Shares are exactly the weights; with ``slots``
-    they are rounded to that many slots. The driver and each task hold one number per source, and one per
+    source without a given weight follows after the others. Shares are exactly the weights.
+    The driver and each task hold one number per source, and one per
     block for the slots worked out (8 bytes; none of a period that repeats).
     """
     source, h, part, rank = (fresh(docs, f"__{x}") for x in ("source", "hash", "part", "rank"))
@@ -138,7 +126,7 @@ def mix(
     if not sizes:
         return docs.withColumn(out, F.lit(None).cast(STATE))
     weights = weights if weights is not None else {s: n**TEMPERATURE for s, n in sizes.items()}
-    counts = slot_counts({s: w for s, w in weights.items() if s in sizes and w > 0}, slots)
+    counts = slot_counts({s: w for s, w in weights.items() if s in sizes and w > 0})
     plan = phases(counts, {s: -(-n // block) for s, n in sizes.items()})
     # Ranks: rows in ranges of the hash, so that a source of any size is sorted in parts.
     parts = F.element_at(F.create_map(*[F.lit(x) for s, n in sizes.items() for x in (s, -(-n // RANKED))]), F.col(source))
