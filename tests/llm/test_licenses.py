@@ -57,14 +57,40 @@ def test_findings_spans_and_coverage(spark, documents):
         rows.append((100 + i, "intro " + edited(rng, text, len(text.split()) // 12) + " outro"))
         want[100 + i] = {name}
     want[lic_index("apache-2.0")] |= {"apache-2.0-line"}
-    got = {r.doc_id: r.licenses for r in lic.scan_licenses(documents(rows)).collect()}
+    got = {r.doc_id: r.licenses for r in lic.scan_licenses(documents(rows), best=False).collect()}
     for i, found in want.items():
         assert found <= {m.license for m in got[i]}
+    best = {r.doc_id: r.licenses for r in lic.scan_licenses(documents(rows)).collect()}
+    for i, name in enumerate(lic.TEMPLATES):  # variants are told apart, whole and edited
+        assert [m.license for m in best[i]] == [name] and [m.license for m in best[100 + i]] == [name]
     for i, (name, text) in enumerate(lic.TEMPLATES.items()):
         hit = next(m for m in got[i] if m.license == name)
         assert hit.coverage == 1.0 and words(rows[2 * i][1][hit.start : hit.stop]) == words(text)
 
 
+def test_best_of_overlapping_findings():
+    finding = lambda name, coverage, start, stop: {"license": name, "coverage": coverage, "start": start, "stop": stop}
+    sizes = {"a": 10, "b": 10, "long": 40, "line": 4}
+    names = lambda *found: [x["license"] for x in lic.best_of(list(found), sizes)]
+    assert names(finding("line", 1.0, 0, 20), finding("long", 0.9, 0, 200)) == ["long"]
+    assert names(finding("a", 0.9, 0, 50), finding("b", 1.0, 3, 50)) == ["b"]
+    assert names(finding("a", 1.0, 0, 50), finding("b", 1.0, 0, 50)) == ["a"]  # ties by name
+    assert names(finding("a", 1.0, 0, 50), finding("b", 1.0, 45, 90)) == ["a", "b"]  # they touch only
+    assert names(finding("a", 1.0, 0, 50), finding("a", 1.0, 60, 110)) == ["a", "a"] and names() == []
+
+
+def test_templates_from_a_table(spark, documents):
+    named = spark.createDataFrame([("own", "this text may be used by anyone who asks for it"), ("own", "this text may be used by anyone who asks for it"), (None, "x"), ("none", None)], "license string, text string")
+    docs = documents([(1, "Note: this text may be used by anyone who asks for it."), (2, "this text"), (3, None)])
+    got = {r.doc_id: [m.license for m in r.licenses] for r in lic.scan_licenses(docs, named).collect()}
+    assert got == {1: ["own"], 2: [], 3: []}
+    assert all(r.licenses == [] for r in lic.scan_licenses(docs, named.limit(0)).collect())
+    with pytest.raises(ValueError, match="bytes"):
+        lic.template_table(named, limit=10)
+    with pytest.raises(ValueError, match="several texts"):
+        lic.template_table(named.unionByName(spark.createDataFrame([("own", "other")], named.schema)))
+
+
 def lic_index(name):
     return list(lic.TEMPLATES).index(name)
 
@@ -124,9 +150,17 @@ def test_whole_query_equals_unbanded_alignment_of_every_template(spark, sf):
         notice = edited(rng, lic.TEMPLATES[names[k % len(names)]], rng.randrange(1 + len(lic.TEMPLATES[names[k % len(names)]].split()) // 5))
         texts[10**6 + k] = " ".join([*words_of[:at], notice, *words_of[at:]])
     table = spark.createDataFrame(list(texts.items()), "doc_id bigint, text string")
-    got = {r.doc_id: {m.license: m for m in r.licenses} for r in lic.scan_licenses(table).collect()}
+    got = {r.doc_id: {m.license: m for m in r.licenses} for r in lic.scan_licenses(table, best=False).collect()}
+    sizes = {name: len(words(text)) for name, text in lic.TEMPLATES.items()}
+    everything = {r.doc_id: r.licenses for r in lic.scan_licenses(table, best=False).collect()}
+    for r in lic.scan_licenses(table).collect():  # each finding stays, or a kept one that weighs as much overlaps it
+        weigh = lambda m: round(2 * m.coverage * sizes[m.license]) - sizes[m.license]
+        shared = lambda a, b: min(a.stop, b.stop) - max(a.start, b.start)
+        assert set(r.licenses) <= set(everything[r.doc_id])
+        assert all(m in r.licenses or any(shared(m, x) > 0 and weigh(x) >= weigh(m) for x in r.licenses) for m in everything[r.doc_id])
     query = {r.doc_id: r for r in QUERIES["op2_licenses"](spark, sf).collect()}
-    assert all(query[i].n_matches >= len(got[i]) and {x.split(":")[0] for x in query[i].matches.split(",") if x} == set(got[i]) for i in query)
+    kept = {r.doc_id: [m.license for m in r.licenses] for r in lic.scan_licenses(table).collect()}
+    assert all(query[i].n_matches == len(kept[i]) and [x.split(":")[0] for x in query[i].matches.split(",") if x] == kept[i] for i in query)
     reported = missed = 0
     for i, text in texts.items():
         vocab = {}

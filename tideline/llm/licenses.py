@@ -19,7 +19,25 @@ from tideline.llm.common import pieces
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
-# Notices as their licenses ask for them.
+# Notices as their licenses ask for them, whole texts of the short ones.
+BSD_HEAD = (
+    "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: "
+    "1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. "
+    "2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the "
+    "documentation and/or other materials provided with the distribution. "
+)
+BSD_THIRD = (
+    "3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this "
+    "software without specific prior written permission. "
+)
+BSD_TAIL = (
+    'THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, '
+    "THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR "
+    "CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, "
+    "PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF "
+    "LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, "
+    "EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."
+)
 TEMPLATES = {
     "apache-2.0-line": "Licensed under the Apache License, Version 2.0.",
     "mit-line": "Released under the MIT License.",
@@ -51,6 +69,72 @@ TEMPLATES = {
         "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, "
         "You can obtain one at https://mozilla.org/MPL/2.0/."
     ),
+    "gpl-2.0": (
+        "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by "
+        "the Free Software Foundation; either version 2 of the License, or (at your option) any later version. This program is distributed in the hope "
+        "that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. "
+        "See the GNU General Public License for more details. You should have received a copy of the GNU General Public License along with this program; "
+        "if not, write to the Free Software Foundation, Inc., 51 Franklin Street, Fifth Floor, Boston, MA 02110-1301 USA."
+    ),
+    "lgpl-2.1": (
+        "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by "
+        "the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version. This library is distributed in the hope "
+        "that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. "
+        "See the GNU Lesser General Public License for more details."
+    ),
+    "lgpl-3.0": (
+        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by "
+        "the Free Software Foundation, either version 3 of the License, or (at your option) any later version. This program is distributed in the hope "
+        "that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. "
+        "See the GNU Lesser General Public License for more details."
+    ),
+    "agpl-3.0": (
+        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by "
+        "the Free Software Foundation, either version 3 of the License, or (at your option) any later version. This program is distributed in the hope "
+        "that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. "
+        "See the GNU Affero General Public License for more details."
+    ),
+    "bsd-2-clause": BSD_HEAD + BSD_TAIL,
+    "bsd-3-clause": BSD_HEAD + BSD_THIRD + BSD_TAIL,
+    "unlicense": (
+        "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or "
+        "distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means. "
+        "In jurisdictions that recognize copyright laws, the author or authors of this software dedicate any and all copyright interest in the software "
+        "to the public domain. We make this dedication for the benefit of the public at large and to the detriment of our heirs and successors. We intend "
+        "this dedication to be an overt act of relinquishment in perpetuity of all present and future rights to this software under copyright law."
+    ),
+    "zlib": (
+        "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising "
+        "from the use of this software. Permission is granted to anyone to use this software for any purpose, including commercial applications, and to "
+        "alter it and redistribute it freely, subject to the following restrictions: 1. The origin of this software must not be misrepresented; you must "
+        "not claim that you wrote the original software. If you use this software in a product, an acknowledgment in the product documentation would be "
+        "appreciated but is not required. 2. Altered source versions must be plainly marked as such, and must not be misrepresented as being the original "
+        "software. 3. This notice may not be removed or altered from any source distribution."
+    ),
+    "bsl-1.0": (
+        "Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and accompanying documentation "
+        'covered by this license (the "Software") to use, reproduce, display, distribute, execute, and transmit the Software, and to prepare derivative '
+        "works of the Software, and to permit third-parties to whom the Software is furnished to do so, all subject to the following:"
+    ),
+    "cc-by-4.0": (
+        "This work is licensed under the Creative Commons Attribution 4.0 International License. To view a copy of this license, visit "
+        "http://creativecommons.org/licenses/by/4.0/ or send a letter to Creative Commons, PO Box 1866, Mountain View, CA 94042, USA."
+    ),
+    "cc-by-sa-4.0": (
+        "This work is licensed under the Creative Commons Attribution-ShareAlike 4.0 International License. To view a copy of this license, visit "
+        "http://creativecommons.org/licenses/by-sa/4.0/ or send a letter to Creative Commons, PO Box 1866, Mountain View, CA 94042, USA."
+    ),
+    "cc-by-nc-4.0": (
+        "This work is licensed under the Creative Commons Attribution-NonCommercial 4.0 International License. To view a copy of this license, visit "
+        "http://creativecommons.org/licenses/by-nc/4.0/ or send a letter to Creative Commons, PO Box 1866, Mountain View, CA 94042, USA."
+    ),
+    "cc0-1.0": (
+        "To the extent possible under law, the person who associated CC0 with this work has waived all copyright and related or neighboring rights to this work."
+    ),
+    "epl-2.0": (
+        "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0 which is available at "
+        "https://www.eclipse.org/legal/epl-2.0/"
+    ),
 }
 
 GRAM = 3
@@ -59,6 +143,8 @@ WINNOW = 2
 MIN_COVERAGE = 0.7
 #: Bytes of templates that one scan carries; more are scanned in blocks.
 BLOCK_BYTES = 8 << 20
+#: Bytes of a table of templates that :func:`template_table` takes at most.
+TABLE_BYTES = 64 << 20
 PIECE = 4 << 20
 STATE = "array<struct<license: string, coverage: double, start: int, stop: int>>"
 NORMAL = bytes(b + 32 if 65 <= b <= 90 else b if b >= 128 or chr(b).isalnum() else 32 for b in range(256))
@@ -178,7 +264,24 @@ def matches(index: Index, ids: np.ndarray, hits: list[tuple[int, int, int]], lea
     return sorted(out, key=lambda x: (x[2], x[0]))
 
 
-def _scan(templates: list[tuple[str, bytes]], text_at: int, least: float):
+def best_of(found: list[dict], sizes: dict[str, int]) -> list[dict]:
+    """Of findings that overlap, the one that explains most; the input's order stays.
+
+    A finding weighs its matched words less the template's words that are missing; ties go to the greater coverage, the
+    earlier start, then the name. One that shares more than half of the shorter span with a
+    better one goes.
+    """
+    # Coverage is matched / size, so the product is whole but for its last bits.
+    weight = lambda x: (round(2 * x["coverage"] * sizes[x["license"]]) - sizes[x["license"]], x["coverage"])
+    kept: list[dict] = []
+    for x in sorted(found, key=lambda x: (*(-w for w in weight(x)), x["start"], x["license"])):
+        shared = ((min(x["stop"], y["stop"]) - max(x["start"], y["start"]), min(x["stop"] - x["start"], y["stop"] - y["start"])) for y in kept)
+        if all(2 * common <= shorter for common, shorter in shared):
+            kept.append(x)
+    return [x for x in found if x in kept]
+
+
+def _scan(templates: list[tuple[str, bytes]], text_at: int, least: float, sizes: dict[str, int] | None):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index = Index(templates)
         for batch in batches:
@@ -204,26 +307,48 @@ def _scan(templates: list[tuple[str, bytes]], text_at: int, least: float):
                         chars = [len(text[:at].decode("utf-8", "replace")) for at in (ends[first][0], ends[stop - 1][1])]
                         out[row].append({"license": name, "coverage": coverage, "start": chars[0], "stop": chars[1]})
                     out[row].sort(key=lambda x: (x["start"], x["license"]))
+                if sizes is not None:
+                    out = [best_of(found, sizes) if len(found) > 1 else found for found in out]
                 state = pa.array(out, type=batch.schema.field(batch.num_columns - 1).type)
                 yield pa.RecordBatch.from_arrays([*part.columns[:-1], state], schema=batch.schema)
 
     return run
 
 
-def scan_licenses(docs: DataFrame, templates: dict[str, str] = TEMPLATES, text_col: str = "text", least: float = MIN_COVERAGE, out: str = "licenses", block_bytes: int = BLOCK_BYTES) -> DataFrame:
+def template_table(templates: DataFrame, name_col: str = "license", text_col: str = "text", limit: int = TABLE_BYTES) -> dict[str, str]:
+    """Templates of a table, in order of their names; null names and texts are left out.
+
+    The table goes to the driver and in blocks to the tasks, so it is refused above ``limit`` bytes, as is a name that has several texts.
+    """
+    rows = templates.select(F.col(f"`{name_col}`").cast("string").alias("name"), F.col(f"`{text_col}`").alias("text")).where("name IS NOT NULL AND text IS NOT NULL").distinct()
+    size = rows.agg(F.sum(F.octet_length("name") + F.octet_length("text")).alias("size"), F.count(F.lit(1)).alias("n"), F.count_distinct("name").alias("names")).first()
+    if (size["size"] or 0) > limit:
+        raise ValueError(f"templates of {size['size']} bytes are more than {limit}")
+    if size["n"] != size["names"]:
+        raise ValueError("a template name has several texts")
+    return {r["name"]: r["text"] for r in rows.orderBy("name").collect()}
+
+
+def scan_licenses(
+    docs: DataFrame, templates: dict[str, str] | DataFrame = TEMPLATES, text_col: str = "text", least: float = MIN_COVERAGE, out: str = "licenses",
+    block_bytes: int = BLOCK_BYTES, best: bool = True,
+) -> DataFrame:
     """Add an array column: license, coverage, start and stop (code points) of every notice found.
 
-    Coverage is the share of a template's words that the best alignment matches; ``least`` is the least one
-    reported. Overlapping findings of one template are one; those of different templates all stay.
-    Null and wordless texts have none, as have templates of fewer than three words. Documents are not
-    shuffled; the index of a block of templates, of bounded size, travels with the task.
+    ``templates`` are texts by name, or a table (:func:`template_table`). Coverage is the share of a template's words
+    that the best alignment matches; ``least`` is the least one reported. Overlapping findings of one template are one.
+    Of those of different templates the best is reported (:func:`best_of`), so that variants of a license are told
+    apart; all of them without ``best``. Null and wordless texts have none, as have templates of fewer than three words.
+    Documents are not shuffled; the index of a block of templates, of bounded size, travels with the task.
     """
+    templates = template_table(templates) if isinstance(templates, DataFrame) else templates
     work = docs.withColumn(out, F.array().cast(STATE))
     blocks: list[list[tuple[str, bytes]]] = [[]]
     for name, text in templates.items():
         if blocks[-1] and sum(len(t) for _, t in blocks[-1]) + len(text.encode()) > block_bytes:
             blocks.append([])
         blocks[-1].append((name, text.encode()))
-    for block in blocks:
-        work = work.mapInArrow(_scan(block, work.columns.index(text_col), least), work.schema)
+    sizes = {name: len(text.encode().translate(NORMAL).split()) for name, text in templates.items()}
+    for k, block in enumerate(blocks, 1):
+        work = work.mapInArrow(_scan(block, work.columns.index(text_col), least, sizes if best and k == len(blocks) else None), work.schema)
     return work
