@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tideline.operators import evaluate as M
 from tideline.operators.sampling import stratified_split
+from tideline.plans import extra_trees as X
 from tideline.plans import model_tables as T
 from tideline.plans import training as N
 from tideline.plans.extra_trees import ExtraTrees, ExtraTreesModel
@@ -181,3 +182,21 @@ def test_extra_trees_are_repeatable_random_and_limited(grown, spark):
     assert small.agg({"depth": "max"}).first()[0] <= 2 and small.where("n < 30 and feature is not null").isEmpty()
     one = ExtraTrees(num_trees=2).fit(frame.where("label = 1"))
     assert one.nodes.count() == 2 and one.transform(frame).where(vector_to_array("probability")[1] != 1).isEmpty()
+
+
+def test_nodes_below_the_bound_equal_those_grown_by_levels(grown, monkeypatch):
+    """Rows meet below a node of few rows; the nodes and scores are those of whole levels, and the rows are stored once, not for every level."""
+    x, y, frame, model = grown
+    key = lambda m: sorted((r["tree"], r["node"], r["depth"], r["n"], r["weight"], r["positive"], tuple(r["low"]), tuple(r["high"]), r["feature"], r["threshold"]) for r in m.nodes.collect())
+    score = lambda m: {r["id"]: r["p"] for r in m.transform(frame).select("id", vector_to_array("probability")[1].alias("p")).collect()}
+    whole, wanted = key(model), score(model)
+    tables, write = [], X.stored
+    monkeypatch.setattr(X, "stored", lambda df, *a: tables.append(df) or write(df, *a))
+    ExtraTrees(num_trees=TREES, max_depth=30, seed=5).fit(frame)
+    assert len(tables) <= 4 < max(k[2] for k in whole)
+    monkeypatch.setattr(X, "stored", write)
+    monkeypatch.setattr(X, "SUBTREE_ROWS", 9)
+    mixed = ExtraTrees(num_trees=TREES, max_depth=30, seed=5).fit(frame)
+    assert key(mixed) == whole
+    got = score(mixed)
+    assert got.keys() == wanted.keys() and all(abs(got[i] - p) < 1e-12 for i, p in wanted.items())

@@ -1,25 +1,37 @@
-"""Extremely randomised trees, grown level by level over a table.
+"""Extremely randomised trees, grown level by level over a table, and below a bound node by node.
 
 All trees grow side by side on all rows. A level takes two aggregates over (tree, node): the range of every
 feature, from which each node draws features that vary and a threshold inside each range, and the class
-weights on both sides of the drawn thresholds. Nodes are a table; draws are hashes of seed, tree, node and
-feature, so a run can be repeated.
+weights on both sides of the drawn thresholds. A node with few rows leaves the levels: its rows come together once and
+the tree below it is grown by the same draws, as the rows of a level would be read and written again for each of
+up to thirty more. Nodes are a table; draws are hashes of seed, tree, node and feature, so a run can be repeated.
 """
 
 from __future__ import annotations
 
+import sys
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tideline.session import BROADCAST_ROWS, stored
 
+# Ship the functions on nodes with the task; executors need not have the package installed.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 #: A node's number is that of a binary heap, which fits 64 bits up to this depth.
 DEEPEST = 60
 #: Levels that are scored between two stored steps.
 STRIDE = 5
+#: The most rows below which a node leaves the levels, and the most numbers in them.
+SUBTREE_ROWS = 100_000
+SUBTREE_NUMBERS = 8_000_000
+NODES = "tree int, node bigint, depth int, n bigint, weight double, positive double, low array<double>, high array<double>, feature int, threshold double"
 
 
 def _marked(df: DataFrame, rows: int) -> DataFrame:
@@ -27,6 +39,111 @@ def _marked(df: DataFrame, rows: int) -> DataFrame:
     return F.broadcast(df) if rows <= BROADCAST_ROWS else df
 
 
+def _subtree_rows(many: int) -> int:
+    return max(1, min(SUBTREE_ROWS, SUBTREE_NUMBERS // max(1, many)))
+
+
+def _rotated(h: np.ndarray, by: int) -> np.ndarray:
+    return (h << np.uint64(by)) | (h >> np.uint64(64 - by))
+
+
+_P = [np.uint64(p) for p in (0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5)]
+
+
+def _hashed(values: np.ndarray, seed: np.ndarray) -> np.ndarray:
+    """Spark's ``xxhash64`` of int (32 bits) or bigint values after what ``seed`` is the hash of."""
+    if values.dtype.itemsize == 4:
+        h = seed + _P[4] + np.uint64(4)
+        h = _rotated(h ^ (values.astype(np.uint32).astype(np.uint64) * _P[0]), 23) * _P[1] + _P[2]
+    else:
+        h = seed + _P[4] + np.uint64(8)
+        h = _rotated(h ^ (_rotated(values.astype(np.uint64) * _P[1], 31) * _P[0]), 27) * _P[0] + _P[3]
+    h = (h ^ (h >> np.uint64(33))) * _P[1]
+    h = (h ^ (h >> np.uint64(29))) * _P[2]
+    return h ^ (h >> np.uint64(32))
+
+
+def _numbers(lists: pa.ChunkedArray, rows: int) -> np.ndarray:
+    """Lists of one length as a matrix."""
+    flat = pa.concat_arrays([c.flatten() for c in lists.chunks]) if lists.num_chunks else pa.array([], pa.float64())
+    return flat.to_numpy(zero_copy_only=False).reshape(rows, -1)
+
+
+def _grow_below(rows: pa.Table, bases: tuple[int, int], drawn: int, min_rows: int, deepest: int) -> pa.Table:
+    """All nodes of the tree below one node, itself included, from the rows of that node. ``bases`` are the hashes of the draws' names."""
+    tree, root = rows["tree"][0].as_py(), rows["node"][0].as_py()
+    x, label, weight = _numbers(rows["x"], rows.num_rows), rows["label"].to_numpy(), rows["weight"].to_numpy()
+    many, depth = x.shape[1], (root + 1).bit_length() - 1
+    features = np.arange(many, dtype=np.int32)
+    of_tree = [_hashed(np.array([tree], np.int32), np.array([b], np.int64).astype(np.uint64)) for b in bases]
+    node, start, levels = np.array([root], np.int64), np.array([0]), []
+    while len(node):
+        n = np.diff(np.append(start, len(label)))
+        total, positive = np.add.reduceat(weight, start), np.add.reduceat(weight * label, start)
+        low, high = np.fmin.reduceat(x, start, axis=0), np.maximum.reduceat(x, start, axis=0)
+        feature, threshold = np.full(len(node), -1, np.int32), np.zeros(len(node))
+        varies = (low < high) | (np.isnan(high) & ~np.isnan(low))  # not a number is greater than all numbers
+        grows = (np.minimum.reduceat(label, start) < np.maximum.reduceat(label, start)) & (n >= min_rows) & (depth < deepest) & varies.any(axis=1)
+        g = np.flatnonzero(grows)
+        if len(g):
+            by_feature, at = (
+                (_hashed(features, _hashed(node[g], h)[:, None]) >> np.uint64(11)).astype(np.float64) / 2.0**53 for h in of_tree
+            )
+            with np.errstate(invalid="ignore"):
+                at = low[g] + at * (high[g] - low[g])
+            at = np.where(at < high[g], at, low[g])
+            order = np.argsort(np.where(varies[g], by_feature, 2.0), axis=1, kind="stable")[:, :drawn]
+            slot = np.repeat(np.arange(len(node)), n)
+            kept = np.flatnonzero(grows[slot])
+            slot = np.repeat(np.arange(len(g)), n[g])
+            x, label, weight = x[kept], label[kept], weight[kept]
+            first = np.concatenate([[0], np.cumsum(n[g])[:-1]])
+            gini = np.full((len(g), order.shape[1]), np.inf)
+            for i in range(order.shape[1]):
+                f, t = order[:, i], at[np.arange(len(g)), order[:, i]]
+                left = x[np.arange(len(slot)), f[slot]] <= t[slot]
+                w, p = np.add.reduceat(weight * left, first), np.add.reduceat(weight * label * left, first)
+                found = np.zeros(len(g))
+                for a, b in ((w, p), (total[g] - w, positive[g] - p)):
+                    found += np.divide(b * (a - b), a, out=np.zeros(len(g)), where=a > 0)
+                gini[:, i] = np.where(varies[g, f], found, np.inf)
+            best = order[np.arange(len(g)), np.argmin(gini, axis=1)]
+            feature[g], threshold[g] = best, at[np.arange(len(g)), best]
+        levels.append((node, np.full(len(node), depth, np.int32), n, total, positive, low, high, feature, threshold))
+        if not len(g):
+            break
+        right = x[np.arange(len(slot)), best[slot]] > threshold[g][slot]
+        right |= np.isnan(x[np.arange(len(slot)), best[slot]])
+        child = 2 * slot + right
+        order = np.argsort(child, kind="stable")
+        x, label, weight, child = x[order], label[order], weight[order], child[order]
+        start = np.flatnonzero(np.append([True], child[1:] != child[:-1]))
+        node, depth = 2 * node[g][child[start] // 2] + 1 + child[start] % 2, depth + 1
+    node, depths, n, total, positive, low, high, feature, threshold = (np.concatenate(c) for c in zip(*levels, strict=True))
+    leaf = feature < 0
+    ranges = [pa.ListArray.from_arrays(pa.array(np.arange(0, many * len(node) + 1, max(1, many), dtype=np.int32)), pa.array(v.ravel())) for v in (low, high)]
+    return pa.table({
+        "tree": pa.array(np.full(len(node), tree, np.int32)), "node": pa.array(node), "depth": pa.array(depths), "n": pa.array(n.astype(np.int64)), "weight": pa.array(total), "positive": pa.array(positive),
+        "low": ranges[0], "high": ranges[1], "feature": pa.array(feature, mask=leaf), "threshold": pa.array(threshold, mask=leaf),
+    })
+
+
+def _leaves_below(rows: pa.Table, nodes: pa.Table) -> pa.Table:
+    """``__row, leaf``: the value of the leaf that each row comes to from the uppermost of ``nodes``."""
+    if not rows.num_rows:
+        return pa.table({"__row": pa.array([], pa.int64()), "leaf": pa.array([], pa.float64())})
+    x = _numbers(rows["__x"], rows.num_rows)
+    nodes = nodes.sort_by("node")
+    ids, feature = nodes["node"].to_numpy(), nodes["feature"].fill_null(-1).to_numpy()
+    threshold, value = nodes["threshold"].fill_null(0.0).to_numpy(), nodes["value"].to_numpy()
+    below = np.searchsorted(ids, 2 * ids + 1)  # the right child's number is the next one
+    at, moving = np.zeros(rows.num_rows, np.int64), np.arange(rows.num_rows)
+    while len(moving := moving[feature[at[moving]] >= 0]):
+        here = at[moving]
+        at[moving] = below[here] + ~(x[moving, feature[here]] <= threshold[here])
+    return pa.table({"__row": rows["__row"].combine_chunks(), "leaf": pa.array(value[at])})
+
+
 @dataclass(frozen=True)
 class ExtraTrees:
     """Estimator over ``features`` (vector), ``label`` (0 or 1) and ``weight``; ``min_rows`` is the least to split."""
@@ -42,32 +159,57 @@ class ExtraTrees:
         if width is None:
             raise ValueError("no rows to grow trees on")
         many, drawn = width["n"], max(1, int(width["n"] ** 0.5))
+        deepest, few = min(self.max_depth, DEEPEST), _subtree_rows(many)
+        rows = stored(rows)
         trees = F.explode(F.sequence(F.lit(0), F.lit(self.num_trees - 1)))
-        open_ = stored(rows.select("*", trees.alias("tree"), F.lit(0).cast("bigint").alias("node")))
-        done = []
-        for depth in range(min(self.max_depth, DEEPEST) + 1):
+        open_ = rows.select("*", trees.alias("tree"), F.lit(0).cast("bigint").alias("node"))
+        done, small = [], []
+        for depth in range(deepest + 1):
             x = [F.col("x")[f] for f in range(many)]
-            found = open_.groupBy("tree", "node").agg(
+            sums = [
                 F.count(F.lit(1)).alias("n"), F.sum("weight").alias("weight"), F.sum(F.col("weight") * F.col("label")).alias("positive"),
                 F.min("label").alias("__least"), F.max("label").alias("__most"),
                 F.array(*map(F.min, x)).alias("low"), F.array(*map(F.max, x)).alias("high"),
-            )
-            grows = (F.col("__least") < F.col("__most")) & (F.col("n") >= self.min_rows) & F.lit(depth < min(self.max_depth, DEEPEST))
+            ]
+            if depth:
+                found = open_.groupBy("tree", "node").agg(*sums)
+            else:  # the roots of all trees hold the same rows
+                found = rows.agg(*sums).select(trees.alias("tree"), F.lit(0).cast("bigint").alias("node"), "*")
+            grows = (F.col("__least") < F.col("__most")) & (F.col("n") >= self.min_rows) & F.lit(depth < deepest)
             nodes = stored(found.withColumn("draws", F.when(grows, self._draws(many, drawn)).otherwise(F.array().cast("array<struct<f:int,at:double>>"))).drop("__least", "__most"))
-            growing = nodes.where(F.size("draws") > 0)
-            many_growing = growing.count()
-            splits = stored(self._splits(open_, _marked(growing, many_growing), drawn))
-            done.append(nodes.join(splits, ["tree", "node"], "left").select("tree", "node", F.lit(depth).alias("depth"), "n", "weight", "positive", "low", "high", "feature", "threshold"))
+            apart = (F.size("draws") > 0) & (F.col("n") <= few)
+            growing = nodes.where((F.size("draws") > 0) & ~apart)
+            counts = nodes.agg(F.count_if(apart).alias("apart"), F.count_if((F.size("draws") > 0) & ~apart).alias("growing")).first()
+            if counts["apart"]:
+                small.append((open_.join(_marked(nodes.where(apart).select("tree", "node"), counts["apart"]), ["tree", "node"]).select("tree", "node", "x", "label", "weight"), counts["apart"]))
+                nodes = nodes.where(~apart)
+            many_growing = counts["growing"]
             if not many_growing:
+                done.append(nodes.select("tree", "node", F.lit(depth).alias("depth"), "n", "weight", "positive", "low", "high", F.lit(None).cast("int").alias("feature"), F.lit(None).cast("double").alias("threshold")))
                 break
+            splits = stored(self._splits(open_, _marked(growing, many_growing), drawn))
+            done.append(nodes.join(splits, ["tree", "node"], "left").select("tree", "node", F.lit(depth).alias("depth"), "n", "weight", "positive", "low", "high", "feature", "threshold"))
             splits = _marked(splits, many_growing)
             side = F.when(F.col("x")[F.col("feature")] <= F.col("threshold"), 1).otherwise(2)
             open_ = stored(open_.join(splits, ["tree", "node"]).select("x", "label", "weight", "tree", (2 * F.col("node") + side).alias("node")))
+        if small:
+            done.append(self._grown_apart(small, drawn, deepest))
         table = done[0]
         for more in done[1:]:
             table = table.unionByName(more)
         return ExtraTreesModel(stored(table.withColumn("value", F.col("positive") / F.col("weight"))), self.num_trees)
 
+    def _grown_apart(self, small: list[tuple[DataFrame, int]], drawn: int, deepest: int) -> DataFrame:
+        """Nodes below those that have left the levels, from their rows; ``small`` has for each level the rows and the number of nodes."""
+        rows, groups, min_rows = small[0][0], sum(n for _, n in small), self.min_rows
+        for more, _ in small[1:]:
+            rows = rows.unionByName(more)
+        spark = rows.sparkSession
+        bases = tuple(spark.range(1).select(*[F.xxhash64(F.lit(f"{what}{self.seed}")) for what in ("feature", "threshold")]).first())
+        # A number of its own, as adaptive execution would put many small groups in one task.
+        dealt = rows.repartition(min(groups, BROADCAST_ROWS // 100), "tree", "node")
+        return dealt.groupBy("tree", "node").applyInArrow(lambda t: _grow_below(t, bases, drawn, min_rows, deepest), NODES)
+
     def _uniform(self, what: str, f) -> F.Column:
         return F.shiftrightunsigned(F.xxhash64(F.lit(f"{what}{self.seed}"), "tree", "node", f), 11) / F.lit(2.0**53)
 
@@ -113,9 +255,12 @@ class ExtraTreesModel:
         rows = stored(df.withColumn("__row", F.monotonically_increasing_id()))
         trees = F.explode(F.sequence(F.lit(0), F.lit(self.num_trees - 1)))
         at = rows.select("__row", vector_to_array("features").alias("__x"), trees.alias("tree"), F.lit(0).cast("bigint").alias("node"), F.lit(None).cast("double").alias("leaf"))
-        sizes = {r["depth"]: r["count"] for r in self.nodes.groupBy("depth").count().collect()}
+        width = at.select(F.size("__x").alias("n")).first()
+        few = _subtree_rows(width["n"] if width else 1)
+        top = self.nodes.where(F.col("n") > few).select("tree", "node", "depth", "feature", "threshold", "value")
+        sizes = {r["depth"]: r["count"] for r in top.groupBy("depth").count().collect()}
         for depth in sorted(sizes):
-            level = _marked(self.nodes.where(F.col("depth") == depth).select("tree", "node", "feature", "threshold", "value"), sizes[depth])
+            level = _marked(top.where(F.col("depth") == depth).drop("depth"), sizes[depth])
             x = F.get("__x", F.col("feature"))
             moved = 2 * F.col("node") + F.when(x <= F.col("threshold"), 1).otherwise(2)
             at = at.join(level, ["tree", "node"], "left").select(
@@ -124,10 +269,32 @@ class ExtraTreesModel:
             )
             if depth % STRIDE == STRIDE - 1:
                 at = stored(at)
-        scores = at.groupBy("__row").agg(F.avg("leaf").alias("__p"))
+        if sizes:
+            at = stored(at)
+        leaves = self._leaves(at.where("leaf is null").withColumnRenamed("node", "root").drop("leaf"), few, len(sizes))
+        if sizes:
+            leaves = leaves.unionByName(at.where("leaf is not null").select("__row", "leaf"))
+        scores = leaves.groupBy("__row").agg(F.avg("leaf").alias("__p"))
         both = array_to_vector(F.array(1 - F.col("__p"), F.col("__p")))
         return rows.join(scores, "__row").select(*[F.col(f"`{c}`") for c in df.columns], both.alias("probability"))
 
+    def _leaves(self, at: DataFrame, few: int, levels: int) -> DataFrame:
+        """``__row, leaf`` of rows that stand at the uppermost node (``root``) of at most ``few`` training rows: they meet what is below it, in chunks."""
+        below = self.nodes.where(F.col("n") <= few).select("tree", "node", "depth", "feature", "threshold", "value")
+        counts = stored(at.groupBy("tree", "root").agg(F.ceil(F.count(F.lit(1)) / few).cast("int").alias("chunks")))
+        size = counts.agg(F.count(F.lit(1)).alias("roots"), F.coalesce(F.sum("chunks"), F.lit(1)).alias("chunks")).first()
+        roots = _marked(counts, size["roots"])
+        if levels:  # of the nodes on the way up from a node one is such a root
+            up = F.transform(F.sequence(F.lit(0), F.least("depth", F.lit(levels))), lambda d: F.call_function("shiftright", F.col("node") + 1, F.col("depth") - d) - 1)
+            below = below.withColumn("root", F.explode(up))
+        else:
+            below = below.withColumn("root", F.lit(0).cast("bigint"))
+        below = below.join(roots, ["tree", "root"]).select("tree", "root", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"), "node", "feature", "threshold", "value")
+        dealt = at.join(roots, ["tree", "root"]).select("tree", "root", F.pmod(F.xxhash64("__row"), F.col("chunks")).cast("int").alias("chunk"), "__row", "__x")
+        tasks, keys = min(size["chunks"], BROADCAST_ROWS // 100), ["tree", "root", "chunk"]
+        left, right = (d.repartition(tasks, *keys).groupBy(*keys) for d in (dealt, below))
+        return left.cogroup(right).applyInArrow(_leaves_below, "__row bigint, leaf double")
+
     def save(self, path: str) -> None:
         self.nodes.withColumn("num_trees", F.lit(self.num_trees)).write.parquet(path)
 
