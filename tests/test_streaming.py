@@ -3,6 +3,7 @@ from datetime import datetime, timedelta
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 from tideline.operators import decisions as E
@@ -184,6 +185,23 @@ def test_state_leaves_a_ttl_behind_the_watermark(spark, tmp_path):
     assert sizes[0] > sizes[-1], sizes  # the keys of the first day are gone, those of the last day are there
 
 
+def test_a_key_of_few_rows_takes_rows_and_few_state_calls(monkeypatch):
+    """No data frame is made for it; the state is asked once and written once."""
+    calls = []
+
+    class State:
+        def __getattr__(self, name):
+            return lambda *a: calls.append((name, *a)) or (State() if name.startswith("get") and a else None)
+
+    dedup = S.LastAccepted(10)
+    dedup.init(State())
+    calls.clear()
+    monkeypatch.setattr(S.pd, "DataFrame", None)
+    rows = [Row(idempotency_key="k", id=i, at=None, t=t) for t, i in [(25, "d"), (5, None), (5, "b"), (14, "c"), (15, None), (15, None), (24, "e")]]
+    assert [tuple(r) for r in dedup.handleInputRows(("k",), iter(rows), None)] == [("k", "b", 5), ("k", None, 15), ("k", "d", 25)]
+    assert calls == [("get",), ("update", (25,)), ("registerTimer", 1)]
+
+
 def test_ring_writes_only_what_changes(spark, tmp_path):
     kind, path = "k string, v bigint, w double, at timestamp, label int", str(tmp_path / "in")
     seen, n = [], 5

@@ -11,11 +11,12 @@ import json
 import sys
 from collections.abc import Iterator, Sequence
 from decimal import Decimal
+from itertools import chain, islice
 
 import pandas as pd
 import pyarrow as pa
 from pyspark import cloudpickle
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
@@ -27,6 +28,8 @@ ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvi
 LATENESS = "1 day"
 #: Severity reports of a key are sorted an hour at a time.
 REPORT_SLICE = 3_600_000_000
+#: Rows that are held at once, where the session sets no bound for a batch of Arrow.
+FRAME_ROWS = 10_000
 
 
 class Slices:
@@ -73,11 +76,13 @@ class LastAccepted(StatefulProcessor):
     """Per key: time of the last accepted dispatch, until the watermark is a TTL beyond it.
 
     No two accepted rows lie within a TTL, so a slice of one TTL has one at most: the first row that is a TTL or
-    more after the last accepted one.
+    more after the last accepted one. Most keys have a few rows; they come as plain rows, as a data frame for
+    each key costs more than all else. Only a key with more than ``frame`` rows is taken slice by slice.
     """
 
-    def __init__(self, ttl_micros: int) -> None:
+    def __init__(self, ttl_micros: int, frame: int = FRAME_ROWS) -> None:
         self.ttl = ttl_micros
+        self.frame = frame
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
@@ -87,28 +92,39 @@ class LastAccepted(StatefulProcessor):
     def _expiry(self, t: int) -> int:
         return -(-(t + self.ttl) // 1000)
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        before = last = self.last.get()[0] if self.last.exists() else None
+    def _frames(self, rows: Iterator[Row]) -> Iterator[pd.DataFrame]:
+        while part := [(r["t"], r["id"]) for r in islice(rows, self.frame)]:
+            yield pd.DataFrame(part, columns=["t", "id"])
+
+    def _in_order(self, rows: Iterator[Row]) -> Iterator[Iterator[tuple]]:
+        """``t, id is null, id`` in parts, of which every next one is later by a slice or has a single row."""
+        few = list(islice(rows, self.frame + 1))
+        if len(few) <= self.frame:
+            for one in sorted((r["t"], r["id"] is None, r["id"]) for r in few):
+                yield iter([one])
+            return
+        for parts in self.slices.of(self._frames(chain(few, rows))):
+            yield ((t, ident is None, ident) for part in parts for t, ident in zip(part["t"].tolist(), part["id"].tolist(), strict=True))
+
+    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
+        known = self.last.get()
+        before = last = known[0] if known else None
         taken = []
-        for parts in self.slices.of(rows):
-            best = None
-            for part in parts:
-                for t, ident in zip(part["t"].tolist(), part["id"].tolist(), strict=True):
-                    if last is None or t >= last + self.ttl:
-                        one = (t, ident is None, ident)
-                        best = one if best is None or one < best else best
+        for part in self._in_order(rows):
+            best = min((one for one in part if last is None or one[0] >= last + self.ttl), default=None)
             if best is not None:
                 last = best[0]
-                taken.append((key[0], best[2], last))
+                taken.append(Row(idempotency_key=key[0], id=best[2], t=last))
         if taken:
             if before is not None:
                 self.handle.deleteTimer(self._expiry(before))
             self.last.update((last,))
             self.handle.registerTimer(self._expiry(last))
-            yield pd.DataFrame(taken, columns=["idempotency_key", "id", "t"])
+        return iter(taken)
 
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        if self.last.exists() and self._expiry(self.last.get()[0]) <= expiredTimerInfo.getExpiryTimeInMs():
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
+        known = self.last.get()
+        if known and self._expiry(known[0]) <= expiredTimerInfo.getExpiryTimeInMs():
             self.last.clear()
         return iter([])
 
@@ -225,8 +241,9 @@ def dedupe_stream(
         F.col(key).cast("string").alias("idempotency_key"), F.col(tie).cast("string").alias("id"),
         F.col(ts).cast("timestamp").alias("at"), F.unix_micros(F.col(ts).cast("timestamp")).alias("t"),
     ).where("t is not null")
-    return rows.withWatermark("at", lateness).groupBy("idempotency_key").transformWithStateInPandas(
-        LastAccepted(ttl_seconds * 1_000_000), "idempotency_key string, id string, t long", "Append", "EventTime"
+    frame = int(stream.sparkSession.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch"))
+    return rows.withWatermark("at", lateness).groupBy("idempotency_key").transformWithState(
+        LastAccepted(ttl_seconds * 1_000_000, frame if frame > 0 else FRAME_ROWS), "idempotency_key string, id string, t long", "Append", "EventTime"
     )
 
 
