@@ -200,3 +200,21 @@ def test_nodes_below_the_bound_equal_those_grown_by_levels(grown, monkeypatch):
     assert key(mixed) == whole
     got = score(mixed)
     assert got.keys() == wanted.keys() and all(abs(got[i] - p) < 1e-12 for i, p in wanted.items())
+
+
+def test_a_forest_keeps_node_ids_and_few_parts(split):
+    """Rows in many parts come to the models in few; the forest is the one without kept node ids."""
+    seen = []
+
+    class Watched:
+        def fit(self, df):
+            seen.append(df.rdd.getNumPartitions())
+            return N.candidates(num_trees=2, max_depth=5)["random_forest"](1.0).fit(df)
+
+    found = N.train(split.repartition(30), ["x", "z"], ["c"], "y", ["id"], {"forest": lambda total: Watched()})
+    assert seen == [1] and [N.fit_parts(n, 12) for n in (0, 9_999, 50_000, 10**6, 10**8)] == [1, 1, 5, 12, 100]
+    forest = N.candidates(num_trees=3, max_depth=8)["random_forest"](1.0)
+    rows = found.encoder.transform(N._shadow(found.preprocessor, split)).select(F.col("y").cast("double").alias("label"), F.lit(1.0).alias("weight"), "features").coalesce(1)
+    plain = forest.copy({forest.cacheNodeIds: False}).fit(rows)
+    body = lambda m: m.toDebugString.split("\n", 1)[1]
+    assert forest.getCacheNodeIds() and body(forest.fit(rows)) == body(plain)

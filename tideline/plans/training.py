@@ -94,6 +94,8 @@ def dummy_baseline(df: DataFrame, label: str, train: DataFrame, ids: Sequence[st
     return df.withColumn(out, (order_key(ids, f"dummy{seed}") < F.lit(prior * 16.0**13)).cast("double"))
 
 
+#: Rows of a part of the training rows, at least where there are more parts than one, and at most where there are more parts than cores.
+FIT_ROWS = (10_000, 1_000_000)
 #: The deepest trees that Spark grows; in effect no limit.
 MAX_DEPTH = 30
 Builder = Callable[[float], object] | None  # None: the hash-drawn baseline
@@ -108,7 +110,7 @@ def candidates(num_trees: int = 100, max_depth: int = MAX_DEPTH, max_iter: int =
             regParam=1.0 / total, elasticNetParam=0.0, standardization=False, maxIter=max_iter, **common
         ),
         "random_forest": lambda total: RandomForestClassifier(
-            numTrees=num_trees, maxDepth=max_depth, featureSubsetStrategy="sqrt", seed=seed, **common
+            numTrees=num_trees, maxDepth=max_depth, featureSubsetStrategy="sqrt", seed=seed, cacheNodeIds=True, **common
         ),
         "extra_trees": lambda total: ExtraTrees(num_trees, max_depth, seed=seed),
     }
@@ -148,6 +150,12 @@ def _shadow(preprocessor: Preprocessor, df: DataFrame) -> DataFrame:
     return prefixed.standardize(copied)
 
 
+def fit_parts(rows: int, cores: int) -> int:
+    """Parts to fit a model on. Every part of a forest's rows sends statistics of all open nodes, so their number is kept to the cores."""
+    least, most = FIT_ROWS
+    return max(1, -(-rows // most), min(cores, rows // least))
+
+
 def train(
     split: DataFrame,
     numeric: Sequence[str],
@@ -177,7 +185,8 @@ def train(
         *ids, "split", F.col(label).cast("double").alias("label"), weight.alias("weight"), "features"
     ).persist()
     try:
-        total = float(frame.where(F.col("split") == "train").agg(F.sum("weight")).first()[0])
+        sums = frame.where(F.col("split") == "train").agg(F.sum("weight"), F.count(F.lit(1))).first()
+        total, parts = float(sums[0]), fit_parts(sums[1], spark.sparkContext.defaultParallelism)
         fitted: dict[str, Model | None] = {}
         table = []
         for ordinal, name in enumerate(builders):
@@ -185,7 +194,7 @@ def train(
                 fitted[name] = None
                 scored = dummy_baseline(frame.drop("features"), "label", frame.where(F.col("split") == "train"), ids)
             else:
-                fitted[name] = builders[name](total).fit(frame.where(F.col("split") == "train"))
+                fitted[name] = builders[name](total).fit(frame.where(F.col("split") == "train").coalesce(parts))
                 scored = fitted[name].transform(frame.select(*ids, "split", "label", "features")).select(
                     *ids, "split", "label", vector_to_array("probability")[1].alias("score")
                 ).withColumnRenamed("score", "probability")
