@@ -229,6 +229,19 @@ def test_ring_writes_only_what_changes(spark, tmp_path):
     assert late["numRowsUpdated"] == 0
 
 
+def test_rows_of_a_hot_key_are_thinned_out_over_all_frames(monkeypatch):
+    """What a task passes on does not grow with its rows; many keys are passed on within the bound."""
+    monkeypatch.setattr(S, "TRIM_ROWS", 40)
+    place = RNG.permutation(1000)
+    rows = pd.DataFrame({"key": "hot", "rank": [f'{{"o0":{v}}}' for v in place], "row": [str(v) for v in place]})
+    frames = lambda df: iter([df.iloc[i : i + 10] for i in range(0, len(df), 10)])
+    out = pd.concat(list(S._trim(5)(frames(rows))))
+    assert sorted(map(int, out["row"])) == list(range(995, 1000))
+    many = rows.assign(key=[str(v % 300) for v in place])
+    parts = list(S._trim(5)(frames(many)))
+    assert max(map(len, parts)) <= 50 and pd.concat(parts)["row"].nunique() == sum(map(len, parts)) == 1000
+
+
 def test_dead_letters_after_three_attempts(spark, tmp_path):
     calls = []
 

@@ -30,6 +30,9 @@ LATENESS = "1 day"
 REPORT_SLICE = 3_600_000_000
 #: Rows that are held at once, where the session sets no bound for a batch of Arrow.
 FRAME_ROWS = 10_000
+#: Rows that wait in a task to be thinned out, and the parts that a key's rows are thinned out in once more.
+TRIM_ROWS = 40_000
+PARTS = 8
 
 
 class Slices:
@@ -194,14 +197,34 @@ class NewestRows(StatefulProcessor):
 
 
 def _trim(n: int):
-    """Of every frame the ``n`` newest rows of each key; a hot key reaches its state thinned out."""
+    """The ``n`` newest rows of each key among a task's rows, so that a hot key reaches its state thinned out.
+
+    Rows wait up to a bound, then all but the newest leave. Where most stay, as there are many keys, they
+    are passed on; so a task never holds more than the bound.
+    """
+    bound = max(4 * n, TRIM_ROWS)
+
+    def newest(frames: list[pd.DataFrame]) -> pd.DataFrame:
+        held = pd.concat(frames, ignore_index=True)
+        if len(held) <= n:
+            return held
+        held = held.assign(place=[_place(r) for r in held["rank"]]).sort_values(["place", "row"], ascending=False, kind="stable")
+        return held.groupby("key", sort=False, dropna=False).head(n).drop(columns="place")
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: list[pd.DataFrame] = []
+        rows = 0
         for frame in frames:
-            if len(frame) > n:
-                frame = frame.assign(place=[_place(r) for r in frame["rank"]]).sort_values(["place", "row"], ascending=False, kind="stable")
-                frame = frame.groupby("key", sort=False, dropna=False).head(n).drop(columns="place")
-            yield frame
+            held.append(frame)
+            rows += len(frame)
+            if rows > bound:
+                held = [newest(held)]
+                rows = len(held[0])
+                if rows > bound // 2:
+                    yield held.pop()
+                    rows = 0
+        if rows:
+            yield newest(held)
 
     return run
 
@@ -222,8 +245,10 @@ def newest_rows(stream: DataFrame, n: int, order: Sequence[str], keys: Sequence[
     rank = F.to_json(F.struct(*[_exact(F.col(c), kinds[c]).alias(f"o{i}") for i, c in enumerate(order)]), options)
     name = F.to_json(F.struct(*keys), options) if keys else F.lit("")
     packed = stream.select(name.alias("key"), rank.alias("rank"), F.to_json(F.struct(*stream.columns), options).alias("row"))
-    thin = packed.mapInPandas(_trim(n), "key string, rank string, row string")
-    kept = thin.groupBy("key").transformWithStateInPandas(NewestRows(n), "row string", "Update", "None")
+    kind = "key string, rank string, row string"
+    # Each task of the source sends n rows of a key at most, and each part of a key n again: the state's task gets n times the parts.
+    parts = packed.mapInPandas(_trim(n), kind).repartition("key", F.pmod(F.xxhash64("row"), F.lit(PARTS)))
+    kept = parts.mapInPandas(_trim(n), kind).groupBy("key").transformWithStateInPandas(NewestRows(n), "row string", "Update", "None")
     return kept.select(F.from_json("row", stream.schema, options).alias("r")).select("r.*")
 
 
