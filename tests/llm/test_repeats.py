@@ -119,3 +119,40 @@ def test_planted_passages_of_over_50_words(spark, tmp_path):
     long_, short = ([i for i in holds if (len(passages[holds[i]]) >= repeats.SPAN) == want] for want in (True, False))
     assert len(long_) > 50 and len(short) > 30
     assert all(removed[i] >= len(passages[holds[i]]) for i in long_) and not any(removed[i] for i in short if len(passages[holds[i]]) + 2 < repeats.SPAN)
+
+
+def test_rows_of_a_large_group_do_not_meet_in_one_task(spark, documents, monkeypatch, tmp_path):
+    """One passage in 400 texts: its differing contexts are dealt over the tasks, small groups still meet; same bytes as brute force."""
+    rng, plainly, folder = random.Random(13), repeats._shared_shifts, str(tmp_path)
+    text = lambda k: "".join(rng.choice("abcdefghijklmnop") for _ in range(k))
+    passage, pair = text(60), text(60)
+    rows = [(i, text(80) + (pair if i % 200 == 0 else passage) + text(80)) for i in range(400)]
+
+    def counted(span, gram, limit):
+        inner = plainly(span, gram, limit)
+
+        def run(batches):
+            import os
+            import uuid
+
+            held = [b for b in batches if b.num_rows]
+            with open(os.path.join(folder, uuid.uuid4().hex), "w") as f:
+                f.write(" ".join(str(a) for b in held for a in b.column(0).to_pylist()))
+            yield from inner(iter(held))
+
+        return run
+
+    monkeypatch.setattr(repeats, "_shared_shifts", counted)
+    monkeypatch.setattr(repeats, "HOT_MEMBERS", 10**9)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        got = found(repeats.remove_repeats(documents(rows), span=40, gram=8, group=50))
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert got == sorted(plain(rows, 40), key=str) and all(60 <= r[2] < 70 for r in got)
+    tasks = [Counter(p.read_text().split()) for p in tmp_path.iterdir()]
+    total = sum(tasks, Counter())
+    large, small = ([a for a, n in total.items() if (n > 50) == want] for want in (True, False))
+    assert large and small
+    assert all(max(t[a] for t in tasks) < 0.6 * total[a] for a in large)
+    assert all(sum(t[a] > 0 for t in tasks) == 1 for a in small)
