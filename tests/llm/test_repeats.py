@@ -156,3 +156,16 @@ def test_rows_of_a_large_group_do_not_meet_in_one_task(spark, documents, monkeyp
     assert large and small
     assert all(max(t[a] for t in tasks) < 0.6 * total[a] for a in large)
     assert all(sum(t[a] > 0 for t in tasks) == 1 for a in small)
+
+
+def test_further_copies_of_a_hot_context_have_no_common_key(spark, documents):
+    """Of 400 copies only two in each task go to their context's key; the others are dealt one by one."""
+    rng = random.Random(17)
+    copy = "".join(rng.choice("abcdefghijklmnop") for _ in range(200))
+    docs = documents([(i, copy) for i in range(400)]).repartition(4).selectExpr("doc_id as id", "xxhash64(text) as th", "text")
+    shape = "anchor bigint, salt int, context binary, id bigint, th bigint, at bigint"
+    anchors = frozenset(r.anchor for r in docs.mapInArrow(repeats._sample_suffixes(40, 8, frozenset()), shape).select("anchor").distinct().collect())
+    dealt = docs.mapInArrow(repeats._sample_suffixes(40, 8, anchors), shape).collect()
+    keys = Counter((r.anchor, r.salt) for r in dealt if r.salt < 0)
+    assert len({(r.id, r.at) for r in dealt}) == len(dealt) and sum(keys.values()) > 0.9 * len(dealt)
+    assert max(keys.values()) == 1
