@@ -13,7 +13,7 @@ from tideline.plans import training as N
 from tideline.plans.extra_trees import ExtraTrees, ExtraTreesModel
 from tideline.queries.core import CATEGORICAL, CUR, NUMERIC, current, long_sql
 from tideline.queries.views import REF, reference, table
-from tideline.session import cut, scratch_path
+from tideline.session import cut, scratch_path, stored
 from tideline.sources.versioned import read_version
 
 QUERIES: dict = {}
@@ -74,14 +74,14 @@ DOC_CATEGORICAL = ["lang", "source"]
 
 
 def labelled_documents(spark: SparkSession, sf: str) -> DataFrame:
-    """Labelled documents with simple text features and a stratified split."""
+    """Labelled documents with simple text features and a stratified split. Texts are read once; what follows scans the features many times."""
     text = F.col("text")
     rows = table(spark, sf, "labels").join(table(spark, sf, "documents"), "doc_id").select(
         "doc_id", "quality", "n_chars", "lang", "source",
         F.size(F.split(text, "\n")).alias("n_lines"), F.size(F.split(text, r"\s+")).alias("n_words"),
         (F.regexp_count(text, F.lit("[A-Z]")) / F.greatest(F.col("n_chars"), F.lit(1))).alias("share_upper"),
     )
-    return stratified_split(rows, "quality", ["doc_id"])
+    return stratified_split(stored(rows), "quality", ["doc_id"])
 
 
 @query()
