@@ -1,15 +1,18 @@
 """Extremely randomised trees, grown level by level over a table, and below a bound node by node.
 
-All trees grow side by side on all rows. A level takes two aggregates over (tree, node): the range of every
+Where all rows fit a task in packed form (:mod:`tideline.plans.packed`), each tree is grown in a task of its own. Above that
+all trees grow side by side on all rows. A level takes two aggregates over (tree, node): the range of every
 feature, from which each node draws features that vary and a threshold inside each range, and the class
 weights on both sides of the drawn thresholds. A node with few rows leaves the levels: its rows come together once and
 the tree below it is grown by the same draws, as the rows of a level would be read and written again for each of
-up to thirty more. Nodes are a table; draws are hashes of seed, tree, node and feature, so a run can be repeated.
+up to thirty more. Nodes are a table; draws are hashes of seed, tree, node and feature, so a run can be repeated, and
+all three ways give the same nodes.
 """
 
 from __future__ import annotations
 
 import sys
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -19,6 +22,8 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tideline.plans import packed
+from tideline.plans.packed import Layout, leaf_values, matrix, parted
 from tideline.session import BROADCAST_ROWS, stored
 
 # Ship the functions on nodes with the task; executors need not have the package installed.
@@ -31,6 +36,8 @@ STRIDE = 5
 #: The most rows below which a node leaves the levels, and the most numbers in them.
 SUBTREE_ROWS = 100_000
 SUBTREE_NUMBERS = 8_000_000
+#: Numbers of the ranges and draws of nodes that are worked on at once.
+DRAWN_NUMBERS = 500_000
 NODES = "tree int, node bigint, depth int, n bigint, weight double, positive double, low array<double>, high array<double>, feature int, threshold double"
 
 
@@ -63,85 +70,107 @@ def _hashed(values: np.ndarray, seed: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(32))
 
 
-def _numbers(lists: pa.ChunkedArray, rows: int) -> np.ndarray:
-    """Lists of one length as a matrix."""
-    flat = pa.concat_arrays([c.flatten() for c in lists.chunks]) if lists.num_chunks else pa.array([], pa.float64())
-    return flat.to_numpy(zero_copy_only=False).reshape(rows, -1)
+def _draw(node: np.ndarray, of_tree: list[np.ndarray], low: np.ndarray, high: np.ndarray, drawn: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Features that each node draws, those that vary first, with a threshold for each and whether it varies."""
+    by_feature, at = of_tree
+    varies = (low < high) | (np.isnan(high) & ~np.isnan(low))  # not a number is greater than all numbers
+    uniform = lambda f, h: (_hashed(f, _hashed(node, h)[:, None]) >> np.uint64(11)).astype(np.float64) / 2.0**53
+    order = np.argsort(np.where(varies, uniform(np.arange(low.shape[1], dtype=np.int32), by_feature), 2.0), axis=1, kind="stable")[:, :drawn]
+    least, most = (np.take_along_axis(v, order, axis=1) for v in (low, high))
+    with np.errstate(invalid="ignore"):
+        at = least + uniform(order.astype(np.int32), at) * (most - least)
+    return order, np.where(at < most, at, least), np.take_along_axis(varies, order, axis=1)
 
 
-def _grow_below(rows: pa.Table, bases: tuple[int, int], drawn: int, min_rows: int, deepest: int) -> pa.Table:
-    """All nodes of the tree below one node, itself included, from the rows of that node. ``bases`` are the hashes of the draws' names."""
-    tree, root = rows["tree"][0].as_py(), rows["node"][0].as_py()
-    x, label, weight = _numbers(rows["x"], rows.num_rows), rows["label"].to_numpy(), rows["weight"].to_numpy()
-    many, depth = x.shape[1], (root + 1).bit_length() - 1
-    features = np.arange(many, dtype=np.int32)
+def _grown(layout: Layout, numbers: np.ndarray, words: np.ndarray, label: np.ndarray, weight: np.ndarray, tree: int, root: int, bases: tuple[int, int], drawn: int, min_rows: int, deepest: int) -> Iterator[pa.RecordBatch]:
+    """All nodes of the tree below one node, itself included, from the rows of that node, a level at a time. ``bases`` are the hashes of the draws' names."""
+    depth, many = (root + 1).bit_length() - 1, layout.many
     of_tree = [_hashed(np.array([tree], np.int32), np.array([b], np.int64).astype(np.uint64)) for b in bases]
-    node, start, levels = np.array([root], np.int64), np.array([0]), []
+    is_number, place = layout.places()
+    shift = (place % 64).astype(np.uint64)
+    some = max(1, DRAWN_NUMBERS // max(1, many))
+    node, start = np.array([root], np.int64), np.array([0])
     while len(node):
         n = np.diff(np.append(start, len(label)))
         total, positive = np.add.reduceat(weight, start), np.add.reduceat(weight * label, start)
-        low, high = np.fmin.reduceat(x, start, axis=0), np.maximum.reduceat(x, start, axis=0)
+        low, high = np.fmin.reduceat(numbers, start, axis=1), np.maximum.reduceat(numbers, start, axis=1)
+        every, any_ = np.bitwise_and.reduceat(words, start, axis=1), np.bitwise_or.reduceat(words, start, axis=1)  # the least and greatest bits
+        varies = ((low < high) | (np.isnan(high) & ~np.isnan(low))).any(axis=0) | (every != any_).any(axis=0)
+        grows = (np.minimum.reduceat(label, start) < np.maximum.reduceat(label, start)) & (n >= min_rows) & (depth < deepest) & varies
         feature, threshold = np.full(len(node), -1, np.int32), np.zeros(len(node))
-        varies = (low < high) | (np.isnan(high) & ~np.isnan(low))  # not a number is greater than all numbers
-        grows = (np.minimum.reduceat(label, start) < np.maximum.reduceat(label, start)) & (n >= min_rows) & (depth < deepest) & varies.any(axis=1)
         g = np.flatnonzero(grows)
         if len(g):
-            by_feature, at = (
-                (_hashed(features, _hashed(node[g], h)[:, None]) >> np.uint64(11)).astype(np.float64) / 2.0**53 for h in of_tree
-            )
-            with np.errstate(invalid="ignore"):
-                at = low[g] + at * (high[g] - low[g])
-            at = np.where(at < high[g], at, low[g])
-            order = np.argsort(np.where(varies[g], by_feature, 2.0), axis=1, kind="stable")[:, :drawn]
-            slot = np.repeat(np.arange(len(node)), n)
-            kept = np.flatnonzero(grows[slot])
-            slot = np.repeat(np.arange(len(g)), n[g])
-            x, label, weight = x[kept], label[kept], weight[kept]
-            first = np.concatenate([[0], np.cumsum(n[g])[:-1]])
+            parts = [_draw(node[p], of_tree, layout.unpack(low[:, p], every[:, p]), layout.unpack(high[:, p], any_[:, p]), drawn) for p in np.split(g, range(some, len(g), some))]
+            order, at, drawn_varies = (np.concatenate(c) for c in zip(*parts, strict=True))
+            if len(g) < len(node):
+                kept = np.flatnonzero(np.repeat(grows, n))
+                numbers, words, label, weight = numbers[:, kept], words[:, kept], label[kept], weight[kept]
+            n_g = n[g]
+            slot, first, row = np.repeat(np.arange(len(g)), n_g), np.concatenate([[0], np.cumsum(n_g)[:-1]]), np.arange(len(label))
+            positives = weight * label
+
+            def on_left(f, t):
+                """Rows at or below their node's threshold of their node's feature."""
+                by_number, f_row = is_number[f], f[slot]
+                if by_number.all():
+                    return numbers[place[f_row], row] <= t[slot]
+                bit = (words[place[f_row] // 64, row] >> shift[f_row]) & np.uint64(1) <= t[slot] if not by_number.any() else None
+                if bit is None:
+                    bit = np.empty(len(row), bool)
+                    mine = by_number[slot]
+                    for here, number in ((np.flatnonzero(mine), True), (np.flatnonzero(~mine), False)):
+                        p = place[f_row[here]]
+                        value = numbers[p, here] if number else (words[p // 64, here] >> shift[f_row[here]]) & np.uint64(1)
+                        bit[here] = value <= t[slot[here]]
+                return bit
+
             gini = np.full((len(g), order.shape[1]), np.inf)
             for i in range(order.shape[1]):
-                f, t = order[:, i], at[np.arange(len(g)), order[:, i]]
-                left = x[np.arange(len(slot)), f[slot]] <= t[slot]
-                w, p = np.add.reduceat(weight * left, first), np.add.reduceat(weight * label * left, first)
+                left = on_left(order[:, i], at[:, i])
+                w, p = np.add.reduceat(weight * left, first), np.add.reduceat(positives * left, first)
                 found = np.zeros(len(g))
                 for a, b in ((w, p), (total[g] - w, positive[g] - p)):
                     found += np.divide(b * (a - b), a, out=np.zeros(len(g)), where=a > 0)
-                gini[:, i] = np.where(varies[g, f], found, np.inf)
-            best = order[np.arange(len(g)), np.argmin(gini, axis=1)]
-            feature[g], threshold[g] = best, at[np.arange(len(g)), best]
-        levels.append((node, np.full(len(node), depth, np.int32), n, total, positive, low, high, feature, threshold))
+                gini[:, i] = np.where(drawn_varies[:, i], found, np.inf)
+            best = np.argmin(gini, axis=1)
+            feature[g], threshold[g] = order[np.arange(len(g)), best], at[np.arange(len(g)), best]
+        leaf = feature < 0
+        for p in np.split(np.arange(len(node)), range(some, len(node), some)):
+            ends = pa.array(np.arange(0, many * len(p) + 1, max(1, many), dtype=np.int32))
+            ranges = [pa.ListArray.from_arrays(ends, pa.array(layout.unpack(v[:, p], m[:, p]).ravel())) for v, m in ((low, every), (high, any_))]
+            yield pa.RecordBatch.from_pydict({
+                "tree": pa.array(np.full(len(p), tree, np.int32)), "node": pa.array(node[p]), "depth": pa.array(np.full(len(p), depth, np.int32)), "n": pa.array(n[p].astype(np.int64)), "weight": pa.array(total[p]), "positive": pa.array(positive[p]),
+                "low": ranges[0], "high": ranges[1], "feature": pa.array(feature[p], mask=leaf[p]), "threshold": pa.array(threshold[p], mask=leaf[p]),
+            })
         if not len(g):
             break
-        right = x[np.arange(len(slot)), best[slot]] > threshold[g][slot]
-        right |= np.isnan(x[np.arange(len(slot)), best[slot]])
-        child = 2 * slot + right
-        order = np.argsort(child, kind="stable")
-        x, label, weight, child = x[order], label[order], weight[order], child[order]
-        start = np.flatnonzero(np.append([True], child[1:] != child[:-1]))
-        node, depth = 2 * node[g][child[start] // 2] + 1 + child[start] % 2, depth + 1
-    node, depths, n, total, positive, low, high, feature, threshold = (np.concatenate(c) for c in zip(*levels, strict=True))
-    leaf = feature < 0
-    ranges = [pa.ListArray.from_arrays(pa.array(np.arange(0, many * len(node) + 1, max(1, many), dtype=np.int32)), pa.array(v.ravel())) for v in (low, high)]
-    return pa.table({
-        "tree": pa.array(np.full(len(node), tree, np.int32)), "node": pa.array(node), "depth": pa.array(depths), "n": pa.array(n.astype(np.int64)), "weight": pa.array(total), "positive": pa.array(positive),
-        "low": ranges[0], "high": ranges[1], "feature": pa.array(feature, mask=leaf), "threshold": pa.array(threshold, mask=leaf),
-    })
+        to, n_left = parted(~on_left(feature[g], threshold[g]), first, n_g)
+        back = np.empty(len(to), np.int64)
+        back[to] = row
+        numbers, words, label, weight = numbers[:, back], words[:, back], label[back], weight[back]
+        node, start = (2 * node[g][:, None] + [1, 2]).ravel(), np.stack([first, first + n_left], axis=1).ravel()
+        depth += 1
+
+
+def _grow_below(rows: pa.Table, bases: tuple[int, int], drawn: int, min_rows: int, deepest: int) -> pa.Table:
+    """All nodes of the tree below one node, itself included, from the rows of that node."""
+    x = matrix(rows["x"].combine_chunks(), rows.num_rows)
+    layout = Layout.of(((x == 0) | (x == 1)).all(axis=0))
+    numbers, words = layout.pack(x)
+    label, weight = rows["label"].to_numpy(), rows["weight"].to_numpy()
+    return pa.Table.from_batches(_grown(layout, numbers, words, label, weight, rows["tree"][0].as_py(), rows["node"][0].as_py(), bases, drawn, min_rows, deepest))
 
 
 def _leaves_below(rows: pa.Table, nodes: pa.Table) -> pa.Table:
     """``__row, leaf``: the value of the leaf that each row comes to from the uppermost of ``nodes``."""
     if not rows.num_rows:
         return pa.table({"__row": pa.array([], pa.int64()), "leaf": pa.array([], pa.float64())})
-    x = _numbers(rows["__x"], rows.num_rows)
+    x = matrix(rows["__x"].combine_chunks(), rows.num_rows)
     nodes = nodes.sort_by("node")
     ids, feature = nodes["node"].to_numpy(), nodes["feature"].fill_null(-1).to_numpy()
     threshold, value = nodes["threshold"].fill_null(0.0).to_numpy(), nodes["value"].to_numpy()
     below = np.searchsorted(ids, 2 * ids + 1)  # the right child's number is the next one
-    at, moving = np.zeros(rows.num_rows, np.int64), np.arange(rows.num_rows)
-    while len(moving := moving[feature[at[moving]] >= 0]):
-        here = at[moving]
-        at[moving] = below[here] + ~(x[moving, feature[here]] <= threshold[here])
-    return pa.table({"__row": rows["__row"].combine_chunks(), "leaf": pa.array(value[at])})
+    return pa.table({"__row": rows["__row"].combine_chunks(), "leaf": pa.array(leaf_values(feature, threshold, value, below, x))})
 
 
 @dataclass(frozen=True)
@@ -161,6 +190,10 @@ class ExtraTrees:
         many, drawn = width["n"], max(1, int(width["n"] ** 0.5))
         deepest, few = min(self.max_depth, DEEPEST), _subtree_rows(many)
         rows = stored(rows)
+        values = packed.few_values(rows, many, 2)
+        layout = Layout.of([v is not None and np.isin(v, (0.0, 1.0)).all() for v in values])
+        if rows.count() * layout.row_bytes <= packed.PACKED_BYTES:
+            return self._model(self._grown_whole(rows, layout, drawn, deepest))
         trees = F.explode(F.sequence(F.lit(0), F.lit(self.num_trees - 1)))
         open_ = rows.select("*", trees.alias("tree"), F.lit(0).cast("bigint").alias("node"))
         done, small = [], []
@@ -197,15 +230,29 @@ class ExtraTrees:
         table = done[0]
         for more in done[1:]:
             table = table.unionByName(more)
-        return ExtraTreesModel(stored(table.withColumn("value", F.col("positive") / F.col("weight"))), self.num_trees)
+        return self._model(table)
+
+    def _model(self, nodes: DataFrame) -> ExtraTreesModel:
+        return ExtraTreesModel(stored(nodes.withColumn("value", F.col("positive") / F.col("weight"))), self.num_trees)
+
+    def _bases(self, spark: SparkSession) -> tuple[int, int]:
+        return tuple(spark.range(1).select(*[F.xxhash64(F.lit(f"{what}{self.seed}")) for what in ("feature", "threshold")]).first())
+
+    def _grown_whole(self, rows: DataFrame, layout: Layout, drawn: int, deepest: int) -> DataFrame:
+        """All nodes, each tree from all rows in a task of its own."""
+        bases, min_rows = self._bases(rows.sparkSession), self.min_rows
+
+        def grow(tree, records):
+            yield from _grown(layout, *layout.read(records), tree, 0, bases, drawn, min_rows, deepest)
+
+        return packed.by_tree(packed.blocks(rows, layout.body), self.num_trees, grow, NODES)
 
     def _grown_apart(self, small: list[tuple[DataFrame, int]], drawn: int, deepest: int) -> DataFrame:
         """Nodes below those that have left the levels, from their rows; ``small`` has for each level the rows and the number of nodes."""
         rows, groups, min_rows = small[0][0], sum(n for _, n in small), self.min_rows
         for more, _ in small[1:]:
             rows = rows.unionByName(more)
-        spark = rows.sparkSession
-        bases = tuple(spark.range(1).select(*[F.xxhash64(F.lit(f"{what}{self.seed}")) for what in ("feature", "threshold")]).first())
+        bases = self._bases(rows.sparkSession)
         # A number of its own, as adaptive execution would put many small groups in one task.
         dealt = rows.repartition(min(groups, BROADCAST_ROWS // 100), "tree", "node")
         return dealt.groupBy("tree", "node").applyInArrow(lambda t: _grow_below(t, bases, drawn, min_rows, deepest), NODES)
@@ -251,8 +298,17 @@ class ExtraTreesModel:
     num_trees: int
 
     def transform(self, df: DataFrame) -> DataFrame:
-        """Add ``probability``: the mean of the trees' leaf values. Rows go down all trees a level at a time, by joins with the nodes."""
+        """Add ``probability``: the mean of the trees' leaf values. Rows pass tasks that hold some trees; where a tree is too
+        large for that, they go down all trees a level at a time, by joins with the nodes."""
         rows = stored(df.withColumn("__row", F.monotonically_increasing_id()))
+        scores = packed.score_trees(self.nodes, rows.select("__row", vector_to_array("features").alias("__x")), self.num_trees)
+        if scores is None:
+            scores = self._scores_by_levels(rows)
+        scores = stored(scores)  # those who scan the result many times do not walk the trees again
+        both = array_to_vector(F.array(1 - F.col("__p"), F.col("__p")))
+        return rows.join(scores, "__row").select(*[F.col(f"`{c}`") for c in df.columns], both.alias("probability"))
+
+    def _scores_by_levels(self, rows: DataFrame) -> DataFrame:
         trees = F.explode(F.sequence(F.lit(0), F.lit(self.num_trees - 1)))
         at = rows.select("__row", vector_to_array("features").alias("__x"), trees.alias("tree"), F.lit(0).cast("bigint").alias("node"), F.lit(None).cast("double").alias("leaf"))
         width = at.select(F.size("__x").alias("n")).first()
@@ -274,9 +330,7 @@ class ExtraTreesModel:
         leaves = self._leaves(at.where("leaf is null").withColumnRenamed("node", "root").drop("leaf"), few, len(sizes))
         if sizes:
             leaves = leaves.unionByName(at.where("leaf is not null").select("__row", "leaf"))
-        scores = leaves.groupBy("__row").agg(F.avg("leaf").alias("__p"))
-        both = array_to_vector(F.array(1 - F.col("__p"), F.col("__p")))
-        return rows.join(scores, "__row").select(*[F.col(f"`{c}`") for c in df.columns], both.alias("probability"))
+        return leaves.groupBy("__row").agg(F.avg("leaf").alias("__p"))
 
     def _leaves(self, at: DataFrame, few: int, levels: int) -> DataFrame:
         """``__row, leaf`` of rows that stand at the uppermost node (``root``) of at most ``few`` training rows: they meet what is below it, in chunks."""

@@ -6,7 +6,7 @@ from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass
 
 from pyspark.ml import Model, Pipeline, PipelineModel
-from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
+from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import OneHotEncoder, StringIndexer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
@@ -20,6 +20,7 @@ from tideline.operators.registry import register_staging, retrain_decision
 from tideline.operators.sampling import SEED
 from tideline.plans.extra_trees import ExtraTrees
 from tideline.plans.model_tables import as_tables
+from tideline.plans.random_forest import RandomForest
 from tideline.session import cut
 from tideline.sources.tables import append_run_metrics, dataset_fingerprint
 from tideline.sources.versioned import Version, publish
@@ -109,7 +110,7 @@ def candidates(num_trees: int = 100, max_depth: int = MAX_DEPTH, max_iter: int =
         "logistic_regression": lambda total: LogisticRegression(
             regParam=1.0 / total, elasticNetParam=0.0, standardization=False, maxIter=max_iter, **common
         ),
-        "random_forest": lambda total: RandomForestClassifier(
+        "random_forest": lambda total: RandomForest(
             numTrees=num_trees, maxDepth=max_depth, featureSubsetStrategy="sqrt", seed=seed, cacheNodeIds=True, **common
         ),
         "extra_trees": lambda total: ExtraTrees(num_trees, max_depth, seed=seed),
